@@ -79,7 +79,8 @@ def decode_entities(col: Column) -> Column:
 
 _BLOCKS = "(?is)<\\s*(" + "|".join(vocab.DROPPED_BLOCKS) + ")\\b.*?<\\s*/\\s*\\1\\s*>"
 _CLOSERS = r"(?i)<\s*(br|/p|/div|/li|/h[1-6]|/tr)\s*/?>"
-_COMMENTS_AND_TAGS = r"(?s)<!--.*?(?:-->|\z)|<[a-zA-Z/!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\z)"
+# Possessive repeats keep Java's matcher from recursing once per character.
+_COMMENTS_AND_TAGS = r"(?s)<!--.*?(?:-->|\z)|<[a-zA-Z/!?](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:>|\z)"
 
 
 def html_to_text(col: Column, max_len: int | None = None) -> Column:

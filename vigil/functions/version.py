@@ -48,12 +48,12 @@ def parts(version: Column) -> Column:
         number = F.regexp_replace(p, "^0+", "")
         return F.struct(F.length(number).alias("digits"), number.alias("number"))
 
-    return F.when(readable, F.transform(raw, pair))
+    return F.when(readable, F.transform(raw, pair).cast(_PART))
 
 
 def _padded(tokens: Column, width: Column) -> Column:
-    zero = F.struct(F.lit(0).alias("digits"), F.lit("").alias("number"))
-    return F.concat(tokens, F.array_repeat(zero, width - F.size(tokens))).cast(_PART)
+    zero = F.struct(F.lit(0), F.lit("")).cast("struct<digits:int,number:string>")
+    return F.concat(tokens, F.array_repeat(zero, width - F.size(tokens)).cast(_PART))
 
 
 def compare_parts(a: Column, b: Column, a_parts: Column, b_parts: Column) -> Column:

@@ -24,9 +24,9 @@ def _asset_side(assets: DataFrame) -> DataFrame:
     keys = F.array(F.when(named, F.concat(F.lit("v:"), vendor)).otherwise("named"), F.lit("unnamed"))
     return assets.select(
         "owner_id", "environment_id", "asset_id", fold_name(F.col("product")).alias("product_key"),
-        F.explode(keys).alias("vendor_key"), F.trim(F.concat_ws(" ", "vendor", "product")).alias("label"),
+        keys.alias("vendor_keys"), F.trim(F.concat_ws(" ", "vendor", "product")).alias("label"),
         F.col("version").alias("asset_version"), parts(F.col("version")).alias("asset_parts"),
-    ).filter(F.col("product_key") != "")
+    ).filter(F.col("product_key") != "").withColumn("vendor_key", F.explode("vendor_keys")).drop("vendor_keys")
 
 
 def _product_side(rows: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from vigil.functions.text import strip
 
 _WORD_START = r"(?U)(?<![\w-])(?=[\w-])"
 _WORD = r"(?U)^[\w-]+"
+_GAP = r"(?U)[^\w-]+"
 _CORE = r"(?U)[\w-](?:.*[\w-])?"
 HIT = "struct<start:int,stop:int,size:int,surface:string>"
 
@@ -86,14 +87,13 @@ def _terms(names: DataFrame, inline_limit: int) -> _Terms:
                   sorted({r["first"] for r in rows}), *bounds)
 
 
-def _candidates(segments: Column, terms: _Terms) -> Column:
-    """Every stretch of words that could be a term, with its word positions."""
-    starts = F.sequence(F.lit(1), F.size(segments))
-    word = lambda i: F.regexp_extract(F.element_at(segments, i), _WORD, 0)
-    if terms.first_words is None:
-        starts = F.filter(starts, lambda i: word(i) != "")
-    else:
-        starts = F.filter(starts, lambda i: F.lower(word(i)).isin(terms.first_words))
+def _candidates(segments: Column, words: Column, terms: _Terms) -> Column:
+    """Every stretch of words that could be a term, with its word positions.
+
+    ``words`` are the lowered words of the text; word i opens segment i.
+    """
+    known = (lambda w: w != "") if terms.first_words is None else (lambda w: w.isin(terms.first_words))
+    starts = F.array_compact(F.transform(words, lambda w, i: F.when(known(w), i + 1)))
 
     def at(i: Column) -> Column:
         found = []
@@ -145,15 +145,16 @@ def find_names(docs: DataFrame, key: list[str], text: str, names: DataFrame, inl
     empty = F.array().cast("array<string>")
     if terms.max_words == 0:
         return docs.withColumn("hits", empty)
-    segments = F.split(F.col(text), _WORD_START, -1)
+    segments, words = F.split(F.col(text), _WORD_START, -1), F.split(F.lower(text), _GAP, -1)
+    cut = F.col("_segments"), F.col("_words")
     if terms.folded is not None:
-        cands = docs.withColumn("_segments", segments).withColumn("_cands", _candidates(F.col("_segments"), terms))
+        cands = docs.withColumns({"_segments": segments, "_words": words}).withColumn("_cands", _candidates(*cut, terms))
         folded = F.filter("_cands", lambda c: F.lower(c["surface"]).isin(terms.folded))
         exact = F.filter("_cands", lambda c: c["surface"].isin(terms.exact))
         surfaces = [F.transform(_leftmost_longest(h), lambda x: x["surface"]) for h in (folded, exact)]
-        return cands.withColumn("hits", F.array_distinct(F.concat(*surfaces))).drop("_segments", "_cands")
-    cands = docs.select(*key, segments.alias("_segments")).select(
-        *key, F.explode(_candidates(F.col("_segments"), terms)).alias("c"))
+        return cands.withColumn("hits", F.array_distinct(F.concat(*surfaces))).drop("_segments", "_words", "_cands")
+    cands = docs.select(*key, segments.alias("_segments"), words.alias("_words")).select(
+        *key, _candidates(*cut, terms).alias("_cands")).select(*key, F.explode("_cands").alias("c"))
     shape = names.select("low", "term", "exact").distinct()
     same = (F.lower("c.surface") == F.col("low")) & (~F.col("exact") | (F.col("c.surface") == F.col("term")))
     hits = cands.join(shape, same).groupBy(*key).agg(

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from vigil import schemas
 from vigil.operators import inventory, link, match, merge, recompute
+from vigil.session import spread
 from vigil.sources.registry import source_tier
 from vigil.sources.rules import cves_from_tags, techniques_from_tags
 
@@ -364,7 +365,7 @@ def owner_matches(spark: SparkSession, d: str, owner: str = "STANDARD") -> tuple
 # ------------------------------------------------------------------------------------ text
 def articles(spark: SparkSession, d: str) -> DataFrame:
     """Every document as an article: its whole prose, followed by what its order lines name."""
-    docs = load(spark, d, "documents")
+    docs = spread(load(spark, d, "documents"), "doc_id")
     line, o, sup = load(spark, d, "lineitem"), load(spark, d, "orders"), load(spark, d, "supplier")
     said = F.concat(
         cve_of(F.col("l_partkey")), F.lit(" used by "),

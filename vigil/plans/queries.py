@@ -245,7 +245,7 @@ def ranked_search(docs: DataFrame, key: str, columns: list[str], q: str, limit:
         raise BadRequest("the query has no searchable word")
     terms = F.flatten(F.array(*[_terms(F.col(c)) for c in columns]))
     rows = docs.select(key, terms.alias("_terms")).select(key, *[
-        F.size(F.filter("_terms", lambda t, w=w: t == w)).alias(f"_tf{i}") for i, w in enumerate(words)])
+        (F.size("_terms") - F.size(F.array_remove("_terms", w))).alias(f"_tf{i}") for i, w in enumerate(words)])
     frequency = rows.agg(F.count("*").alias("_n"), *[
         F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(words))])
     corpus = frequency.select(F.struct("*")).scalar()
