@@ -158,7 +158,7 @@ CTES: dict[str, str] = {
         SELECT cve_id, 1 AS o, 'CISA KEV' AS f, 25.0 AS p, 'Listed in the CISA Known Exploited Vulnerabilities catalog' AS d FROM aged WHERE in_kev
         UNION ALL SELECT cve_id, 2, 'Active exploitation', 15.0, 'Exploitation reported by: ' || array_to_string(list_sort(list_filter([
             CASE WHEN in_kev THEN 'CISA KEV' END, CASE WHEN ssvc = 'active' THEN 'CISA SSVC (via NVD)' END,
-            CASE WHEN reported THEN 'Palo Alto Networks Unit 42' END], x -> x IS NOT NULL)), ', ')
+            CASE WHEN reported THEN 'Palo Alto Networks Unit 42' END], lambda x: x IS NOT NULL)), ', ')
           FROM aged WHERE in_kev OR ssvc = 'active' OR reported
         UNION ALL SELECT cve_id, 3, 'Ransomware association', 10.0, 'Known or reported use in ransomware campaigns' FROM aged WHERE ransomware
         UNION ALL SELECT cve_id, 4, 'Public exploit', 12.0, CAST(exploits AS VARCHAR) || ' public exploit(s) (e.g. Exploit-DB)' FROM aged WHERE exploits > 0
@@ -246,13 +246,13 @@ CTES: dict[str, str] = {
     "ind": f"""
         SELECT 'malwarebazaar' AS source_key, 'sha256' AS kind, v AS value_norm, NULL AS host, family,
           CASE WHEN s_suppkey IS NOT NULL AND family IS NOT NULL THEN {ACTOR.format('k')} END AS attack_stix_id, NULL AS status, '' AS tags, lang AS reporter,
-          m AS md5, s1 AS sha1, to_timestamp(1700000000 + n_chars) AT TIME ZONE 'UTC' AS first_seen FROM samples LEFT JOIN supplier ON s_suppkey = k
+          m AS md5, s1 AS sha1, to_timestamp(1700000000 + n_chars) AT TIME ZONE 'UTC' AS first_seen FROM samples LEFT JOIN supplier ON s_suppkey = k AND s_suppkey % 4 IN (1, 2)
         UNION ALL
         SELECT 'urlhaus', 'url', lower(url), regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1), ':[^:]*$', ''),
           CASE WHEN s_suppkey IS NOT NULL THEN 'Actor ' || CAST(page_id % 50 AS VARCHAR) END,
           CASE WHEN s_suppkey IS NOT NULL THEN {ACTOR.format('page_id % 50')} END, CASE WHEN contains(url, '?') THEN 'online' ELSE 'unknown' END,
           'elf,Actor ' || CAST(page_id % 50 AS VARCHAR) || ',zip', NULL, NULL, NULL, to_timestamp(1700000000 + page_id) AT TIME ZONE 'UTC'
-        FROM (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY lower(url) ORDER BY page_id) = 1) LEFT JOIN supplier ON s_suppkey = page_id % 50""",
+        FROM (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY lower(url) ORDER BY page_id) = 1) LEFT JOIN supplier ON s_suppkey = page_id % 50 AND s_suppkey % 4 IN (1, 2)""",
     "runs": "SELECT CAST(user_id AS VARCHAR) AS key, user_id, ts, event_type = 'error' AS failed, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "run_facts": """
         SELECT key, user_id, max(ts) AS last_attempt, arg_max(failed, ts) AS last_failed, arg_max(k, ts) AS items,
@@ -263,19 +263,19 @@ CTES: dict[str, str] = {
     "cve_docs": f"SELECT {cve('l_partkey')} AS cve_id, * FROM dm",
     "cve_ex": f"SELECT {cve('l_partkey')} AS cve_id, * FROM ex_cve",
     "refs": f"""
-        SELECT cve_id, 'cisa_kev' AS source_key, '{KEV_URL}?search_api_fulltext=' || cve_id AS url, 'kev' AS ref_type, 'CISA KEV: ' || kev_name AS title, CAST(kev_date AS TIMESTAMP) AS at FROM vuln WHERE in_kev
+        SELECT cve_id, 'cisa_kev' AS source_key, '{KEV_URL}?search_api_fulltext=' || cve_id AS url, 'kev' AS ref_type, 'CISA KEV: ' || kev_name AS title, CAST(kev_date AS TIMESTAMP) AS dated FROM vuln WHERE in_kev
         UNION ALL SELECT cve_id, 'cisa_kev', 'https://vendor.example.com/' || CAST(p_partkey AS VARCHAR), 'vendor_advisory', 'Vendor advisory (via CISA KEV notes)', NULL FROM vuln WHERE in_kev
         UNION ALL SELECT cve_id, 'nvd', '{NVD_URL}' || cve_id, 'nvd', 'NVD: ' || cve_id, published FROM vuln
         UNION ALL SELECT cve_id, 'cve_org', 'https://www.cve.org/CVERecord?id=' || cve_id, 'cve_org', 'CVE Record: ' || cve_id, published FROM vuln""",
     "events_of": f"""
-        SELECT cve_id, 'cve_published' AS kind, 'CVE published' AS title, 'NVD' AS source, published AS at, '{NVD_URL}' || cve_id AS url FROM vuln WHERE published IS NOT NULL
+        SELECT cve_id, 'cve_published' AS kind, 'CVE published' AS title, 'NVD' AS source, published AS dated, '{NVD_URL}' || cve_id AS url FROM vuln WHERE published IS NOT NULL
         UNION ALL SELECT cve_id, 'kev_added', 'Added to CISA KEV', 'CISA KEV', CAST(kev_date AS TIMESTAMP), '{KEV_URL}' FROM vuln WHERE kev_date IS NOT NULL
         UNION ALL SELECT cve_id, 'remediation_due', 'CISA remediation due date', 'CISA KEV', CAST(kev_date + 21 AS TIMESTAMP), NULL FROM vuln WHERE kev_date IS NOT NULL
         UNION ALL SELECT cve_id, 'collected', 'First collected here', 'vigil', published, NULL FROM vuln WHERE published IS NOT NULL
         UNION ALL SELECT cve_id, CASE doc_type WHEN 'advisory' THEN 'vendor_advisory' ELSE doc_type END, title, {source_name('source_key')}, published_at, url FROM cve_docs
         UNION ALL SELECT cve_id, kind, 'Code ' || external_id, {source_name('source_key')}, published_at, 'https://code.example.org/' || external_id FROM cve_ex""",
     "prov": f"""
-        SELECT cve_id, ref_type AS kind, title, {source_name('source_key')} AS source, 1 AS tier, at, url FROM refs
+        SELECT cve_id, ref_type AS kind, title, {source_name('source_key')} AS source, 1 AS tier, dated, url FROM refs
         UNION ALL SELECT cve_id, doc_type, title, {source_name('source_key')}, tier, published_at, url FROM cve_docs
         UNION ALL SELECT cve_id, kind, 'Code ' || external_id, {source_name('source_key')}, tier, published_at, 'https://code.example.org/' || external_id FROM cve_ex""",
     "exploitation": f"""
@@ -362,7 +362,7 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN kept = '' THEN '' ELSE '?' || kept END AS url, regexp_replace(lower(host), ':[^:]*$', '') AS host
         FROM (SELECT page_id, regexp_extract(url, '^([A-Za-z]+)://', 1) AS scheme, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS host,
             regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path,
-            array_to_string(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), x -> x <> '' AND lower(split_part(x, '=', 1)) NOT IN
+            array_to_string(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN
               ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'ref')), '&') AS kept FROM pages)"""
     q["exact_dup_first_wins"] = "SELECT min(doc_id) AS doc_id, sha256(text) AS digest, arg_min(source, doc_id) AS source FROM documents GROUP BY sha256(text)"
     q["doc_upsert"] = f"""
@@ -459,9 +459,9 @@ def oracle_sql() -> dict[str, str]:
           WHERE contains(lower(title || '~' || description || '~' || product), 'bolt') ORDER BY relevance_score DESC, cve_id LIMIT 10)
         UNION ALL SELECT * FROM (SELECT 'document', url, title, NULL FROM bulletin WHERE contains(lower(title || '~' || summary), 'bolt') LIMIT 10)
         UNION ALL SELECT * FROM (SELECT 'attack', stix_id, name, NULL FROM attack WHERE contains(lower(name), 'bolt') LIMIT 10)"""
-    words = "list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pM\\pN_]+'), w -> w <> '')"
+    words = "list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pM\\pN_]+'), lambda w: w <> '')"
     q["ranked_search"] = f"""
-        WITH t AS (SELECT doc_id, len(list_filter({words}, w -> w = 'inon')) AS tf FROM documents),
+        WITH t AS (SELECT doc_id, len(list_filter({words}, lambda w: w = 'inon')) AS tf FROM documents),
              c AS (SELECT count(*) AS n, count(*) FILTER (tf > 0) AS df FROM t)
         SELECT doc_id, round((1 + ln(tf)) * ln(1 + n / df), 6) AS rank FROM t, c WHERE tf > 0 ORDER BY 2 DESC, 1 LIMIT 50"""
     q["rule_filter"] = """SELECT external_id, title, level, status FROM tracked WHERE level IN ('high', 'critical') AND status = 'experimental'"""
@@ -484,8 +484,8 @@ def oracle_sql() -> dict[str, str]:
     q["indicator_table"] = f"SELECT source_key, kind, value_norm, host, family, attack_stix_id, status, tags, reporter, md5, sha1, {ts('first_seen')} AS first_seen_at FROM ind"
     q["family_resolve"] = f"""SELECT DISTINCT candidate, {ACTOR.format('s_suppkey')} AS stix_id FROM (
           SELECT family AS candidate, k FROM samples WHERE family IS NOT NULL
-          UNION SELECT 'Actor ' || CAST(page_id % 50 AS VARCHAR), page_id % 50 FROM pages) JOIN supplier ON s_suppkey = k"""
-    q["observables"] = r"""SELECT token, CASE WHEN length(token) = 40 THEN 'sha1' WHEN len(list_filter(string_split(token, '.'), o -> CAST(o AS INTEGER) > 255)) = 0 THEN 'ipv4' END AS kind,
+          UNION SELECT 'Actor ' || CAST(page_id % 50 AS VARCHAR), page_id % 50 FROM pages) JOIN supplier ON s_suppkey = k AND s_suppkey % 4 IN (1, 2)"""
+    q["observables"] = r"""SELECT token, CASE WHEN length(token) = 40 THEN 'sha1' WHEN len(list_filter(string_split(token, '.'), lambda o: CAST(o AS INTEGER) > 255)) = 0 THEN 'ipv4' END AS kind,
           count(DISTINCT doc_id) AS docs FROM (
           SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b')) AS token FROM documents
           UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '\b[0-9a-f]{40}\b')) FROM documents) GROUP BY 1, 2"""
@@ -574,7 +574,7 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT cve_id, 'vendor_advisories' FROM vuln WHERE in_kev
           UNION ALL SELECT cve_id, CASE doc_type WHEN 'advisory' THEN 'vendor_advisories' ELSE doc_type END FROM cve_docs
           UNION ALL SELECT cve_id, 'timeline' FROM events_of UNION ALL SELECT cve_id, 'sources' FROM prov) GROUP BY 1, 2"""
-    q["timeline"] = f"SELECT cve_id, kind, title, source, {ts('at')} AS at, url FROM events_of"
+    q["timeline"] = f"SELECT cve_id, kind, title, source, {ts('dated')} AS event_at, url FROM events_of"
     q["source_table"] = "SELECT cve_id, kind, source, CAST(tier AS BIGINT) AS tier, url FROM prov"
     q["publishers"] = "SELECT cve_id, source, CAST(tier AS BIGINT) AS tier, url FROM prov QUALIFY row_number() OVER (PARTITION BY cve_id, source ORDER BY tier DESC, url DESC) = 1"
     q["evidence_fragments"] = f"""
@@ -587,12 +587,12 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT cve_id, 4, lpad(CAST(n AS VARCHAR), 3, '0'), 'ATT&CK ' || id || ' ' || name || ' (explicit mapping): About ' || name, 'MITRE ATT&CK', 1 FROM (
             SELECT t.cve_id, t.id, a.name, row_number() OVER (PARTITION BY t.cve_id ORDER BY t.id) AS n FROM techs t JOIN attack a ON a.external_id = t.id AND a.obj_type = 'technique') WHERE n <= 5)
         QUALIFY row_number() OVER (PARTITION BY cve_id ORDER BY step, place) <= 20"""
-    rows = {"cve_id": "cve_id", "section": "section", "title": "title", "source": "source", "tier": "CAST(tier AS VARCHAR)", "date": _iso("at"), "url": "url"}
+    rows = {"cve_id": "cve_id", "section": "section", "title": "title", "source": "source", "tier": "CAST(tier AS VARCHAR)", "date": _iso("dated"), "url": "url"}
     q["evidence_csv"] = f"""SELECT {', '.join(f'{_csv_cell(c)} AS {n}' for n, c in rows.items())} FROM (
-          SELECT cve_id, 'overview' AS section, title, NULL AS source, NULL AS tier, published AS at, NULL AS url FROM vtitle
+          SELECT cve_id, 'overview' AS section, title, NULL AS source, NULL AS tier, published AS dated, NULL AS url FROM vtitle
           UNION ALL SELECT cve_id, CASE kind WHEN 'exploit' THEN 'public_exploits' ELSE 'pocs' END, 'Code ' || external_id, {source_name('source_key')}, tier, published_at, 'https://code.example.org/' || external_id FROM cve_ex
-          UNION ALL SELECT cve_id, 'timeline:' || kind, title, source, NULL, at, url FROM events_of
-          UNION ALL SELECT cve_id, 'source:' || kind, title, source, tier, at, url FROM prov)"""
+          UNION ALL SELECT cve_id, 'timeline:' || kind, title, source, NULL, dated, url FROM events_of
+          UNION ALL SELECT cve_id, 'source:' || kind, title, source, tier, dated, url FROM prov)"""
     q["cve_json"] = """SELECT cve_id, '{"cve_id":"' || cve_id || '","vendor":"' || vendor || '","product":"' || product || '","in_kev":' || CAST(in_kev AS VARCHAR) || ',"exploit_count":' || CAST(exploits AS VARCHAR) || '}' AS json FROM score"""
 
     done = {name: sql(body) for name, body in q.items()}

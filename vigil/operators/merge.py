@@ -214,7 +214,10 @@ def upsert_documents(docs: DataFrame, batch: DataFrame, as_of: datetime) -> Data
     order = [F.col(c) for c in ("pos", "content_hash") if c in batch.columns]
     rows = first_wins(batch, ["url"], order).withColumn(
         "published_at", F.coalesce("published_at", F.lit(as_of).cast("timestamp")))
-    rules: dict[str, Rule] = {c: overwrite for c in ("title", "summary", "content_hash", "categories", "authors")}
+    differs = ~F.col("o.content_hash").eqNullSafe(F.col("n.content_hash"))
+    rules: dict[str, Rule] = {
+        c: (lambda old, new: F.when(differs, new).otherwise(old))
+        for c in ("title", "summary", "content_hash", "categories", "authors", "full_text")}
     merged = merge(docs, rows, ["url"], rules, compare=["content_hash"])
     return stamp(merged, as_of, created=["collected_at"], changed=["updated_at"])
 

@@ -427,7 +427,7 @@ def attack_objects(s):
 @query
 def enrichment_queue(s):
     """What to fetch next. Records without a severity count as never fetched; listed CVEs of one type stay unknown."""
-    v = s["scored"].filter(F.col("cvss_severity") != "LOW").withColumn(
+    v = s["scored"].filter(~F.col("cvss_severity").eqNullSafe("LOW")).withColumn(
         "nvd_fetched_at", F.when(F.col("cvss_severity").isNotNull(), F.col("nvd_fetched_at")))
     return queries.enrichment_queue(v, s["edge"], schemas.empty(s.spark, "payload_cache"), AS_OF, 60).select("cve_id", n("branch"), n("score"))
 
@@ -629,7 +629,7 @@ def profile_sections(s):
 @query
 def timeline(s):
     """Dated events of every CVE."""
-    return profile.timeline(s.corpus()).select("cve_id", "kind", "title", "source", ts("at").alias("at"), "url")
+    return profile.timeline(s.corpus()).select("cve_id", "kind", "title", "source", ts("at").alias("event_at"), "url")
 
 
 @query
