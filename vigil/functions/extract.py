@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vigil import vocab
+from vigil.functions.binding import let
 
 
 def _words(pattern: str) -> str:
@@ -43,7 +44,7 @@ def needed_literals(pattern: str) -> list[str]:
 
 def _with_lowered(text: Column, build: Callable[[Column], Column]) -> Column:
     """``build`` applied to the lowered text, which is computed once however often it is used."""
-    return F.get(F.transform(F.array(F.lower(text)), build), F.lit(0))
+    return let(F.lower(text), build)
 
 
 def search(text: Column, pattern: str, low: Column) -> Column:

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vigil import vocab
+from vigil.functions.binding import let
 
 # Unicode white space, spelled out: cheaper than switching the whole pattern to (?U).
 _SPACE = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+# The same characters as a string, for the built-in trim and translate.
+_BLANKS = "".join(map(chr, [
+    0x20, *range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+    0x205F, 0x3000]))
+
+
 def squeeze(col: Column) -> Column:
     """Runs of white space become one blank; ends are trimmed."""
     return F.trim(F.regexp_replace(col, f"{_SPACE}+", " "))
@@ -20,7 +28,7 @@ def squeeze(col: Column) -> Column:
 
 def strip(col: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(col, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(col, F.lit(_BLANKS))
 
 
 def clip(col: Column, n: int) -> Column:
@@ -36,12 +44,9 @@ def _codepoint(cp: Column) -> Column:
 
 
 def _entity_names() -> Column:
-    """The standard library's table of HTML entity names as one map literal."""
-    pairs: list[Column] = []
-    for name, value in html5.items():
-        if name.endswith(";"):
-            pairs += [F.lit(name[:-1]), F.lit(value)]
-    return F.create_map(*pairs)
+    """The standard library's table of HTML entity names; Spark folds it into one map literal."""
+    table = {name[:-1]: value for name, value in html5.items() if name.endswith(";")}
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
 
 # Looked up before the long table, because nearly every entity in practice is one of these.
@@ -213,7 +218,8 @@ def like_term(value: str) -> str:
 
 def fold_name(col: Column) -> Column:
     """Vendor and product spelling used for comparison; null folds to ''."""
-    return F.regexp_replace(F.lower(strip(F.coalesce(col, F.lit("")))), f"(?:{_SPACE}|_)+", " ")
+    plain = F.translate(F.lower(strip(F.coalesce(col, F.lit("")))), _BLANKS + "_", " " * (len(_BLANKS) + 1))
+    return let(plain, lambda p: F.when(F.contains(p, F.lit("  ")), F.regexp_replace(p, " {2,}", " ")).otherwise(p))
 
 
 def title_or(title: Column, fallback: Column) -> Column:

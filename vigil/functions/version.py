@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vigil.functions.binding import let
+
 # fixed values: bound notation, separators, and the shape of a version inside prose
 BOUND = r"(>=|<=|>|<)\s*([^\s<>=]+)"
 SEPARATORS = r"[.\-_+]"
@@ -18,19 +20,29 @@ VERSION_IN_TEXT = r"(?<![0-9A-Za-z.])[0-9]+(?:[.][0-9]+)+(?![0-9A-Za-z.])"
 _PART = "array<struct<digits:int,number:string>>"
 
 
+_BOUND_TYPE = "struct<op:string,version:string>"
+RANGE = f"struct<lower:{_BOUND_TYPE},upper:{_BOUND_TYPE},label:string>"
+
+
 def parse_range(versions: Column) -> Column:
     """struct(lower<op,version>, upper<op,version>, label); null when no bound is written."""
     text = F.coalesce(versions, F.lit(""))
-    bounds = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(BOUND), F.lit(1)).alias("op"),
-        F.regexp_extract_all(text, F.lit(BOUND), F.lit(2)).alias("version"))
-    lower = F.try_element_at(F.filter(bounds, lambda b: b["op"].isin(">=", ">")), F.lit(-1))
-    upper = F.try_element_at(F.filter(bounds, lambda b: b["op"].isin("<=", "<")), F.lit(-1))
-    label = F.concat_ws(
-        " ", F.concat_ws(" ", lower["op"], lower["version"]), F.concat_ws(" ", upper["op"], upper["version"]))
-    return F.when(
-        lower.isNotNull() | upper.isNotNull(),
-        F.struct(lower.alias("lower"), upper.alias("upper"), F.trim(label).alias("label")))
+
+    def bound(hit: Column) -> Column:
+        op = F.regexp_extract(hit, "^[<>]=?", 0)
+        return F.when(hit.isNotNull(), F.struct(op, F.regexp_replace(hit, r"^[<>]=?\s*", "")).cast(_BOUND_TYPE))
+
+    def last(hits: Column, sign: str) -> Column:
+        return bound(F.try_element_at(F.filter(hits, lambda h: h.startswith(sign)), F.lit(-1)))
+
+    def rng(hits: Column) -> Column:
+        return let(F.struct(last(hits, ">"), last(hits, "<")).cast(f"struct<lower:{_BOUND_TYPE},upper:{_BOUND_TYPE}>"),
+                   lambda b: F.struct(b["lower"], b["upper"], F.concat_ws(
+                       " ", b["lower"]["op"], b["lower"]["version"], b["upper"]["op"], b["upper"]["version"])).cast(RANGE))
+
+    hits = F.regexp_extract_all(text, F.lit(BOUND), F.lit(0))
+    written = F.contains(text, F.lit("<")) | F.contains(text, F.lit(">"))
+    return F.when(written, let(hits, lambda h: F.when(F.size(h) > 0, rng(h))))
 
 
 def cpe_version(cpe: Column) -> Column:
@@ -41,14 +53,14 @@ def cpe_version(cpe: Column) -> Column:
 
 def parts(version: Column) -> Column:
     """Readable version as comparable parts, or null when any part is not a number."""
-    raw = F.filter(F.split(F.trim(version), SEPARATORS), lambda p: p != "")
-    readable = (F.size(raw) > 0) & F.forall(raw, lambda p: p.rlike("^[0-9]+$"))
-
     def pair(p: Column) -> Column:
-        number = F.regexp_replace(p, "^0+", "")
-        return F.struct(F.length(number).alias("digits"), number.alias("number"))
+        return let(F.regexp_replace(p, "^0+", ""), lambda number: F.struct(F.length(number), number))
+
+    def readable(raw: Column) -> Column:
+        numbers = (F.size(raw) > 0) & F.forall(raw, lambda p: p.rlike("^[0-9]+$"))
+        return F.when(numbers, F.transform(raw, pair).cast(_PART))
 
-    return F.when(readable, F.transform(raw, pair).cast(_PART))
+    return let(F.filter(F.split(F.trim(version), SEPARATORS), lambda p: p != ""), readable)
 
 
 def _padded(tokens: Column, width: Column) -> Column:
@@ -59,8 +71,8 @@ def _padded(tokens: Column, width: Column) -> Column:
 def compare_parts(a: Column, b: Column, a_parts: Column, b_parts: Column) -> Column:
     """-1, 0 or 1, or null when the two cannot be ordered; equal spellings always compare equal."""
     width = F.greatest(F.size(a_parts), F.size(b_parts))
-    left, right = _padded(a_parts, width), _padded(b_parts, width)
-    ordered = F.when(left < right, -1).when(left > right, 1).otherwise(0)
+    both = F.array(_padded(a_parts, width), _padded(b_parts, width))
+    ordered = let(both, lambda v: F.when(v[0] < v[1], -1).when(v[0] > v[1], 1).otherwise(0))
     return F.when(F.trim(a) == F.trim(b), 0).when(a_parts.isNotNull() & b_parts.isNotNull(), ordered)
 
 

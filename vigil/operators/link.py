@@ -49,8 +49,9 @@ def _raw_edges(text: Column, low: Column) -> Column:
 def extract(docs: DataFrame, table: NameTable, key: str = "url", body: str = "full_text") -> Extracted:
     """Edges of every document, and the documents with their exploitation flag and version.
 
-    One scan of the text yields all finders' results; a single explode turns them into edges; one
-    join with the (small) name table resolves names and technique ids.
+    One scan of the text yields all finders' results; a single explode turns them into edges (the
+    outer form, as Spark would evaluate the finders once more to skip empty arrays); one join with
+    the (small) name table resolves names and technique ids.
     """
     text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce(body, F.lit("")))
     found = docs.withColumn("_text", text)
@@ -62,7 +63,7 @@ def extract(docs: DataFrame, table: NameTable, key: str = "url", body: str = "fu
     ).drop("_text", "_low", "cves", "technique_ids", "phrase", "hits")
     rows = found.select(
         F.col(key).cast("string").alias("subject_id"), "source_key", F.col("published_at").alias("observed_at"),
-        F.explode(_raw_edges(F.col("_text"), F.col("_low"))).alias("e")).select(
+        F.explode_outer(_raw_edges(F.col("_text"), F.col("_low"))).alias("e")).filter(F.col("e").isNotNull()).select(
         "subject_id", "source_key", "observed_at", "e.*")
     lookup = table.techniques.select(
         F.lit("technique").alias("object_type"), F.col("external_id").alias("look"), "stix_id").unionByName(

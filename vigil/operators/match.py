@@ -26,16 +26,15 @@ def _asset_side(assets: DataFrame) -> DataFrame:
         "owner_id", "environment_id", "asset_id", fold_name(F.col("product")).alias("product_key"),
         keys.alias("vendor_keys"), F.trim(F.concat_ws(" ", "vendor", "product")).alias("label"),
         F.col("version").alias("asset_version"), parts(F.col("version")).alias("asset_parts"),
-    ).filter(F.col("product_key") != "").withColumn("vendor_key", F.explode("vendor_keys")).drop("vendor_keys")
+    ).filter(F.col("product_key") != "").withColumn("vendor_key", F.explode_outer("vendor_keys")).drop("vendor_keys")
 
 
 def _product_side(rows: DataFrame) -> DataFrame:
     """``rows`` with folded keys. Each pair of an asset and a row shares at most one key."""
-    vendor = fold_name(F.col("vendor"))
-    keys = F.when(vendor.isin(_ANY_VENDOR), F.array(F.lit("unnamed"))).otherwise(
-        F.array(F.concat(F.lit("v:"), vendor), F.lit("named")))
-    return rows.withColumn("product_key", fold_name(F.col("product"))).filter(
-        F.col("product_key") != "").withColumn("vendor_key", F.explode(keys))
+    folded = rows.withColumns({"_vendor": fold_name(F.col("vendor")), "product_key": fold_name(F.col("product"))})
+    keys = F.when(F.col("_vendor").isin(_ANY_VENDOR), F.array(F.lit("unnamed"))).otherwise(
+        F.array(F.concat(F.lit("v:"), "_vendor"), F.lit("named")))
+    return folded.filter(F.col("product_key") != "").withColumn("vendor_key", F.explode_outer(keys)).drop("_vendor")
 
 
 def same_product(assets: DataFrame, products: DataFrame) -> DataFrame:
@@ -46,16 +45,25 @@ def same_product(assets: DataFrame, products: DataFrame) -> DataFrame:
     return _asset_side(assets).join(_product_side(products), ["product_key", "vendor_key"])
 
 
+def _comparable(rows: DataFrame) -> DataFrame:
+    """Product rows with their pinned version or bounds read into comparable parts."""
+    pinned = F.when(F.coalesce("cpe", F.lit("")) != "", cpe_version(F.col("cpe")))
+    return rows.withColumn("pinned", pinned).withColumn(
+        "rng", F.when(F.col("pinned").isNull(), parse_range(F.col("versions")))).withColumns({
+            "pinned_parts": parts(F.col("pinned")), "lower_parts": parts(F.col("rng.lower.version")),
+            "upper_parts": parts(F.col("rng.upper.version"))})
+
+
 def candidate_verdicts(assets: DataFrame, products: DataFrame) -> DataFrame:
     """One row per asset and candidate product row with its own verdict.
 
-    Versions and bounds are read once per row before the join.
+    Product rows no asset could meet are dropped first; the versions and bounds of the others are
+    read once per row, however many assets they meet.
     """
-    prepared = products.withColumn("pinned", cpe_version(F.col("cpe"))).withColumn(
-        "rng", F.when(F.col("pinned").isNull(), parse_range(F.col("versions")))).withColumns({
-            "pinned_parts": parts(F.col("pinned")), "lower_parts": parts(F.col("rng.lower.version")),
-            "upper_parts": parts(F.col("rng.upper.version"))})
-    rows = same_product(assets, prepared)
+    inventory = _asset_side(assets)
+    keys = ["product_key", "vendor_key"]
+    wanted = _product_side(products).join(inventory.select(*keys), keys, "left_semi")
+    rows = inventory.join(_comparable(wanted), keys)
     version, has_cpe = F.col("asset_version"), F.coalesce("cpe", F.lit("")) != ""
     pinned = F.col("pinned").isNotNull()
     cmp = compare_parts(version, F.col("pinned"), F.col("asset_parts"), F.col("pinned_parts"))

@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil import vocab
+from vigil.functions.binding import let
 from vigil.functions.text import strip
 
 _WORD_START = r"(?U)(?<![\w-])(?=[\w-])"
 _WORD = r"(?U)^[\w-]+"
 _GAP = r"(?U)[^\w-]+"
 _CORE = r"(?U)[\w-](?:.*[\w-])?"
+_CUT = "struct<segments:array<string>,words:array<string>>"
 HIT = "struct<start:int,stop:int,size:int,surface:string>"
 
 
@@ -145,16 +147,19 @@ def find_names(docs: DataFrame, key: list[str], text: str, names: DataFrame, inl
     empty = F.array().cast("array<string>")
     if terms.max_words == 0:
         return docs.withColumn("hits", empty)
-    segments, words = F.split(F.col(text), _WORD_START, -1), F.split(F.lower(text), _GAP, -1)
-    cut = F.col("_segments"), F.col("_words")
+    cut = F.struct(F.split(F.col(text), _WORD_START, -1), F.split(F.lower(text), _GAP, -1)).cast(_CUT)
+    candidates = let(cut, lambda c: _candidates(c["segments"], c["words"], terms))
     if terms.folded is not None:
-        cands = docs.withColumns({"_segments": segments, "_words": words}).withColumn("_cands", _candidates(*cut, terms))
-        folded = F.filter("_cands", lambda c: F.lower(c["surface"]).isin(terms.folded))
-        exact = F.filter("_cands", lambda c: c["surface"].isin(terms.exact))
-        surfaces = [F.transform(_leftmost_longest(h), lambda x: x["surface"]) for h in (folded, exact)]
-        return cands.withColumn("hits", F.array_distinct(F.concat(*surfaces))).drop("_segments", "_words", "_cands")
-    cands = docs.select(*key, segments.alias("_segments"), words.alias("_words")).select(
-        *key, _candidates(*cut, terms).alias("_cands")).select(*key, F.explode("_cands").alias("c"))
+        def spellings(cands: Column) -> Column:
+            passes = (F.filter(cands, lambda c: F.lower(c["surface"]).isin(terms.folded)),
+                      F.filter(cands, lambda c: c["surface"].isin(terms.exact)))
+            return F.array_distinct(F.concat(*[
+                F.transform(let(p, _leftmost_longest), lambda x: x["surface"]) for p in passes]))
+
+        # one nested expression: nothing in it can be computed twice by later plan rewrites
+        return docs.withColumn("hits", let(candidates, spellings))
+    cands = docs.select(*key, candidates.alias("_cands")).select(*key, F.explode_outer("_cands").alias("c")).filter(
+        F.col("c").isNotNull())
     shape = names.select("low", "term", "exact").distinct()
     same = (F.lower("c.surface") == F.col("low")) & (~F.col("exact") | (F.col("c.surface") == F.col("term")))
     hits = cands.join(shape, same).groupBy(*key).agg(

@@ -109,7 +109,7 @@ def dictionary_hits(s):
     """How many articles name each actor, whichever spelling they use."""
     table = names.build_names(s["attack_object"])
     hits = names.find_names(s["article"].select("url", "full_text"), ["url"], "full_text", table)
-    rows = hits.select("url", F.explode("hits").alias("hit")).join(table, F.lower("hit") == F.col("low"))
+    rows = hits.select("url", F.explode_outer("hits").alias("hit")).join(table, F.lower("hit") == F.col("low"))
     return rows.select("url", "stix_id").distinct().groupBy("stix_id").agg(F.count("*").alias("articles"))
 
 
@@ -466,8 +466,8 @@ def observables(s):
     """Addresses and digests named in the documents' whole text, by kind."""
     found = F.array_union(F.regexp_extract_all("text", F.lit(corpus.IPV4_IN_TEXT), F.lit(0)),
                           F.regexp_extract_all("text", F.lit(corpus.SHA1_IN_TEXT), F.lit(0)))
-    rows = documents(s).select("doc_id", F.explode(found).alias("token"))
-    return rows.select("token", observable.classify(F.col("token")).alias("kind"), "doc_id").distinct().groupBy("token", "kind").agg(
+    rows = documents(s).select("doc_id", F.explode_outer(found).alias("token"))
+    return rows.filter(F.col("token").isNotNull()).select("token", observable.classify(F.col("token")).alias("kind"), "doc_id").distinct().groupBy("token", "kind").agg(
         F.count("*").alias("docs"))
 
 
