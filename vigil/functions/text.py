@@ -145,7 +145,7 @@ def safe_url(col: Column) -> Column:
 # Input date layouts, tried in order. Offsets and a trailing Z are optional where marked.
 _DATE_LAYOUTS = [
     "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS][XXX][XX][X]",
-    "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS][ z][XXX][XX]",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS][ XX][ XXX][XXX][XX]",
     "yyyy-MM-dd'T'HH:mm[XXX]",
     "yyyy-MM-dd HH:mm",
     "yyyy-MM-dd",
