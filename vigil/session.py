@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 
@@ -52,7 +53,11 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     fields = T.StructType.fromDDL(schema).fields
     if not rows:
         return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
-    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
+    def literal(value, dtype: T.DataType):
+        col = F.from_json(F.lit(json.dumps(value)), dtype) if isinstance(value, dict) else F.lit(value)
+        return col.cast(dtype)
+
+    structs = [F.struct(*[literal(v, f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
