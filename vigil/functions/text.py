@@ -31,10 +31,14 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(_BLANKS))
 
 
+def non_empty(col: Column) -> Column:
+    """The text, or null when it is empty."""
+    return let(col, lambda v: F.when(v != "", v))
+
+
 def clip(col: Column, n: int) -> Column:
     """Trim, cut at ``n`` characters, and turn an empty result into null."""
-    cut = F.substring(strip(col), 1, n)
-    return F.when(cut != "", cut)
+    return non_empty(F.substring(strip(col), 1, n))
 
 
 def _codepoint(cp: Column) -> Column:
@@ -63,21 +67,23 @@ def decode_entities(col: Column) -> Column:
     """
     table = _entity_names()
 
-    def one(piece: Column, i: Column) -> Column:
-        strict = F.regexp_extract(piece, _ENTITY, 1)
-        bare = F.regexp_extract(piece, _BARE_ENTITY, 1)
-        name = F.when(strict != "", strict).otherwise(bare)
-        used = F.length(name) + F.when(strict != "", 1).otherwise(0)
-        number = F.when(
-            name.rlike("^#[xX]"), F.conv(F.regexp_replace(name, "^#[xX]", ""), 16, 10).try_cast("int")
-        ).when(name.startswith("#"), F.regexp_replace(name, "^#", "").try_cast("int"))
-        char = F.lit(None).cast("string")
+    def char_of(name: Column) -> Column:
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.regexp_replace(name, "^#[xX]", ""), 16, 10).try_cast("int")
+                        ).otherwise(F.regexp_replace(name, "^#", "").try_cast("int"))
+        char = F.when(name.startswith("#"), let(number, _codepoint)).otherwise(F.try_element_at(table, name))
         for key, value in reversed(list(_COMMON_ENTITIES.items())):
             char = F.when(name == key, F.lit(value)).otherwise(char)
-        char = F.coalesce(char, F.when(name.startswith("#"), _codepoint(number)).otherwise(F.try_element_at(table, name)))
-        decoded = F.when((name == "") | char.isNull(), F.concat(F.lit("&"), piece)).otherwise(
-            F.concat(char, F.substr(piece, used + 1)))
-        return F.when(i == 0, piece).otherwise(decoded)
+        return char
+
+    def decoded(piece: Column, name: Column) -> Column:
+        rest = F.regexp_replace(F.substr(piece, F.length(name) + 1), "^;", "")
+        return let(char_of(name), lambda c: F.when(c.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(c, rest)))
+
+    def one(piece: Column, i: Column) -> Column:
+        name = let(F.regexp_extract(piece, _ENTITY, 1), lambda n: F.when(n != "", n).otherwise(
+            F.regexp_extract(piece, _BARE_ENTITY, 1)))
+        found = let(name, lambda n: F.when(n == "", F.concat(F.lit("&"), piece)).otherwise(decoded(piece, n)))
+        return F.when(i == 0, piece).otherwise(found)
 
     return F.when(F.instr(col, "&") > 0, F.array_join(F.transform(F.split(col, "&", -1), one), "")).otherwise(col)
 
@@ -99,9 +105,11 @@ def html_to_text(col: Column, max_len: int | None = None) -> Column:
 
 def shorten(text: Column, max_len: int) -> Column:
     """Cut at the last blank before ``max_len`` and mark the cut."""
-    head = F.substring(text, 1, max_len - 1)
-    at_blank = F.regexp_replace(head, r" [^ ]*\z", "")
-    return F.when(F.length(text) > max_len, F.concat(at_blank, F.lit("…"))).otherwise(text)
+    def cut(t: Column) -> Column:
+        at_blank = F.regexp_replace(F.substring(t, 1, max_len - 1), r" [^ ]*\z", "")
+        return F.when(F.length(t) > max_len, F.concat(at_blank, F.lit("…"))).otherwise(t)
+
+    return let(text, cut)
 
 
 def _query_part(raw: Column, decoded: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil import vocab
-from vigil.functions.text import clip, html_to_text, parse_date, safe_url
+from vigil.functions.text import clip, html_to_text, non_empty, parse_date, safe_url
 from vigil.sources.common import Parsed, require, split_rejects, valid_cve_id
 
 ENTRY = (
@@ -22,10 +22,6 @@ def read_kev(spark: SparkSession, path: str) -> Parsed:
     return parse_kev(payload.select(F.explode("vulnerabilities").alias("e")).select("e.*"))
 
 
-def _or_null(col: Column) -> Column:
-    return F.when(col != "", col)
-
-
 def parse_kev(entries: DataFrame) -> Parsed:
     rows = entries.withColumn("_id", valid_cve_id(F.col("cveID"))).withColumn(
         "_notes", html_to_text(F.col("notes"), 4000))
@@ -36,13 +32,13 @@ def parse_kev(entries: DataFrame) -> Parsed:
         F.col("_id").alias("cve_id"),
         clip(html_to_text(F.col("vendorProject")), 200).alias("vendor"),
         clip(html_to_text(F.col("product")), 300).alias("product"),
-        _or_null(html_to_text(F.col("vulnerabilityName"), 500)).alias("kev_name"),
+        non_empty(html_to_text(F.col("vulnerabilityName"), 500)).alias("kev_name"),
         parse_date(F.col("dateAdded")).alias("kev_date_added"),
         parse_date(F.col("dueDate")).alias("kev_due_date"),
-        _or_null(html_to_text(F.col("requiredAction"), 2000)).alias("kev_required_action"),
+        non_empty(html_to_text(F.col("requiredAction"), 2000)).alias("kev_required_action"),
         clip(F.col("knownRansomwareCampaignUse"), 16).alias("kev_ransomware"),
-        _or_null(F.col("_notes")).alias("kev_notes"),
-        _or_null(html_to_text(F.col("shortDescription"), 4000)).alias("short_description"),
+        non_empty(F.col("_notes")).alias("kev_notes"),
+        non_empty(html_to_text(F.col("shortDescription"), 4000)).alias("short_description"),
         F.filter(F.coalesce("cwes", F.array().cast("array<string>")), lambda c: c.startswith("CWE-")).alias("cwes"),
         F.array_distinct(F.array_compact(urls)).alias("note_urls"))
     return Parsed(good, parsed.rejects)
