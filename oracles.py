@@ -595,6 +595,40 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT cve_id, 'source:' || kind, title, source, tier, dated, url FROM prov)"""
     q["cve_json"] = """SELECT cve_id, '{"cve_id":"' || cve_id || '","vendor":"' || vendor || '","product":"' || product || '","in_kev":' || CAST(in_kev AS VARCHAR) || ',"exploit_count":' || CAST(exploits AS VARCHAR) || '}' AS json FROM score"""
 
+    # raw payloads and upserts
+    q["date_parse"] = f"""SELECT event_id, CASE event_type WHEN 'error' THEN NULL WHEN 'signup' THEN {ts("date_trunc('day', ts)")} ELSE {ts('ts')} END AS parsed,
+        CASE WHEN event_type <> 'error' THEN strftime(ts, '%Y-%m-%d') END AS day FROM events"""
+    q["kev_parse"] = f"""SELECT {cve('p_partkey')} AS cve_id, p_brand AS vendor, p_name || ' & co' AS product, 'CWE-79' AS cwes,
+          'https://vendor.example.com/' || CAST(p_partkey AS VARCHAR) || ' https://nvd.nist.gov/x' AS note_urls, '2001-05-06' AS added, CAST(NULL AS BIGINT) AS rejected
+        FROM part WHERE p_type <> 'SMALL' UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, count(*) FROM part WHERE p_type = 'SMALL'"""
+    lines = "(SELECT l_partkey, max(l_linenumber) FILTER (l_linenumber < 7) AS top, min(l_linenumber) FILTER (l_linenumber < 7) AS low FROM lineitem GROUP BY 1)"
+    q["nvd_parse"] = f"""SELECT {cve('p_partkey')} AS cve_id, 'Bug in ' || p_name AS description,
+          CASE WHEN p_type = 'LARGE' THEN 7.5 ELSE round(CAST(p_size AS DOUBLE) / 5.0, 1) END AS cvss_score, CASE WHEN p_type = 'LARGE' THEN 'LOW' ELSE 'HIGH' END AS cvss_severity,
+          'poc' AS ssvc_exploitation, 'yes' AS ssvc_automatable, 'CWE-20' AS cwes, p_brand AS primary_vendor, p_name AS primary_product, '2001-02-03 04:05:06' AS published,
+          CAST(1 AS BIGINT) AS refs, 'https://x.example.org/' || CAST(p_partkey AS VARCHAR) AS ref_url, 'vendor_advisory' AS ref_type FROM part"""
+    q["nvd_products"] = f"""SELECT {cve('p_partkey')} AS cve_id, p_brand AS vendor, p_name AS product, '' AS cpe, '1.1, ' || CAST(p_size AS VARCHAR) AS versions FROM part
+        UNION ALL SELECT {cve('p_partkey')}, p_brand, p_name, 'cpe:2.3:a:' || p_brand || ':' || replace(p_name, ' ', '_') || ':*:*', '>= ' || CAST(top AS VARCHAR) || '.0 < 9.0'
+        FROM part JOIN {lines} ON p_partkey = l_partkey WHERE top IS NOT NULL"""
+    arch = "(SELECT l_orderkey, l_linenumber AS n, min(l_partkey) AS part, CAST(l_orderkey AS VARCHAR) || '00' || CAST(l_linenumber AS VARCHAR) AS id FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber < 7 GROUP BY 1, 2)"
+    q["exploit_upsert"] = f"""SELECT id AS external_id, CASE n WHEN 1 THEN 'old' ELSE 'Overflow in line ' || id END AS title, {cve('part')} AS cves,
+        CASE n WHEN 1 THEN 'unchanged' WHEN 2 THEN 'updated' ELSE 'new' END AS change, CASE WHEN n <= 2 THEN {ts(AS_OF)} ELSE {ts(EVENTS_AS_OF)} END AS collected_at FROM {arch}"""
+    q["repository_parse"] = f"""SELECT 'user' || CAST(c_custkey AS VARCHAR) || '/tool' AS external_id,
+          CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'detection' WHEN 'BUILDING' THEN 'scanner' WHEN 'FURNITURE' THEN 'poc' WHEN 'HOUSEHOLD' THEN 'poc' ELSE 'repository' END AS kind,
+          CASE WHEN c_nationkey < 20 THEN {cve('c_custkey')} ELSE '' END AS cves, c_custkey AS stars, '2001-01-02 00:00:00' AS pushed
+        FROM customer WHERE c_acctbal >= 0 AND (c_mktsegment <> 'HOUSEHOLD' OR c_nationkey < 20)"""
+    q["release_documents"] = """SELECT url, title, sha256(title || body) AS content_hash, CASE WHEN body <> '' THEN least(length(body), 600) END AS excerpt FROM (
+          SELECT 'https://github.com/org/tool/releases/' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS url,
+            'org/tool ' || CASE WHEN role = 'user' THEN '' ELSE 'Release ' END || 'v' || CAST(turn AS VARCHAR) AS title, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM conversations)"""
+    q["rule_upsert"] = """SELECT external_id, 'r2' AS release, CASE WHEN owing THEN 'new' WHEN level = 'low' THEN 'updated' ELSE 'unchanged' END AS change FROM rule"""
+    moved = "obj_type IN ('campaign', 'tool', 'tactic')"
+    q["attack_upsert"] = f"""SELECT stix_id, CASE WHEN {moved} OR obj_type = 'analytic' THEN name ELSE 'old' END AS name,
+        CASE WHEN obj_type = 'analytic' THEN 'new' WHEN obj_type IN ('campaign', 'tool') THEN 'updated' ELSE 'unchanged' END AS change FROM attack"""
+    q["stale_documents"] = f"SELECT url, summary AS full_text FROM bulletin WHERE doc_type <> 'news' AND published_at + INTERVAL 1 DAY >= {AS_OF} - INTERVAL 60 DAY"
+    q["asset_validation"] = """SELECT CAST(c_custkey AS VARCHAR) AS asset_id, c_name AS label, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'os' WHEN 'BUILDING' THEN 'firewall' ELSE 'switch' END AS category,
+        'Acme' AS vendor FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE') AND c_acctbal >= 0 AND c_nationkey <> 3"""
+    q["payload_cache"] = f"""SELECT CAST(o_custkey AS VARCHAR) AS cve_id, {ts('max(f)')} AS fetched_at, max(f) > {AS_OF} - INTERVAL 365 DAY AS fresh
+        FROM (SELECT o_custkey, o_orderdate + to_seconds(o_orderkey % 86400) AS f FROM orders) GROUP BY 1"""
+
     done = {name: sql(body) for name, body in q.items()}
     asked = """asked AS (SELECT sha1(text) AS query, 'sha1' AS query_kind FROM documents
           UNION SELECT regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1), 'domain' FROM pages),

@@ -13,6 +13,8 @@ from vigil.operators import family, inventory, link, match, merge, names, recomp
 from vigil.plans import corpus, environment, export, marts, profile, queries
 from vigil.plans.stage import Stage, stage
 from vigil.session import configure, spread
+from vigil.sources import exploit_archive, feed, kev, nvd, repositories
+from vigil.sources.common import reject_counts
 
 AS_OF, EVENTS_AS_OF = corpus.AS_OF, corpus.EVENTS_AS_OF
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -672,3 +674,115 @@ def cve_markdown(s):
     """Lines of every CVE's report."""
     rows = export.markdown_lines(s.corpus(), s["relationship"])
     return rows.groupBy(n("section")).agg(F.count("*").alias("lines"), F.count_distinct("cve_id").alias("cves"))
+
+
+# ------------------------------------------------------------------------------------ raw payloads and upserts
+@query
+def date_parse(s):
+    """Event times written in five layouts and read back."""
+    e = corpus.load(s.spark, s.d, "events")
+    kind, at = F.col("event_type"), F.col("ts")
+    written = (F.when(kind == "click", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+               .when(kind == "view", F.concat(F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+               .when(kind == "purchase", F.date_format(at, "yyyy-MM-dd HH:mm:ss")).when(kind == "signup", F.date_format(at, "yyyy-MM-dd"))
+               .otherwise(F.lit("no date")))
+    return e.select("event_id", ts(text.parse_dt(written)).alias("parsed"), text.parse_date(written).cast("string").alias("day"))
+
+
+@query
+def kev_parse(s):
+    """Catalogue entries, with the number of rejects on a row of its own."""
+    parsed = kev.parse_kev(corpus.kev_entries(s.spark, s.d))
+    good = parsed.good.select("cve_id", "vendor", "product", joined("cwes").alias("cwes"), joined("note_urls", " ").alias("note_urls"),
+                              F.col("kev_date_added").cast("string").alias("added"), F.lit(None).cast("long").alias("rejected"))
+    return good.unionByName(reject_counts(parsed.rejects).select(F.col("rows").alias("rejected")), allowMissingColumns=True)
+
+
+@query
+def nvd_parse(s):
+    """Database records."""
+    rows = nvd.parse_nvd(corpus.nvd_records(s.spark, s.d)).good
+    ref = F.get("references", F.lit(0))
+    return rows.select("cve_id", "description", "cvss_score", "cvss_severity", "ssvc_exploitation", "ssvc_automatable", joined("cwes").alias("cwes"), "primary_vendor",
+                       "primary_product", ts("published").alias("published"), F.size("references").cast("long").alias("refs"), ref["url"].alias("ref_url"),
+                       ref["ref_type"].alias("ref_type"))
+
+
+@query
+def nvd_products(s):
+    """Product rows, the last platform range of a key winning."""
+    return merge.nvd_products(nvd.parse_nvd(corpus.nvd_records(s.spark, s.d)).good).select("cve_id", "vendor", "product", "cpe", "versions")
+
+
+@query
+def exploit_upsert(s):
+    """Archive rows merged into an older snapshot whose dates moved for one line number."""
+    rows = exploit_archive.parse_exploit_archive(corpus.archive_rows(s.spark, s.d)).good
+    old = rows.filter(F.col("external_id").endswith("1") | F.col("external_id").endswith("2")).withColumns({
+        "source_updated_at": F.when(F.col("external_id").endswith("2"), F.lit(AS_OF).cast("timestamp")).otherwise(F.col("source_updated_at")),
+        "title": F.lit("old"), "collected_at": F.lit(AS_OF).cast("timestamp")}).drop("pos")
+    merged = merge.upsert_exploits(old, rows, EVENTS_AS_OF)
+    return merged.select("external_id", "title", joined("cve_ids").alias("cves"), "change", ts("collected_at").alias("collected_at"))
+
+
+@query
+def repository_parse(s):
+    """Repositories, their kind, and the CVEs they name."""
+    rows = repositories.parse_repositories(corpus.repository_items(s.spark, s.d)).good
+    return rows.select("external_id", "kind", joined("cve_ids").alias("cves"), "stars", ts("source_updated_at").alias("pushed"))
+
+
+@query
+def release_documents(s):
+    """Release notes as documents."""
+    rows = feed.parse_releases(corpus.release_rows(s.spark, s.d)).good
+    return rows.select("url", "title", "content_hash", F.length("summary").cast("long").alias("excerpt"))
+
+
+@query
+def rule_upsert(s):
+    """The next rule release; rules of owing customers were missing, those of one level differ."""
+    new = s["rule"].withColumns({"release": F.lit("r2"), "file": F.col("external_id")})
+    old = s["rule"].filter(F.col("status") == "stable").withColumns({"file": F.col("external_id"), "release": F.when(F.col("level") == "low", "r0").otherwise("r2")})
+    return merge.upsert_rules(old, new, EVENTS_AS_OF).select("external_id", "release", "change")
+
+
+@query
+def attack_upsert(s):
+    """Objects replaced when their date moved; tactics always."""
+    old = s["attack_object"].filter(F.col("obj_type") != "analytic").withColumn(
+        "modified", F.when(F.col("obj_type") != "campaign", F.col("modified"))).withColumn(
+        "modified", F.when(F.col("obj_type") == "tool", F.lit(None)).otherwise(F.coalesce("modified", F.lit(AS_OF).cast("timestamp")))).withColumn("name", F.lit("old"))
+    return merge.upsert_attack_objects(old, s["attack_object"]).select("stix_id", "name", "change")
+
+
+@query
+def stale_documents(s):
+    """Recent bulletins extracted with another dictionary."""
+    docs = s["document"].withColumn("extraction_version", F.when(F.col("doc_type") == "news", "2").when(F.col("doc_type") == "research", "1"))
+    return link.stale_documents(docs, "2", AS_OF).select("url", "full_text")
+
+
+@query
+def asset_validation(s):
+    """Owner-typed rows that pass."""
+    c = corpus.load(s.spark, s.d, "customer")
+    none = F.lit(None).cast("string")
+    rows = c.select(
+        F.col("c_custkey").cast("string").alias("asset_id"), F.concat(F.lit(" \u0007"), "c_name").alias("label"),
+        corpus.case(F.col("c_mktsegment"), {"AUTOMOBILE": "OS", "BUILDING": " firewall", "FURNITURE": "switch"}, "toaster").alias("category"),
+        F.when(F.col("c_acctbal") < 0, "").otherwise("Acme").alias("vendor"), F.lit("Box").alias("product"), none.alias("version"), none.alias("cpe"),
+        none.alias("hardware_model"), F.when(F.col("c_nationkey") == 3, F.repeat(F.lit("x"), 2001)).alias("notes"))
+    return inventory.validate_assets(rows).good.select("asset_id", "label", "category", "vendor")
+
+
+@query
+def payload_cache(s):
+    """Latest answer per record, and whether it is fresh enough."""
+    o = corpus.load(s.spark, s.d, "orders")
+    rows = o.select(F.col("o_custkey").cast("string").alias("cve_id"), F.col("o_orderpriority").alias("payload"), (F.col("o_orderstatus") == "F").alias("found"),
+                    F.timestamp_seconds(F.unix_seconds("o_orderdate") + F.col("o_orderkey") % 86400).alias("fetched_at"))
+    first = rows.filter(F.col("fetched_at") < F.lit("1998-01-01").cast("timestamp"))
+    kept = merge.put_payloads(first, rows.filter(F.col("fetched_at") >= F.lit("1998-01-01").cast("timestamp")))
+    fresh = merge.fresh_payloads(kept, AS_OF, 365).select("cve_id", F.lit(True).alias("fresh"))
+    return kept.join(fresh, "cve_id", "left").select("cve_id", ts("fetched_at").alias("fetched_at"), F.coalesce("fresh", F.lit(False)).alias("fresh"))

@@ -451,3 +451,94 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
         F.when(failed, "error").otherwise("success").alias("status"), k.alias("items_fetched"), k.alias("items_new"),
         F.lit(0).cast("long").alias("items_updated"), F.lit(0).cast("long").alias("items_malformed"),
         F.col("value").cast("long").alias("duration_ms"), F.when(failed, "failed").alias("error"))
+
+
+# ------------------------------------------------------------------------------------ raw payload rows
+def kev_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Catalogue entries as published: untidy ids, markup in names, links inside notes."""
+    part = load(spark, d, "part")
+    cve, key = cve_of(F.col("p_partkey")), F.col("p_partkey").cast("string")
+    return part.select(
+        F.when(F.col("p_type") == "SMALL", F.concat(F.lit("CVE-"), key)).otherwise(F.concat(F.lit(" "), F.lower(cve), F.lit(" "))).alias("cveID"),
+        F.concat(F.lit("<b>"), "p_brand", F.lit("</b>")).alias("vendorProject"), F.concat("p_name", F.lit("  &amp; co")).alias("product"),
+        F.col("p_name").alias("vulnerabilityName"), F.lit("2001-05-06").alias("dateAdded"), F.lit("nothing").alias("shortDescription"),
+        F.lit("").alias("requiredAction"), F.lit("").alias("dueDate"), F.lit("Unknown").alias("knownRansomwareCampaignUse"),
+        F.concat(F.lit("See https://vendor.example.com/"), key, F.lit(". ; https://nvd.nist.gov/x?ref=y , https://vendor.example.com/"), key).alias("notes"),
+        F.array(F.lit("CWE-79"), F.lit("NVD-CWE-noinfo")).alias("cwes"))
+
+
+def nvd_records(spark: SparkSession, d: str) -> DataFrame:
+    """Database records as published: two scores, decision points, one platform row per line number."""
+    part = load(spark, d, "part")
+    numbers = load(spark, d, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("numbers"))
+    cvss = ("array<struct<source:string,type:string,baseSeverity:string,cvssData:struct<version:string,vectorString:string,baseScore:double,baseSeverity:string>>>")
+    option = "array<struct<exploitation:string,automatable:string,technicalImpact:string>>"
+    none = F.lit(None).cast("string")
+    score = F.round(F.col("p_size") / 5.0, 1)
+
+    def metric(source: str, kind: str, value: Column, outer: Column, inner: Column) -> Column:
+        return F.struct(F.lit(source), F.lit(kind), outer, F.struct(F.lit("3.1"), none, value, inner))
+
+    newer = F.array(metric("cna@example.org", "Primary", F.lit(5.0), none, F.lit("medium")), metric("nvd@nist.gov", "Secondary", score, none, F.lit("high"))).cast(cvss)
+    older = F.array(metric("nvd@nist.gov", "Primary", F.lit(7.5), F.lit("low"), none)).cast(cvss)
+    text = lambda lang, value: F.struct(F.lit(lang).alias("lang"), value.alias("value"))
+    cpe = F.concat(F.lit("cpe:2.3:a:"), "p_brand", F.lit(":"), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.lit(":*:*"))
+    matches = F.transform("numbers", lambda i: F.struct(
+        (i < 7).alias("vulnerable"), cpe.alias("criteria"), F.concat(i.cast("string"), F.lit(".0")).alias("versionStartIncluding"),
+        none.alias("versionStartExcluding"), none.alias("versionEndIncluding"), F.lit("9.0").alias("versionEndExcluding")))
+    return part.join(numbers, F.col("p_partkey") == F.col("l_partkey"), "left").select(
+        cve_of(F.col("p_partkey")).alias("id"), F.lit("2001-02-03T04:05:06.000").alias("published"), F.lit("2001-02-04T04:05:06.000").alias("lastModified"),
+        F.lit("Analyzed").alias("vulnStatus"), F.array(text("fr", F.lit("non")), text("en", F.concat(F.lit("Bug in <i>"), "p_name", F.lit("</i>")))).alias("descriptions"),
+        F.struct(F.lit(None).cast(cvss).alias("cvssMetricV40"), F.when(F.col("p_type") != "LARGE", newer).alias("cvssMetricV31"), F.lit(None).cast(cvss).alias("cvssMetricV30"),
+                 older.alias("cvssMetricV2"),
+                 F.array(F.struct(F.lit("x").alias("source"), F.struct(F.array(F.struct(F.lit("none"), none, none), F.struct(F.lit("POC"), F.lit("Yes"), none)).cast(option).alias("options")).alias("ssvcData"))).alias("ssvcV203"),
+                 F.lit(None).cast(f"array<struct<source:string,ssvcData:struct<options:{option}>>>").alias("ssvc")).alias("metrics"),
+        F.array(F.struct(F.array(text("en", F.lit("CWE-20")), text("en", F.lit("NVD-CWE-Other")), text("en", F.lit("CWE-20"))).alias("description"))).alias("weaknesses"),
+        F.array(F.struct(F.array(F.struct(matches.alias("cpeMatch"))).alias("nodes"))).alias("configurations"),
+        F.array(F.struct(F.array(F.struct(F.col("p_brand").alias("vendor"), F.col("p_name").alias("product"), F.array(
+            F.struct(F.lit("1.1").alias("version"), F.lit("affected").alias("status")), F.struct(F.lit("2.0").alias("version"), F.lit("unaffected").alias("status")),
+            F.struct(F.col("p_size").cast("string").alias("version"), F.lit("affected").alias("status"))).alias("versions"))).alias("affectedData"))).alias("affected"),
+        F.array(F.struct(F.concat(F.lit("https://x.example.org/"), F.col("p_partkey").cast("string"), F.lit("?ref=z")).alias("url"),
+                         F.array(F.lit("Patch"), F.lit("Vendor Advisory")).alias("tags")), F.struct(F.lit("ftp://no").alias("url"), F.array(F.lit("Patch")).alias("tags"))).alias("references"))
+
+
+def archive_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Returned order lines as rows of an exploit archive; line 7 carries an unusable id."""
+    line = load(spark, d, "lineitem").filter(F.col("l_returnflag") == "R").groupBy("l_orderkey", "l_linenumber").agg(
+        F.min("l_partkey").alias("part"), F.min("l_shipdate").alias("at"))
+    key = F.concat(F.col("l_orderkey").cast("string"), F.lit("00"), F.col("l_linenumber").cast("string"))
+    none = F.lit(None).cast("string")
+    return line.select(
+        F.when(F.col("l_linenumber") == 7, F.concat(F.lit("x"), key)).otherwise(key).alias("id"),
+        F.concat(F.lit("Overflow in <tt>line</tt> "), key).alias("description"), F.date_format("at", "yyyy-MM-dd").alias("date_published"),
+        F.lit("joe").alias("author"), F.lit("remote").alias("type"), F.lit("linux").alias("platform"), F.lit("").alias("date_updated"),
+        F.date_format("at", "yyyy-MM-dd").alias("date_added"), F.lit("1").alias("verified"),
+        F.concat(cve_of(F.col("part")), F.lit(";OSVDB-1;"), F.lower(cve_of(F.col("part")))).alias("codes"), none.alias("tags"),
+        F.struct(F.lit("lineitem").alias("file"), F.col("l_orderkey").alias("split"), F.col("l_linenumber").cast("long").alias("row")).alias("pos"))
+
+
+REPOSITORY_TEXT = {"AUTOMOBILE": "Sigma hunting rules", "BUILDING": "a mass test tool", "FURNITURE": "payload demo", "HOUSEHOLD": "notes", "MACHINERY": "notes"}
+
+
+def repository_items(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as search hits; owing ones are forks, and one segment was found by a CVE search."""
+    c = load(spark, d, "customer")
+    cve = cve_of(F.col("c_custkey"))
+    by_cve = F.col("c_mktsegment") == "HOUSEHOLD"
+    return c.select(
+        F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit("/tool")).alias("full_name"),
+        F.concat(F.lit("https://github.com/user"), F.col("c_custkey").cast("string"), F.lit("/tool")).alias("html_url"),
+        F.concat(case(F.col("c_mktsegment"), REPOSITORY_TEXT), F.lit(" for "), F.when(F.col("c_nationkey") < 20, cve).otherwise("all")).alias("description"),
+        F.lit("Go").alias("language"), F.col("c_custkey").alias("stargazers_count"), (F.col("c_acctbal") < 0).alias("fork"),
+        F.lit("2001-01-01T00:00:00Z").alias("created_at"), F.lit("2001-01-02T00:00:00Z").alias("pushed_at"), F.struct(F.lit("x").alias("login")).alias("owner"),
+        F.when(by_cve, cve).alias("searched_cve"))
+
+
+def release_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Conversation turns as release notes of a watched repository."""
+    c = spread(load(spark, d, "conversations"), "conv_id")
+    tag = F.concat(F.lit("v"), F.col("turn").cast("string"))
+    return c.select(
+        F.lit("org/tool").alias("repo"), F.concat(F.lit("https://github.com/org/tool/releases/"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("html_url"),
+        F.when(F.col("role") == "user", "").otherwise(F.concat(F.lit("Release "), tag)).alias("name"), tag.alias("tag_name"), F.col("text").alias("body"),
+        F.lit("2001-01-01T00:00:00Z").alias("published_at"))
