@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -218,7 +218,10 @@ def attack_objects(spark: SparkSession, d: str) -> DataFrame:
 
     key = F.col("n_nationkey")
     shortname = F.lower("r_name")
-    analytics = sup.groupBy("s_nationkey").agg(F.array_sort(F.collect_set("s_suppkey")).alias("ids"))
+    # a strategy lists at most 50 analytics; the rank filter cuts before the shuffle
+    by_nation = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    first = sup.withColumn("_n", F.row_number().over(by_nation)).filter(F.col("_n") <= 50)
+    analytics = first.groupBy("s_nationkey").agg(F.array_sort(F.collect_list("s_suppkey")).alias("ids"))
     segments = cus.groupBy("c_nationkey").agg(F.array_sort(F.collect_set("c_mktsegment")).alias("segments"))
     techniques = nat.join(reg, nat["n_regionkey"] == reg["r_regionkey"])
     strategies = nat.join(analytics, key == analytics["s_nationkey"], "left")
