@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil import vocab
+from vigil.functions.binding import let
+from vigil.functions.extract import contains_any
 from vigil.functions.observable import classify, fold, host_of
 from vigil.functions.text import contains_ci
 from vigil.operators.link import resolve_attack, subject_key, technique_stix
@@ -229,9 +231,15 @@ _STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "
                "that", "the", "this", "to", "was", "with"]
 
 
-def _terms(col: Column) -> Column:
-    words = F.split(F.lower(F.coalesce(col, F.lit(""))), r"(?U)[^\w]+")
-    return F.filter(words, lambda w: (w != "") & ~w.isin(_STOP_WORDS))
+def _term_counts(columns: list[str], words: list[str]) -> Column:
+    """Occurrences of each word; texts that hold none of them are not cut into words."""
+    def counts(terms: Column) -> Column:
+        return F.array(*[F.size(terms) - F.size(F.array_remove(terms, w)) for w in words])
+
+    def search(low: Column) -> Column:
+        return F.when(contains_any(low, words), let(F.split(low, r"(?U)[^\w]+"), counts))
+
+    return let(F.lower(F.concat_ws(" ", *columns)), search)
 
 
 def ranked_search(docs: DataFrame, key: str, columns: list[str], q: str, limit: int | None = 10) -> DataFrame:
@@ -243,18 +251,16 @@ def ranked_search(docs: DataFrame, key: str, columns: list[str], q: str, limit:
     words = sorted({w for w in q.lower().split() if w not in _STOP_WORDS})
     if not words:
         raise BadRequest("the query has no searchable word")
-    terms = F.flatten(F.array(*[_terms(F.col(c)) for c in columns]))
-    rows = docs.select(key, terms.alias("_terms")).select(key, *[
-        (F.size("_terms") - F.size(F.array_remove("_terms", w))).alias(f"_tf{i}") for i, w in enumerate(words)])
-    frequency = rows.agg(F.count("*").alias("_n"), *[
-        F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(words))])
+    rows = docs.select(key, _term_counts(columns, words).alias("_tf"))
+    frequency = rows.agg(F.count("*").alias("n"), *[
+        F.count_if(F.get("_tf", F.lit(i)) > 0).alias(f"df{i}") for i in range(len(words))])
     corpus = frequency.select(F.struct("*")).scalar()
-    has_all = F.lit(True)
+    has_all = F.col("_tf").isNotNull()
     points = F.lit(0.0)
     for i in range(len(words)):
-        has_all = has_all & (F.col(f"_tf{i}") > 0)
-        idf = F.log(1 + F.col("_c._n") / F.greatest(F.col(f"_c._df{i}"), F.lit(1)))
-        points = points + (1 + F.log(F.greatest(F.col(f"_tf{i}"), F.lit(1)))) * idf
+        count = F.get("_tf", F.lit(i))
+        has_all = has_all & (count > 0)
+        points = points + (1 + F.log(F.greatest(count, F.lit(1)))) * F.log(1 + F.col("_c.n") / F.greatest(F.col(f"_c.df{i}"), F.lit(1)))
     found = rows.filter(has_all).withColumn("_c", corpus).select(key, F.round(points, 6).alias("rank"))
     found = found.orderBy(F.col("rank").desc(), key)
     return found.limit(limit) if limit else found
