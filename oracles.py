@@ -408,10 +408,10 @@ def oracle_sql() -> dict[str, str]:
 
     # inventory
     q["version_match"] = "SELECT owner_id, asset_id, cve_id, state, method, confidence, evidence, CAST(exposure AS BIGINT) AS exposure FROM exposed"
-    q["rematch_changed"] = "SELECT owner_id, state, count(*) AS matches FROM match GROUP BY 1, 2"
-    q["asset_counts"] = """SELECT a.asset_id, label, vendor, product, 'application' AS category, count(*) FILTER (state = 'affected') AS affected,
+    q["rematch_changed"] = q["version_match"]
+    q["asset_counts"] = """SELECT a.owner_id, a.asset_id, label, vendor, product, 'application' AS category, count(*) FILTER (state = 'affected') AS affected,
         count(*) FILTER (state = 'possibly_affected') AS possibly_affected, count(*) FILTER (state = 'not_affected') AS not_affected,
-        count(*) FILTER (state IN ('affected', 'possibly_affected')) AS total FROM asset a LEFT JOIN match m ON m.asset_id = a.asset_id GROUP BY ALL"""
+        count(*) FILTER (state IN ('affected', 'possibly_affected')) AS total FROM asset a LEFT JOIN match m ON m.asset_id = a.asset_id AND m.owner_id = a.owner_id GROUP BY ALL"""
     q["environment_totals"] = "SELECT count(DISTINCT cve_id) AS total FROM exposed WHERE owner_id = 'SMALL' AND reaching"
     q["verdict_split"] = "SELECT CAST(position AS BIGINT) AS position, s.state, s.label, count(DISTINCT cve_id) AS count FROM states s LEFT JOIN match m ON m.state = s.state GROUP BY ALL"
     q["exposure_by_cve"] = "SELECT cve_id, CAST(max(exposure) AS BIGINT) AS exposure FROM exposed WHERE reaching GROUP BY 1"
@@ -468,7 +468,7 @@ def oracle_sql() -> dict[str, str]:
     q["rule_by_technique"] = "SELECT external_id, level FROM rule WHERE c_nationkey = 3"
     q["rule_details"] = f"""SELECT external_id, 'attack.' || lower({tid('c_nationkey')}) || ',attack.execution' || CASE WHEN owing THEN ',cve.' || substr(cve_id, 5) ELSE '' END AS tags,
         {tid('c_nationkey')} AS attack FROM rule"""
-    q["attack_objects"] = "SELECT stix_id, name, mentions FROM attack JOIN mentions USING (stix_id) WHERE obj_type = 'group' ORDER BY mentions DESC, name LIMIT 100"
+    q["attack_objects"] = "SELECT stix_id, name, mentions FROM attack JOIN mentions USING (stix_id) WHERE obj_type = 'group'"
     q["enrichment_queue"] = f"""SELECT * FROM (
           SELECT cve_id, CAST(0 AS BIGINT) AS branch, relevance_score AS score FROM score WHERE cvss_severity IS NULL AND relevance_score >= 40
           UNION ALL SELECT DISTINCT v.cve_id, 1, 0 FROM vuln v WHERE v.cvss_severity = 'LOW' AND (
@@ -557,10 +557,10 @@ def oracle_sql() -> dict[str, str]:
         QUALIFY row_number() OVER (PARTITION BY stix_id ORDER BY published_at DESC, url) <= 25"""
     q["entity_vulnerabilities"] = """SELECT stix_id, cve_id, relevance_score, row_number() OVER (PARTITION BY stix_id ORDER BY relevance_score DESC, cve_id) AS position
         FROM (SELECT DISTINCT stix_id, cve_id FROM co) JOIN score USING (cve_id) QUALIFY row_number() OVER (PARTITION BY stix_id ORDER BY relevance_score DESC, cve_id) <= 50"""
-    q["technique_detections"] = """SELECT 'attack-pattern--' || CAST(n_nationkey AS VARCHAR) AS technique, 'DET' || lpad(CAST(n_nationkey AS VARCHAR), 4, '0') AS strategy_id, ap AS analytic_pos,
+    q["technique_detections"] = """SELECT 'attack-pattern--' || CAST(n_nationkey AS VARCHAR) AS technique, 'DET' || lpad(CAST(n_nationkey AS VARCHAR), 4, '0') AS strategy_id,
           'AN' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS analytic_id, lp AS log_pos, lower(seg) AS log_name, seg AS component_name
-        FROM nation JOIN (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS ap FROM supplier) ON s_nationkey = n_nationkey AND ap < 6
-        LEFT JOIN (SELECT c_nationkey, seg, row_number() OVER (PARTITION BY c_nationkey ORDER BY seg) - 1 AS lp FROM (SELECT DISTINCT c_nationkey, c_mktsegment AS seg FROM customer)) ON c_nationkey = n_nationkey AND lp < 8"""
+        FROM nation JOIN supplier ON s_nationkey = n_nationkey
+        LEFT JOIN (SELECT c_nationkey, seg, row_number() OVER (PARTITION BY c_nationkey ORDER BY seg) - 1 AS lp FROM (SELECT DISTINCT c_nationkey, c_mktsegment AS seg FROM customer)) ON c_nationkey = n_nationkey"""
     q["technique_mitigations"] = """SELECT 'attack-pattern--' || CAST(n_nationkey AS VARCHAR) AS technique, 'course-of-action--' || CAST(n_nationkey AS VARCHAR) AS mitigation,
         n_name || ' Mitigation' AS name FROM nation"""
 
@@ -619,6 +619,14 @@ def oracle_sql() -> dict[str, str]:
     q["release_documents"] = """SELECT url, title, sha256(title || body) AS content_hash, CASE WHEN body <> '' THEN least(length(body), 600) END AS excerpt FROM (
           SELECT 'https://github.com/org/tool/releases/' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS url,
             'org/tool ' || CASE WHEN role = 'user' THEN '' ELSE 'Release ' END || 'v' || CAST(turn AS VARCHAR) AS title, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM conversations)"""
+    q["indicator_refresh"] = """SELECT kind, value_norm, status, CASE WHEN kind <> 'url' THEN 'kept' ELSE
+        ['new', 'updated', 'unchanged'][1 + length(value_norm) % 3] END AS change FROM ind"""
+    q["latest_documents"] = f"SELECT url, {ts('published_at')} AS published_at FROM bulletin WHERE doc_type = 'research' ORDER BY bulletin.published_at DESC, url LIMIT 8"
+    q["page_total"] = "SELECT count(*) AS total FROM score"
+    q["feed_parse"] = """SELECT url, 'Page ' || CAST(page_id AS VARCHAR) AS title, '2024-05-01 10:00:00' AS published_at, 'news' AS categories, 'desk' AS authors,
+        CAST(3 AS BIGINT) AS tier FROM (""" + q["canonical_url"] + ")"
+    q["repository_upsert"] = f"""SELECT external_id, kind, stars, CASE kind WHEN 'scanner' THEN 'new' WHEN 'detection' THEN 'updated' ELSE 'unchanged' END AS change
+        FROM ({q["repository_parse"]})"""
     q["rule_upsert"] = """SELECT external_id, 'r2' AS release, CASE WHEN owing THEN 'new' WHEN level = 'low' THEN 'updated' ELSE 'unchanged' END AS change FROM rule"""
     moved = "obj_type IN ('campaign', 'tool', 'tactic')"
     q["attack_upsert"] = f"""SELECT stix_id, CASE WHEN {moved} OR obj_type = 'analytic' THEN name ELSE 'old' END AS name,

@@ -43,7 +43,7 @@ def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> tuple[bo
     table = df.toArrow()
     took = time.time() - start
     if sql is None:
-        return True, f"{table.num_rows} rows, no oracle, {took:.1f}s"
+        return False, f"{table.num_rows} rows, no oracle, {took:.1f}s"
     got = multiset(table.column_names, zip(*[c.to_pylist() for c in table.columns])) if table.num_columns else Counter()
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]

@@ -49,7 +49,7 @@ def test_end_to_end(spark, table, landed, tmp_path):
     assert {k: r.status for k, r in runs.items()} == {**{k: "success" for k in KEYS}, "github": "error"}
     assert (runs["cisa_kev"].items_new, runs["cisa_kev"].items_malformed) == (1, 1)
     assert (runs["nvd"].items_new, runs["nvd"].items_updated, runs["nvd"].items_malformed) == (0, 1, 1)
-    assert (runs["malwarebazaar"].items_new, runs["urlhaus"].items_new) == (1, 2)
+    assert (runs["malwarebazaar"].items_new, runs["urlhaus"].items_new) == (1, 3)
     store = Store(spark, out)
     store.write("asset", table([("a1", "o", "e", "edge box", "firewall", "acme inc", "gate way", "1.5", None, True, None, None),
                                 ("a2", "o", "e", "other", "os", "x", "y", "1", None, True, None, None)], schemas.TABLES["asset"]))
@@ -104,7 +104,10 @@ def test_store(spark, table, tmp_path):
     store.write("payload_cache", store.read("payload_cache").unionByName(table([("b", "2", True, AS_OF)], schema)))
     (tmp_path / "payload_cache" / "v9").mkdir()
     assert store.versions("payload_cache") == [0, 1]
-    assert store.read("payload_cache").count() == 2 and store.read("payload_cache", before=1).count() == 1
+    assert store.read("payload_cache").count() == 2
+    store.write("payload_cache", store.read("payload_cache").limit(1), batch="feed-7")
+    assert store.versions("payload_cache") == [0, 1, 2] and store.read("payload_cache").count() == 1
+    assert store.holds("payload_cache", "feed-7") and not store.holds("payload_cache", "feed-70") and not store.holds("payload_cache", "7")
 
 
 def test_stream_landing(spark, tmp_path):
@@ -119,14 +122,19 @@ def test_stream_landing(spark, tmp_path):
         good = parse_urls(rows).good.withColumn("attack_stix_id", F.lit(None).cast("string"))
         return merge.next_snapshot(merge.refresh_indicators(snapshot, good, AS_OF))
 
+    for i in range(3):  # snapshots of batch jobs come first; the stream goes on from them
+        known = parse_urls(spark.sql(f"SELECT 'http://old.example/{i}' AS url, '2024-05-01 10:00:00' AS dateadded, struct('{i}' AS row) AS pos")).good
+        store.write("indicator", merge.next_snapshot(merge.refresh_indicators(
+            store.read("indicator"), known.withColumn("attack_stix_id", F.lit(None).cast("string")), AS_OF)))
     sink = jobs.snapshot_sink(store, "indicator", fold_in)
     jobs.land(jobs.landed_text(spark, str(folder / "urls"), 1), sink, str(tmp_path / "cp")).awaitTermination()
-    assert store.versions("indicator") == [0, 1] and store.read("indicator").count() == 2
+    assert store.versions("indicator") == [0, 1, 2, 3, 4] and store.read("indicator").count() == 5
     land(folder, "urls", "c.csv", '"3","2024-05-01 10:00:00","http://x.example/b","offline","","m","elf","https://u/1/","joe"\n')
     jobs.land(jobs.landed_text(spark, str(folder / "urls"), 1), sink, str(tmp_path / "cp")).awaitTermination()
-    assert {r.value: r.status for r in store.read("indicator").collect()} == {"http://x.example/b": "offline", "http://x.example/c": "online"}
-    sink(spark.read.text(str(folder / "urls" / "c.csv")), 2)
-    assert store.versions("indicator") == [0, 1, 2] and store.read("indicator").count() == 2
+    status = {r.value: r.status for r in store.read("indicator").collect()}
+    assert status == {f"http://old.example/{i}": "unknown" for i in range(3)} | {"http://x.example/b": "offline", "http://x.example/c": "online"}
+    sink(spark.read.text(str(folder / "urls" / "c.csv")), 2)  # a replayed batch changes nothing
+    assert store.versions("indicator") == [0, 1, 2, 3, 4, 5] and store.read("indicator").count() == 5
 
 
 def _run(stream, tmp_path, mode="append"):
@@ -149,8 +157,8 @@ def test_stream_operators(spark, table, tmp_path):
     name = _run(jobs.daily_pulse(read(), "ts"), tmp_path, "complete")
     filled = jobs.fill_days(spark.table(name), datetime(2024, 5, 1), datetime(2024, 5, 3)).orderBy("day").collect()
     assert [(r.total, r.exploited, r.kev) for r in filled] == [(2, 1, 0), (0, 0, 0), (1, 1, 1)]
-    ind = table([("uh", "url", "http://h.example/1", "h.example", "m1"), ("uh", "url", "http://h.example/2", "h.example", None)],
-                "source_key string, kind string, value_norm string, host string, attack_stix_id string")
+    ind = table([("uh", "url", "http://h.example/1", "h.example", "m1", datetime(2024, 5, 1)), ("uh", "url", "http://h.example/2", "h.example", None, datetime(2024, 5, 2))],
+                "source_key string, kind string, value_norm string, host string, attack_stix_id string, first_seen_at timestamp")
     hits = spark.read.parquet(_run(jobs.check_observables(read(), ind), tmp_path / "w4"))
     assert sorted((r["query"], r.value_norm) for r in hits.collect()) == [
         ("h.example", "http://h.example/1"), ("h.example", "http://h.example/2"), ("http://h.example/1", "http://h.example/1"), ("http://h.example/1", "http://h.example/2")]

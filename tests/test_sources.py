@@ -13,6 +13,7 @@ from vigil.sources.common import WrongShape, reject_counts
 
 def write(tmp_path, name, content):
     path = tmp_path / name
+    path.parent.mkdir(exist_ok=True)
     path.write_text(content if isinstance(content, str) else json.dumps(content), encoding="utf-8")
     return str(path)
 
@@ -101,7 +102,8 @@ def test_indicator_dumps(spark, tmp_path):
     assert parsed.rejects.count() == 1
     urls = indicators.read_urls(spark, write(tmp_path, "uh.csv", URLS))
     got = {r.value: (r.host, r.status, r.tags, r.reporter) for r in urls.good.collect()}
-    assert got == {"http://User@Host.example:81/A": ("host.example", "online", ["elf", "Remcos"], "joe"), "http://x.example/b": ("x.example", "unknown", [], None)}
+    assert got == {"http://User@Host.example:81/A": ("host.example", "online", ["elf", "Remcos"], "joe"), "http://x.example/b": ("x.example", "unknown", [], None),
+                   f"http://long.example/{'p' * 700}": ("long.example", "online", [], "joe")}
     assert [r.reason for r in urls.rejects.collect()] == ["not a url"]
     with pytest.raises(WrongShape):
         indicators.read_urls(spark, write(tmp_path, "bad.csv", "a,b\n"))
@@ -191,3 +193,14 @@ def test_registry(spark):
     assert len(rows) == 23
     assert (rows["sigma"].enabled, rows["yara"].enabled, rows["otx"].enabled, rows["krebs"].enabled) == (True, False, False, False)
     assert rows["nvd"].interval_seconds == 5
+
+
+def test_dumps_of_different_layouts(spark, tmp_path):
+    """Each file is read by its own header."""
+    write(tmp_path, "d/a.csv", '# url,dateadded,reporter\n"http://a.example/1","2024-05-01 10:00:00","ann"\n')
+    write(tmp_path, "d/b.csv", '# id,dateadded,reporter,url\n"7","2024-05-02 10:00:00","bob","http://b.example/2"\n')
+    got = {r.value: (r.reporter, r.first_seen_at.day) for r in indicators.read_urls(spark, str(tmp_path / "d")).good.collect()}
+    assert got == {"http://a.example/1": ("ann", 1), "http://b.example/2": ("bob", 2)}
+    write(tmp_path, "d/c.csv", '"8","2024-05-02 10:00:00","bob","http://c.example/2"\n')
+    with pytest.raises(WrongShape):
+        indicators.read_urls(spark, str(tmp_path / "d"))

@@ -215,13 +215,13 @@ def markdown_link(title: Column, url: Column) -> Column:
 
 def contains_ci(col: Column, value: str) -> Column:
     """Case-insensitive literal containment; null reads as no match."""
-    return F.coalesce(F.contains(F.lower(col), F.lit(value[:200].lower())), F.lit(False))
+    return F.coalesce(F.contains(F.lower(col), F.lit(value.lower())), F.lit(False))
 
 
 def like_term(value: str) -> str:
-    """A LIKE pattern that finds ``value`` literally, cut at 200 characters."""
+    """A LIKE pattern that finds the whole ``value`` literally."""
     escaped = value.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
-    return "%" + escaped[:200] + "%"
+    return "%" + escaped + "%"
 
 
 def fold_name(col: Column) -> Column:

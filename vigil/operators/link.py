@@ -125,10 +125,10 @@ def rule_edges(rules: DataFrame, techniques: DataFrame) -> DataFrame:
 
 
 def stale_documents(docs: DataFrame, version: str, as_of: datetime, days: int = vocab.RELINK_DAYS) -> DataFrame:
-    """Recent documents extracted with another dictionary; linked again from their summary."""
+    """Recent documents extracted with another dictionary; linked again from their whole text."""
     since = F.lit(as_of).cast("timestamp") - F.make_interval(days=F.lit(days))
     return docs.filter((F.col("collected_at") >= since) & ~F.col("extraction_version").eqNullSafe(F.lit(version))
-                       ).withColumn("full_text", F.coalesce("summary", F.lit("")))
+                       ).withColumn("full_text", F.coalesce("full_text", "summary", F.lit("")))
 
 
 def technique_stix(objects: DataFrame, technique: str) -> DataFrame:

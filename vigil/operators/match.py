@@ -85,18 +85,6 @@ def candidate_verdicts(assets: DataFrame, products: DataFrame) -> DataFrame:
         hit_text.alias("hit_text"), out_text.alias("out_text"))
 
 
-def _first_reasons(verdicts: DataFrame) -> DataFrame:
-    """The first three ruled-out candidates of each pair, in product order.
-
-    The rank filter cuts every map partition to three rows per pair before the shuffle.
-    """
-    w = Window.partitionBy(*PAIR).orderBy("place", "out_text")
-    return verdicts.filter(F.col("verdict") == "out").withColumn("_n", F.row_number().over(w)).filter(
-        F.col("_n") <= 3).groupBy(*PAIR).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "out_text"))), lambda x: x["out_text"]),
-                     "; ").alias("ruled_out"))
-
-
 def _verdict_row(state: str, method: Column | str, confidence: str, evidence: Column) -> Column:
     return F.struct(
         F.lit(state).alias("state"), (F.lit(method) if isinstance(method, str) else method).alias("method"),
@@ -106,13 +94,18 @@ def _verdict_row(state: str, method: Column | str, confidence: str, evidence: Co
 def match_products(assets: DataFrame, products: DataFrame) -> DataFrame:
     """Verdict of each (asset, CVE) that shares a product row (M2)."""
     verdicts = candidate_verdicts(assets, products)
-    hit = F.col("verdict").isin("exact", "range")
-    pairs = verdicts.groupBy(*PAIR).agg(
+    hit, out = F.col("verdict").isin("exact", "range"), F.col("verdict") == "out"
+    # Only the first three ruled-out rows of a pair are told; the rank filter cuts each map partition to
+    # three rows per pair and verdict before the one shuffle. Of other verdicts the first row is enough.
+    first = Window.partitionBy(*PAIR, "verdict").orderBy("place", "out_text")
+    told = verdicts.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= 3)
+    rows = told.groupBy(*PAIR).agg(
         F.first("label").alias("label"), F.first("asset_version").alias("asset_version"),
         F.min(F.when(hit, F.struct("place", "verdict", "hit_text"))).alias("hit"),
         F.max(F.col("verdict") == "undecided").alias("undecided"),
-        F.max(F.col("verdict") == "no_version").alias("no_version"))
-    rows = pairs.join(_first_reasons(verdicts), PAIR, "left")
+        F.max(F.col("verdict") == "no_version").alias("no_version"),
+        F.array_sort(F.collect_list(F.when(out, F.struct("_n", "out_text")))).alias("_out")
+    ).withColumn("ruled_out", F.when(F.size("_out") > 0, F.array_join(F.transform("_out", lambda x: x["out_text"]), "; ")))
     label, version = F.col("label"), F.col("asset_version")
     listed = F.concat(label, F.lit(" is listed as affected, but "))
     verdict = (
@@ -162,15 +155,18 @@ def rematch(matches: DataFrame, assets: DataFrame, products: DataFrame, vulns: D
             changed_assets: DataFrame | None = None, changed_cves: DataFrame | None = None) -> DataFrame:
     """Matches with the rows of changed assets and changed CVEs computed again (M4).
 
-    ``changed_assets`` needs ``asset_id``, ``changed_cves`` needs ``cve_id``.
+    ``changed_assets`` needs owner_id, environment_id and asset_id, ``changed_cves`` needs cve_id.
     """
-    rows = matches
+    owner = PAIR[:3]
+    rows, fresh = matches, None
     if changed_assets is not None:
-        keys = changed_assets.select("asset_id").distinct()
-        fresh = match_inventory(assets.join(keys, "asset_id", "left_semi"), products, vulns)
-        rows = rows.join(keys, "asset_id", "left_anti").unionByName(fresh, allowMissingColumns=True)
+        keys = changed_assets.select(*owner).distinct()
+        fresh = match_inventory(assets.join(keys, owner, "left_semi"), products, vulns)
+        rows = rows.join(keys, owner, "left_anti")
     if changed_cves is not None:
         keys = changed_cves.select("cve_id").distinct()
-        fresh = match_inventory(assets, products.join(keys, "cve_id", "left_semi"), vulns.join(keys, "cve_id", "left_semi"))
-        rows = rows.join(keys, "cve_id", "left_anti").unionByName(fresh, allowMissingColumns=True)
-    return rows
+        rest = assets if changed_assets is None else assets.join(changed_assets.select(*owner), owner, "left_anti")
+        renewed = match_inventory(rest, products.join(keys, "cve_id", "left_semi"), vulns.join(keys, "cve_id", "left_semi"))
+        rows = rows.join(keys, "cve_id", "left_anti")
+        fresh = renewed if fresh is None else fresh.unionByName(renewed)
+    return rows if fresh is None else rows.unionByName(fresh, allowMissingColumns=True)

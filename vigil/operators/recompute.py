@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.extract import classify_impact, classify_platforms, internet_facing, mentions_ransomware
@@ -52,6 +52,17 @@ def co_mentioned(edge: DataFrame, objects: DataFrame) -> DataFrame:
     return focused_mentions(edge).join(attack_mentions(edge), "doc_id").join(known, "stix_id")
 
 
+def first_actors(together: DataFrame, most: int = 5) -> DataFrame:
+    """The first actor names of each CVE; the score tells that there are any and names five.
+
+    Pairs are made distinct first and the rank filter cuts each map partition, so a CVE that is
+    named beside every known actor gathers no more rows than another.
+    """
+    pairs = together.filter(F.col("obj_type").isin("group", "campaign")).select("cve_id", "name").distinct()
+    w = Window.partitionBy("cve_id").orderBy("name")
+    return pairs.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
+
+
 _SIGNAL = {
     "source": "string", "at": "timestamp", "exploiter": "string", "ransomware": "boolean", "exploits": "int",
     "pocs": "int", "products": "int", "actor": "string", "technique": "string"}
@@ -86,8 +97,8 @@ def signals(c: Corpus) -> DataFrame:
                 exploits=(F.col("kind") == "exploit").cast("int"), pocs=(F.col("kind") == "poc").cast("int")),
         _signal(c.source_reference.filter(F.col("source_key") != "cve_org"), source=F.col("source_key")),
         _signal(c.affected_product, products=F.lit(1)),
-        _signal(together, actor=F.when(F.col("obj_type").isin("group", "campaign"), F.col("name")),
-                technique=F.when(F.col("obj_type") == "technique", F.col("external_id"))),
+        _signal(first_actors(together), actor=F.col("name")),
+        _signal(together.filter(F.col("obj_type") == "technique"), technique=F.col("external_id")),
     ]
     rows = parts[0]
     for part in parts[1:]:
@@ -96,8 +107,8 @@ def signals(c: Corpus) -> DataFrame:
 
 
 def summarise(rows: DataFrame) -> DataFrame:
-    """One row per CVE. The sets hold registered sources and known actors and techniques, so their
-    size is bounded by those dimensions and map-side aggregation shrinks even a very hot CVE."""
+    """One row per CVE. The sets hold registered sources, at most five actors and the knowledge base's
+    techniques, so their size is bounded and map-side aggregation shrinks even a very hot CVE."""
     return rows.groupBy("cve_id").agg(
         F.collect_set("source").alias("sources"), F.max("at").alias("signal_at"),
         F.collect_set("exploiter").alias("exploiters"),

@@ -12,7 +12,7 @@ from vigil.functions import extract, observable, text, version
 from vigil.operators import family, inventory, link, match, merge, names, recompute
 from vigil.plans import corpus, environment, export, marts, profile, queries
 from vigil.plans.stage import Stage, stage
-from vigil.session import configure, spread
+from vigil.session import configure
 from vigil.sources import exploit_archive, feed, kev, nvd, repositories
 from vigil.sources.common import reject_counts
 
@@ -42,11 +42,11 @@ def n(col: str) -> Column:
 
 
 def pages(s: Stage) -> DataFrame:
-    return spread(corpus.load(s.spark, s.d, "pages"), "page_id")
+    return corpus.load(s.spark, s.d, "pages")
 
 
 def documents(s: Stage) -> DataFrame:
-    return spread(corpus.load(s.spark, s.d, "documents"), "doc_id")
+    return corpus.load(s.spark, s.d, "documents")
 
 
 # ------------------------------------------------------------------------------------ text and URLs
@@ -247,17 +247,17 @@ def version_match(s):
 
 @query
 def rematch_changed(s):
-    """M4: recomputing changed assets and CVEs leaves the same table."""
-    changed = s["asset"].filter(F.col("owner_id") == "LARGE")
-    cves = s["scored"].filter("in_kev").select("cve_id")
+    """M4: recomputing about one in a hundred assets and CVEs leaves the same table, row by row."""
+    changed = s["asset"].filter(F.pmod(F.crc32("asset_id"), F.lit(100)) == 0)
+    cves = s["scored"].filter(F.pmod(F.crc32("cve_id"), F.lit(100)) == 0).select("cve_id")
     rows = match.rematch(s["match"], s["asset"], s["product"], s["vulnerability"], changed, cves)
-    return rows.groupBy("owner_id", "state").agg(F.count("*").alias("matches"))
+    return rows.select("owner_id", "asset_id", "cve_id", "state", "method", "confidence", "evidence", n("exposure"))
 
 
 @query
 def asset_counts(s):
     """M9: matches per asset and state, empty assets included."""
-    return environment.counts_by_asset(s["asset"], s["match"])
+    return environment.counts_by_asset(s["asset"], s["match"]).drop("environment_id")
 
 
 @query
@@ -423,7 +423,7 @@ def rule_details(s):
 def attack_objects(s):
     """Groups by mentions."""
     rows = queries.attack_objects(s["attack_object"], s["edge"], "group", mentioned=True)
-    return rows.orderBy(*queries.attack_order()).limit(100).select("stix_id", "name", "mentions")
+    return rows.select("stix_id", "name", "mentions")
 
 
 @query
@@ -612,7 +612,7 @@ def entity_vulnerabilities(s):
 def technique_detections(s):
     """Strategies, analytics and log sources of every technique."""
     return marts.technique_detections(s["attack_object"], s["relationship"]).select(
-        "technique", "strategy_id", n("analytic_pos"), "analytic_id", n("log_pos"), "log_name", "component_name")
+        "technique", "strategy_id", "analytic_id", n("log_pos"), "log_name", "component_name")
 
 
 @query
@@ -739,6 +739,53 @@ def release_documents(s):
     return rows.select("url", "title", "content_hash", F.length("summary").cast("long").alias("excerpt"))
 
 
+@query
+def indicator_refresh(s):
+    """The next dump over a filled table: new, refreshed, unchanged and absent rows."""
+    urls = s["indicator"].filter(F.col("kind") == "url")
+    third = F.length("value_norm") % 3
+    old = urls.filter(third != 0).withColumn("status", F.when(third == 1, "old").otherwise(F.col("status")))
+    old = old.unionByName(s["indicator"].filter(F.col("kind") != "url"))
+    batch = urls.drop("collected_at", "last_seen_at").withColumn("pos", F.col("value_norm"))
+    return merge.refresh_indicators(old, batch, EVENTS_AS_OF).select("kind", "value_norm", "status", "change")
+
+
+@query
+def latest_documents(s):
+    """A3: newest research bulletins."""
+    rows = s["document"].filter(F.col("doc_type") == "research")
+    return marts.latest(rows, "published_at", "url", 8).select("url", ts("published_at").alias("published_at"))
+
+
+@query
+def page_total(s):
+    """How many rows the threat table has in all."""
+    return queries.paginate(s["scored"], queries.threat_order("relevance"), 2, 25).total
+
+
+@query
+def feed_parse(s):
+    """Every page as a feed entry: link, title, text, content hash."""
+    entries = pages(s).select(
+        F.col("url").alias("link"), F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"), F.lit("").alias("summary_html"),
+        F.col("html").alias("content_html"), F.lit("Wed, 01 May 2024 10:00:00 GMT").alias("published"),
+        F.array(F.lit("<b>news</b>"), F.lit("")).alias("categories"), F.array(F.lit("desk")).alias("authors"))
+    rows = feed.parse_entries(entries, "pages", "news", 3).good
+    return rows.select("url", "title", ts("published_at").alias("published_at"), joined("categories").alias("categories"),
+                       joined("authors").alias("authors"), n("tier"))
+
+
+@query
+def repository_upsert(s):
+    """U8: the next search result over known repositories; stars of one kind moved, one kind is new."""
+    rows = repositories.parse_repositories(corpus.repository_items(s.spark, s.d)).good
+    old = rows.filter(F.col("kind") != "scanner").withColumns({
+        "stars": F.when(F.col("kind") == "detection", F.lit(-1)).otherwise(F.col("stars")).cast(rows.schema["stars"].dataType),
+        "collected_at": F.lit(AS_OF).cast("timestamp")})
+    merged = merge.upsert_repositories(old, rows, EVENTS_AS_OF)
+    return merged.select("external_id", "kind", n("stars"), "change")
+
+
 @query
 def rule_upsert(s):
     """The next rule release; rules of owing customers were missing, those of one level differ."""

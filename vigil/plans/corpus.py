@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from vigil import schemas
 from vigil.operators import inventory, link, match, merge, recompute
-from vigil.session import spread
 from vigil.sources.registry import source_tier
 from vigil.sources.rules import cves_from_tags, techniques_from_tags
 
@@ -218,13 +217,8 @@ def attack_objects(spark: SparkSession, d: str) -> DataFrame:
 
     key = F.col("n_nationkey")
     shortname = F.lower("r_name")
-    # a strategy lists at most 50 analytics; the rank filter cuts before the shuffle
-    by_nation = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
-    first = sup.withColumn("_n", F.row_number().over(by_nation)).filter(F.col("_n") <= 50)
-    analytics = first.groupBy("s_nationkey").agg(F.array_sort(F.collect_list("s_suppkey")).alias("ids"))
     segments = cus.groupBy("c_nationkey").agg(F.array_sort(F.collect_set("c_mktsegment")).alias("segments"))
     techniques = nat.join(reg, nat["n_regionkey"] == reg["r_regionkey"])
-    strategies = nat.join(analytics, key == analytics["s_nationkey"], "left")
     watched = sup.join(segments, F.col("s_nationkey") == F.col("c_nationkey"), "left")
     kinds = F.element_at(F.array(*map(F.lit, ("group", "malware", "tool", "campaign"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
     logs = F.transform("segments", lambda s: F.struct(
@@ -237,9 +231,8 @@ def attack_objects(spark: SparkSession, d: str) -> DataFrame:
                 name=F.col("n_name"), tactics=F.array(shortname), description=F.concat(F.lit("About "), "n_name")),
         objects(nat, stix_id=F.concat(F.lit("course-of-action--"), key.cast("string")), obj_type=F.lit("mitigation"),
                 external_id=technique_id(key), name=F.concat("n_name", F.lit(" Mitigation"))),
-        objects(strategies, stix_id=F.concat(F.lit("strategy--"), key.cast("string")), obj_type=F.lit("detection_strategy"),
-                external_id=F.concat(F.lit("DET"), F.lpad(key.cast("string"), 4, "0")), name=F.concat(F.lit("Detect "), "n_name"),
-                extra=extra(analytic_refs=F.transform("ids", lambda i: F.concat(F.lit("analytic--"), i.cast("string"))))),
+        objects(nat, stix_id=F.concat(F.lit("strategy--"), key.cast("string")), obj_type=F.lit("detection_strategy"),
+                external_id=F.concat(F.lit("DET"), F.lpad(key.cast("string"), 4, "0")), name=F.concat(F.lit("Detect "), "n_name")),
         objects(watched, stix_id=F.concat(F.lit("analytic--"), F.col("s_suppkey").cast("string")), obj_type=F.lit("analytic"),
                 external_id=F.concat(F.lit("AN"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")),
                 name=F.concat(F.lit("Analytic "), F.col("s_suppkey").cast("string")), platforms=F.array(F.lit("Linux")),
@@ -267,7 +260,9 @@ def attack_relationships(spark: SparkSession, d: str) -> DataFrame:
 
     return rel(sup, "uses", actor_of(F.col("s_suppkey")), technique_of(F.col("s_nationkey"))).unionByName(
         rel(nat, "mitigates", F.concat(F.lit("course-of-action--"), key.cast("string")), technique_of(key))).unionByName(
-        rel(nat, "detects", F.concat(F.lit("strategy--"), key.cast("string")), technique_of(key)))
+        rel(nat, "detects", F.concat(F.lit("strategy--"), key.cast("string")), technique_of(key))).unionByName(
+        rel(sup, "includes", F.concat(F.lit("strategy--"), F.col("s_nationkey").cast("string")),
+            F.concat(F.lit("analytic--"), F.col("s_suppkey").cast("string"))))
 
 
 RULE_LEVELS = {"AUTOMOBILE": "critical", "BUILDING": "high", "FURNITURE": "medium", "HOUSEHOLD": "low",
@@ -368,7 +363,7 @@ def owner_matches(spark: SparkSession, d: str, owner: str = "STANDARD") -> tuple
 # ------------------------------------------------------------------------------------ text
 def articles(spark: SparkSession, d: str) -> DataFrame:
     """Every document as an article: its whole prose, followed by what its order lines name."""
-    docs = spread(load(spark, d, "documents"), "doc_id")
+    docs = load(spark, d, "documents")
     line, o, sup = load(spark, d, "lineitem"), load(spark, d, "orders"), load(spark, d, "supplier")
     said = F.concat(
         cve_of(F.col("l_partkey")), F.lit(" used by "),
@@ -539,7 +534,7 @@ def repository_items(spark: SparkSession, d: str) -> DataFrame:
 
 def release_rows(spark: SparkSession, d: str) -> DataFrame:
     """Conversation turns as release notes of a watched repository."""
-    c = spread(load(spark, d, "conversations"), "conv_id")
+    c = load(spark, d, "conversations")
     tag = F.concat(F.lit("v"), F.col("turn").cast("string"))
     return c.select(
         F.lit("org/tool").alias("repo"), F.concat(F.lit("https://github.com/org/tool/releases/"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("html_url"),

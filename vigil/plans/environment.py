@@ -14,6 +14,9 @@ from vigil.operators.inventory import list_assets
 from vigil.plans import marts, queries
 
 
+ASSET = ["owner_id", "environment_id", "asset_id"]  # an asset id alone may occur under several owners
+
+
 def scoped(matches: DataFrame, owner: str, environment_id: str) -> DataFrame:
     return matches.filter((F.col("owner_id") == owner) & (F.col("environment_id") == environment_id))
 
@@ -44,12 +47,12 @@ def counts_by_asset(assets: DataFrame, matches: DataFrame, states: list[str] | N
     """Matches per asset and state; assets without any stay with zeros (M9)."""
     rows = matches if passing is None else matches.join(passing.select("cve_id"), "cve_id", "left_semi")
     wanted = _states(states)
-    counts = rows.groupBy("asset_id").agg(
+    counts = rows.groupBy(*ASSET).agg(
         *[F.count_if(F.col("state") == s).alias(s) for s in vocab.STATES],
         F.count_if(F.col("state").isin(wanted)).alias("total"))
     numbers = [*vocab.STATES, "total"]
-    return assets.select("asset_id", "label", "vendor", "product", "category").join(counts, "asset_id", "left").select(
-        "asset_id", "label", "vendor", "product", "category", *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers])
+    columns = [*ASSET, "label", "vendor", "product", "category"]
+    return assets.select(*columns).join(counts, ASSET, "left").select(*columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers])
 
 
 def asset_order() -> list[Column]:
@@ -59,7 +62,7 @@ def asset_order() -> list[Column]:
 def environment_total(assets: DataFrame, matches: DataFrame, states: list[str] | None = None,
                       passing: DataFrame | None = None) -> DataFrame:
     """Distinct CVEs over all assets, which is not the sum of the assets' numbers (M9)."""
-    rows = matches.join(assets.select("asset_id"), "asset_id", "left_semi")
+    rows = matches.join(assets.select(*ASSET), ASSET, "left_semi")
     if passing is not None:
         rows = rows.join(passing.select("cve_id"), "cve_id", "left_semi")
     return matched_cves(rows, states).agg(F.count("*").alias("total"))
@@ -89,11 +92,9 @@ def documents_for(matches: DataFrame, edge: DataFrame, docs: DataFrame, limit: i
 
 def versions_for(products: DataFrame, vendor: str, product: str, limit: int = 60) -> DataFrame:
     """Versions advisories named for one product, newest first."""
-    spark = products.sparkSession
-    folded = spark.range(1).select(fold_name(F.lit(vendor)).alias("v"), fold_name(F.lit(product)).alias("p")).head()
-    rows = products.filter((F.lower("product") == folded["p"]) & F.col("versions").isNotNull())
-    if folded["v"] and folded["v"] != "n/a":
-        rows = rows.filter(F.lower("vendor").isin(folded["v"], "n/a", ""))
+    asked, named = fold_name(F.lit(vendor)), fold_name(F.col("vendor"))
+    rows = products.filter((fold_name(F.col("product")) == fold_name(F.lit(product))) & F.col("versions").isNotNull())
+    rows = rows.filter(asked.isin("", "n/a") | named.isin("", "n/a") | (named == asked))
     return rows.select(F.explode(version_tokens(F.col("versions"))).alias("version")).distinct().orderBy(
         version_sort_key(F.col("version")).desc(), F.col("version").desc()).limit(limit)
 
@@ -101,7 +102,7 @@ def versions_for(products: DataFrame, vendor: str, product: str, limit: int = 60
 def versions_by_product(products: DataFrame, limit: int = 60) -> DataFrame:
     """The same list for every (vendor, product) at once."""
     rows = products.filter(fold_name(F.col("product")) != "").select(
-        F.lower("vendor").alias("vendor"), F.lower("product").alias("product"),
+        fold_name(F.col("vendor")).alias("vendor"), fold_name(F.col("product")).alias("product"),
         F.explode(version_tokens(F.col("versions"))).alias("version")).distinct()
     w = Window.partitionBy("vendor", "product").orderBy(version_sort_key(F.col("version")).desc(), F.col("version").desc())
     return rows.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit)

@@ -180,14 +180,14 @@ def markdown_lines(c: Corpus, relationships: DataFrame) -> DataFrame:
                         F.concat(F.lit("- "), "tid", F.lit(": "), markdown_link(F.col("strategy"), F.col("strategy_url")))))
     platforms = c.attack_object.select(F.col("stix_id").alias("analytic"), F.array_join("platforms", ", ").alias("platforms"))
     described = strip(F.concat_ws(" ", "log_name", "channel"))
-    logs = detections.join(strategies.select("technique", "strategy_stix"), ["technique", "strategy_stix"], "left_semi").filter(
-        (F.col("analytic_pos") < 2) & (F.coalesce("log_pos", F.lit(0)) < 4)).groupBy(
-        "technique", "strategy_stix", "analytic_pos", "analytic").agg(
+    shown = marts.technique_detections(c.attack_object, relationships, analytics=2, logs=4)
+    logs = shown.join(strategies.select("technique", "strategy_stix"), ["technique", "strategy_stix"], "left_semi").groupBy(
+        "technique", "strategy_stix", "analytic").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("log_pos"), described.alias("d")))),
                                  lambda x: F.when(x["d"] != "", x["d"])), "; ").alias("logs")).join(platforms, "analytic", "left")
     parts.append(_lines(
         ids.join(logs, "technique"), 8,
-        F.concat(F.lit("1"), "tid", F.lit("|"), "strategy_stix", F.lit("|"), F.col("analytic_pos").cast("string")),
+        F.concat(F.lit("1"), "tid", F.lit("|"), "strategy_stix", F.lit("|"), "analytic"),
         F.concat(F.lit("  - "), F.coalesce("platforms", blank), F.lit(": "), markdown(F.col("logs")))))
 
     listed = c.source_reference.filter(F.col("ref_type").isin("vendor_advisory", "patch", "mitigation")).select(

@@ -172,7 +172,7 @@ def due_for_run(failures: Column, interval: Column, last_attempt: Column, as_of:
 def run_history(runs: DataFrame, limit: int = 25) -> DataFrame:
     """Latest runs of every source."""
     w = Window.partitionBy("source_key").orderBy(F.col("started_at").desc(), F.col("finished_at").desc_nulls_last())
-    return runs.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= min(limit, 100))
+    return runs.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit)
 
 
 def last_runs(runs: DataFrame) -> DataFrame:
@@ -290,19 +290,29 @@ def technique_mitigations(objects: DataFrame, relationships: DataFrame) -> DataF
         F.substring("description", 1, 400).alias("how"))
 
 
-def technique_detections(objects: DataFrame, relationships: DataFrame, analytics: int = 6, logs: int = 8) -> DataFrame:
-    """Strategy, analytic, log source and component of every technique, one row per log source."""
+def technique_detections(objects: DataFrame, relationships: DataFrame, analytics: int | None = None,
+                         logs: int | None = None) -> DataFrame:
+    """Strategy, analytic, log source and component of every technique, one row per log source.
+
+    A strategy's analytics come from its own list and from ``includes`` relationships, which may be any
+    number. ``analytics`` and ``logs`` keep the first ones only; the default is all.
+    """
     strategies = objects.filter(F.col("obj_type") == "detection_strategy").select(
         F.col("stix_id").alias("source_ref"), F.col("external_id").alias("strategy_id"), F.col("name").alias("strategy"),
-        F.posexplode(F.slice(F.coalesce("extra.analytic_refs", F.array().cast("array<string>")), 1, analytics)).alias(
-            "analytic_pos", "analytic"))
+        F.coalesce("extra.analytic_refs", F.array().cast("array<string>")).alias("refs"))
+    included = relationships.filter(F.col("relationship_type") == "includes").select("source_ref", F.col("target_ref").alias("analytic"))
+    about = strategies.drop("refs")
+    parts = strategies.select(*about.columns, F.explode("refs").alias("analytic")).unionByName(about.join(included, "source_ref")).distinct()
+    if analytics is not None:
+        w = Window.partitionBy("source_ref").orderBy("analytic")
+        parts = parts.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= analytics).drop("_n")
     links = relationships.filter(F.col("relationship_type") == "detects").select("source_ref", F.col("target_ref").alias("technique"))
+    listed = F.col("extra.log_sources") if logs is None else F.slice("extra.log_sources", 1, logs)
     sources = objects.select(
-        F.col("stix_id").alias("analytic"), F.col("external_id").alias("analytic_id"),
-        F.posexplode_outer(F.slice("extra.log_sources", 1, logs)).alias("log_pos", "log"))
+        F.col("stix_id").alias("analytic"), F.col("external_id").alias("analytic_id"), F.posexplode_outer(listed).alias("log_pos", "log"))
     components = objects.select(F.col("stix_id").alias("component"), F.col("name").alias("component_name"))
-    return links.join(strategies, "source_ref").join(sources, "analytic").select(
-        "technique", F.col("source_ref").alias("strategy_stix"), "strategy_id", "strategy", "analytic_pos", "analytic",
+    return links.join(parts, "source_ref").join(sources, "analytic").select(
+        "technique", F.col("source_ref").alias("strategy_stix"), "strategy_id", "strategy", "analytic",
         "analytic_id", "log_pos", F.col("log.data_component").alias("component"), F.col("log.name").alias("log_name"),
         F.col("log.channel").alias("channel")).join(components, "component", "left").drop("component")
 

@@ -359,34 +359,49 @@ def rule_details(table: DataFrame, edge: DataFrame, objects: DataFrame) -> DataF
 
 
 # ------------------------------------------------------------------------------------ indicators
+def newest_by_host(indicators: DataFrame, limit: int) -> DataFrame:
+    """The newest ``limit`` rows of each host, with ``host_rows``, the number of all its rows.
+
+    The rank filter cuts every map partition to ``limit`` rows per host, and the count is summed
+    map-side, so one host that serves a third of all URLs is never gathered.
+    """
+    hosted = indicators.filter(F.col("host").isNotNull())
+    w = Window.partitionBy("host").orderBy(_down("first_seen_at"), "source_key", "kind", "value_norm")
+    first = hosted.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")
+    return first.join(hosted.groupBy("host").agg(F.count("*").alias("host_rows")), "host")
+
+
 def lookup(queries: DataFrame, indicators: DataFrame, limit: int = 50) -> DataFrame:
     """Known rows for each observable in ``queries(query)``: newest first, at most ``limit`` shown,
     with the true total. A query without rows stays, with ``found`` false (R16).
 
-    Three equi joins (value, recorded hash, host) are united and made distinct per query and row;
-    the rank filter keeps at most ``limit`` rows of a query per map partition, so one host that
-    serves a third of all URLs is never gathered.
+    Rows by value and by recorded hash are few for one query. By host a query meets at most ``limit``
+    rows, ranked on the indicator side, and the host's count; a row met by value that is on the asked
+    host is counted once.
     """
     asked = queries.select("query").distinct().withColumns({
         "asked_kind": classify(F.col("query")), "asked_value": fold(F.col("query")), "asked_host": host_of(F.col("query"))})
     valid = asked.filter(F.col("asked_kind").isNotNull())
     key = ["source_key", "kind", "value_norm"]
     rows = indicators.select(*key, "host", "family", "attack_stix_id", "status", "first_seen_at", "related")
-    slim = ["query", "asked_kind", *key, "family", "attack_stix_id", "status", "first_seen_at"]
-    by_value = valid.join(rows, F.col("asked_value") == F.col("value_norm")).select(*slim)
+    slim = ["query", *key, "family", "attack_stix_id", "status", "first_seen_at"]
+    beside = (~F.coalesce(F.col("host") == F.col("asked_host"), F.lit(False))).cast("long").alias("beside")  # not among the host's own rows
+    by_value = valid.join(rows, F.col("asked_value") == F.col("value_norm")).select(*slim, beside)
     hashes = rows.select("*", F.explode(F.array_distinct(F.array_compact(F.array(
         F.try_element_at("related", F.lit("md5")), F.try_element_at("related", F.lit("sha1")))))).alias("other"))
     by_hash = valid.filter(F.col("asked_kind").isin("md5", "sha1")).join(
-        hashes, F.col("asked_value") == F.lower("other")).select(*slim)
+        hashes, F.col("asked_value") == F.lower("other")).select(*slim, beside)
     by_host = valid.filter(F.col("asked_host").isNotNull()).join(
-        rows, F.col("asked_host") == F.col("host")).select(*slim)
-    found = by_value.unionByName(by_hash).unionByName(by_host).distinct()
-    totals = found.groupBy("query").agg(F.count("*").alias("total"))
+        newest_by_host(rows, limit), F.col("asked_host") == F.col("host"))
+    found = by_value.unionByName(by_hash).unionByName(by_host.select(*slim, F.lit(0).cast("long").alias("beside"))).distinct()
+    hosted = by_host.groupBy("query").agg(F.max("host_rows").alias("host_rows"))
+    other = found.groupBy("query").agg(F.sum("beside").alias("beside"))
+    total = F.coalesce("host_rows", F.lit(0)) + F.coalesce("beside", F.lit(0))
     w = Window.partitionBy("query").orderBy(_down("first_seen_at"), *key)
     shown = found.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit)
-    answers = asked.select("query", F.col("asked_kind").alias("query_kind")).join(totals, "query", "left").join(
-        shown.drop("asked_kind"), "query", "left")
-    return answers.withColumn("total", F.coalesce("total", F.lit(0))).withColumn("found", F.col("total") > 0)
+    answers = asked.select("query", F.col("asked_kind").alias("query_kind")).join(hosted, "query", "left").join(
+        other, "query", "left").join(shown.drop("beside"), "query", "left")
+    return answers.withColumn("total", total).drop("host_rows", "beside").withColumn("found", F.col("total") > 0)
 
 
 def indicator_order() -> list[Column]:

@@ -7,6 +7,8 @@ shared one the cluster names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,9 +20,13 @@ from vigil.plans import corpus
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one only where none is named, as in tests."""
+    """The cluster's shared folder. Only a local session, as in tests, may do without one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder if folder else tempfile.mkdtemp(prefix="vigil-")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="vigil-")
 
 
 class Stage:
@@ -54,6 +60,11 @@ class Stage:
             self._done[name] = self.spark.read.parquet(path)
         return self._done[name]
 
+    def drop(self) -> None:
+        """Remove the stored tables; runs when the process ends."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def corpus(self, derived: bool = True) -> recompute.Corpus:
         return recompute.Corpus(
             vulnerability=self["scored" if derived else "vulnerability"], affected_product=self["product"],
@@ -61,6 +72,11 @@ class Stage:
             attack_object=self["attack_object"])
 
 
+def _drop_quietly(tables: Stage) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        tables.drop()
+
+
 _STAGES: dict[tuple[str, str], Stage] = {}
 
 
@@ -68,4 +84,5 @@ def stage(spark: SparkSession, sf_dir: str) -> Stage:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _STAGES:
         _STAGES[key] = Stage(spark, sf_dir)
+        atexit.register(_drop_quietly, _STAGES[key])
     return _STAGES[key]

@@ -59,27 +59,3 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
 
     structs = [F.struct(*[literal(v, f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
     return spark.range(1).select(F.inline(F.array(*structs)))
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` reliably when the session names a shared checkpoint folder.
-
-    The folder comes from ``spark.checkpoint.dir``. Without one the plan is returned unchanged:
-    recomputing is slower but never depends on a disk that one lost executor owns.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a table that sits in fewer files than the session has cores, before work on long texts.
-
-    Only file metadata is looked at. A large table has many files and is left where it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df

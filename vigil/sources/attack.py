@@ -59,20 +59,20 @@ def parse_attack(objects: DataFrame) -> Bundle:
     is_sub = F.coalesce("x_mitre_is_subtechnique", F.lit(False))
     kind = F.col("obj_type")
     aliases = F.when(F.size("aliases") > 0, F.col("aliases")).otherwise(F.coalesce("x_mitre_aliases", _strings()))
-    logs = F.when(kind == "analytic", F.slice(F.transform("x_mitre_log_source_references", lambda r: F.struct(
+    logs = F.when(kind == "analytic", F.transform("x_mitre_log_source_references", lambda r: F.struct(
         r["x_mitre_data_component_ref"].alias("data_component"), r["name"].alias("name"),
-        r["channel"].alias("channel"))), 1, 50)).when(
-        kind == "data_component", F.slice(F.transform("x_mitre_log_sources", lambda r: F.struct(
+        r["channel"].alias("channel")))).when(
+        kind == "data_component", F.transform("x_mitre_log_sources", lambda r: F.struct(
             F.lit(None).cast("string").alias("data_component"), r["name"].alias("name"),
-            r["channel"].alias("channel"))), 1, 50))
+            r["channel"].alias("channel"))))
     typed = objects.withColumn("obj_type", F.try_element_at(types, F.col("type"))).filter(
         F.col("obj_type").isNotNull() & (F.col("id") != "") & (F.col("name") != "")).join(
         order, F.col("id") == F.col("tactic_ref"), "left")
     parsed = typed.select(
         F.substring("id", 1, 128).alias("stix_id"), "obj_type", clip(ref["external_id"], 32).alias("external_id"),
         clip(F.col("name"), 300).alias("name"), clean_description(F.col("description")).alias("description"),
-        F.slice(F.filter(aliases, lambda a: a != F.col("name")), 1, 50).alias("aliases"),
-        F.slice(F.coalesce("x_mitre_platforms", _strings()), 1, 30).alias("platforms"),
+        F.filter(aliases, lambda a: a != F.col("name")).alias("aliases"),
+        F.coalesce("x_mitre_platforms", _strings()).alias("platforms"),
         F.coalesce(F.transform(F.filter("kill_chain_phases", lambda p: p["kill_chain_name"] == "mitre-attack"),
                                lambda p: p["phase_name"]), _strings()).alias("tactics"),
         clip(F.col("x_mitre_shortname"), 64).alias("shortname"), is_sub.alias("is_subtechnique"),
@@ -82,9 +82,8 @@ def parse_attack(objects: DataFrame) -> Bundle:
         parse_dt(F.col("modified")).alias("modified"),
         F.struct(
             logs.cast(_LOG).alias("log_sources"),
-            F.when(kind == "analytic", F.slice(F.transform(
-                "x_mitre_mutable_elements", lambda m: m["field"]), 1, 20)).alias("mutable_elements"),
-            F.when(kind == "detection_strategy", F.slice("x_mitre_analytic_refs", 1, 50)).alias("analytic_refs"),
+            F.when(kind == "analytic", F.transform("x_mitre_mutable_elements", lambda m: m["field"])).alias("mutable_elements"),
+            F.when(kind == "detection_strategy", F.col("x_mitre_analytic_refs")).alias("analytic_refs"),
             F.when(kind == "campaign", F.col("first_seen")).alias("first_seen"),
             F.when(kind == "campaign", F.col("last_seen")).alias("last_seen"),
             F.when(kind == "tactic", F.coalesce("tactic_order", F.lit(99))).alias("order"),

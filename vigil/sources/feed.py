@@ -53,16 +53,16 @@ def read_feed(spark: SparkSession, path: str, source_key: str, doc_type: str = "
 
 
 def parse_entries(entries: DataFrame, source_key: str, doc_type: str, tier: int) -> Parsed:
-    def texts(col: str, chars: int, most: int) -> Column:
-        return F.slice(F.filter(F.transform(col, lambda c: html_to_text(c, chars)), lambda c: c != ""), 1, most)
+    def texts(col: str) -> Column:
+        return F.filter(F.transform(col, lambda c: html_to_text(c)), lambda c: c != "")
 
     body = F.when(F.col("summary_html") != "", F.col("summary_html")).otherwise(F.col("content_html"))
     rows = entries.select(
         safe_url(F.col("link")).alias("url"), html_to_text(F.col("title"), 500).alias("title"),
         html_to_text(body, vocab.FEED_EXCERPT_CHARS).alias("summary"),
         html_to_text(F.concat_ws(" ", "summary_html", "content_html")).alias("full_text"),
-        parse_dt(F.col("published")).alias("published_at"), texts("categories", 64, 20).alias("categories"),
-        texts("authors", 120, 10).alias("authors"), F.col("link"))
+        parse_dt(F.col("published")).alias("published_at"), texts("categories").alias("categories"),
+        texts("authors").alias("authors"), F.col("link"))
     reason = F.when(F.col("url").isNull(), "no usable link").when(F.col("title") == "", "no title")
     parsed = split_rejects(rows, source_key, reason, F.col("link"))
     good = parsed.good.drop("link").withColumns({
@@ -83,7 +83,7 @@ def read_releases(spark: SparkSession, path: str, repo: str) -> Parsed:
 
 def parse_releases(rows: DataFrame) -> Parsed:
     name = F.when(F.col("name") != "", F.col("name")).otherwise(F.col("tag_name"))
-    body = html_to_text(F.col("body"), 20000)
+    body = html_to_text(F.col("body"))  # whole: later changes count, later names are found
     rows = rows.select(
         safe_url(F.col("html_url")).alias("url"),
         F.trim(F.concat_ws(" ", "repo", html_to_text(name, 200))).alias("title"),

@@ -11,7 +11,6 @@ from vigil.sources.common import Parsed, WrongShape, split_rejects, with_positio
 
 SAMPLE_COLUMNS = {"sha256_hash", "first_seen_utc"}
 URL_COLUMNS = {"url", "dateadded"}
-MAX_URL_CHARS = 600
 
 # Optional cells every dump may or may not carry.
 _SAMPLE_CELLS = ["sha256_hash", "first_seen_utc", "md5_hash", "sha1_hash", "imphash", "signature", "reporter",
@@ -26,18 +25,31 @@ def header_cells(line: Column) -> Column:
 
 
 def read_dump(spark: SparkSession, path: str, required: set[str]) -> DataFrame:
-    """Rows of a commented CSV dump; the header is the line that names the required columns."""
-    lines = with_position(spark.read.text(path)).filter(strip(F.col("value")) != "")
+    """Rows of a commented CSV dump; the header is the line that names the required columns.
+
+    Each file is read by its own header. Headers are few words per layout: the distinct ones come to the
+    driver, and a file's lines meet its header by the file's name.
+    """
+    lines = with_position(spark.read.text(path)).filter(strip(F.col("value")) != "").withColumn("file", F.col("pos.file"))
     wanted = F.array(*[F.lit(c) for c in sorted(required)])
     is_header = F.size(F.array_except(wanted, header_cells(F.col("value")))) == 0
-    header = lines.filter(is_header).select(header_cells(F.col("value")).alias("cells")).take(1)
-    if not header:
+    headers = lines.filter(is_header).groupBy("file").agg(F.min_by(header_cells(F.col("value")), "pos").alias("cells"))
+    layouts = [r["cells"] for r in headers.select("cells").distinct().orderBy("cells").collect()]
+    if not layouts:
         raise WrongShape(f"no header with {sorted(required)}")
-    cells = [c if c else f"_c{i}" for i, c in enumerate(header[0]["cells"])]
-    schema = ", ".join(f"`{c}` string" for c in cells)
     body = lines.filter(~F.ltrim("value").startswith("#") & ~is_header)
+    if len(layouts) > 1 and body.join(headers, "file", "left_anti").take(1):
+        raise WrongShape("a file without a header stands beside files of different layouts")
     options = {"ignoreLeadingWhiteSpace": "true", "quote": '"', "escape": '"'}
-    return body.select(F.from_csv("value", F.lit(schema), options).alias("r"), "pos").select("r.*", "pos")
+    found = None
+    for cells in layouts:
+        # one layout serves the parts of a dump that carry no header of their own
+        own = body if len(layouts) == 1 else body.join(
+            headers.filter(F.col("cells") == F.array(*[F.lit(c) for c in cells])).select("file"), "file", "left_semi")
+        schema = ", ".join(f"`{c if c else f'_c{i}'}` string" for i, c in enumerate(cells))
+        rows = own.select(F.from_csv("value", F.lit(schema), options).alias("r"), "pos").select("r.*", "pos")
+        found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
+    return found
 
 
 def _complete(rows: DataFrame, cells: list[str]) -> DataFrame:
@@ -78,13 +90,13 @@ def read_urls(spark: SparkSession, path: str) -> Parsed:
 
 
 def parse_urls(rows: DataFrame) -> Parsed:
-    """URL rows to indicators; over-long URLs are left out without being counted as malformed."""
+    """URL rows to indicators, of any length."""
     url = strip(F.regexp_replace(strip(F.coalesce("url", F.lit(""))), '^"+|"+$', ""))
     rows = _complete(rows, _URL_CELLS).withColumn("_url", url)
     bad = F.coalesce(classify(F.col("_url")) != "url", F.lit(True))
     parsed = split_rejects(rows, "urlhaus", F.when(bad, "not a url"), F.col("url"))
     tags = split_tags(F.col("tags"))
-    good = parsed.good.filter(F.length(fold(F.col("_url"))) <= MAX_URL_CHARS).select(
+    good = parsed.good.select(
         F.lit("urlhaus").alias("source_key"), F.lit(2).alias("tier"), F.lit("url").alias("kind"),
         F.col("_url").alias("value"), fold(F.col("_url")).alias("value_norm"),
         clip(host_of(F.col("_url")), 300).alias("host"), F.lit(None).cast("string").alias("family"),

@@ -24,7 +24,7 @@ def read_kev(spark: SparkSession, path: str) -> Parsed:
 
 def parse_kev(entries: DataFrame) -> Parsed:
     rows = entries.withColumn("_id", valid_cve_id(F.col("cveID"))).withColumn(
-        "_notes", html_to_text(F.col("notes"), 4000))
+        "_notes", html_to_text(F.col("notes")))
     parsed = split_rejects(rows, "cisa_kev", F.when(F.col("_id").isNull(), "invalid CVE id"), F.col("cveID"))
     links = F.regexp_extract_all("_notes", F.lit(vocab.URL_IN_TEXT), F.lit(0))
     urls = F.transform(links, lambda u: safe_url(F.regexp_replace(u, r"[.,)]+$", "")))
@@ -35,10 +35,10 @@ def parse_kev(entries: DataFrame) -> Parsed:
         non_empty(html_to_text(F.col("vulnerabilityName"), 500)).alias("kev_name"),
         parse_date(F.col("dateAdded")).alias("kev_date_added"),
         parse_date(F.col("dueDate")).alias("kev_due_date"),
-        non_empty(html_to_text(F.col("requiredAction"), 2000)).alias("kev_required_action"),
+        non_empty(html_to_text(F.col("requiredAction"))).alias("kev_required_action"),
         clip(F.col("knownRansomwareCampaignUse"), 16).alias("kev_ransomware"),
         non_empty(F.col("_notes")).alias("kev_notes"),
-        non_empty(html_to_text(F.col("shortDescription"), 4000)).alias("short_description"),
+        non_empty(html_to_text(F.col("shortDescription"))).alias("short_description"),
         F.filter(F.coalesce("cwes", F.array().cast("array<string>")), lambda c: c.startswith("CWE-")).alias("cwes"),
         F.array_distinct(F.array_compact(urls)).alias("note_urls"))
     return Parsed(good, parsed.rejects)

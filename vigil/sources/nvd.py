@@ -116,7 +116,7 @@ def products_of(configurations: Column, affected: Column) -> Column:
 
     def listed(x: Column) -> Column:
         hit = F.filter(x["versions"], lambda v: (v["status"] == "affected") & (v["version"] != ""))
-        text = F.substring(F.array_join(F.transform(hit, lambda v: v["version"]), ", "), 1, 1000)
+        text = F.array_join(F.transform(hit, lambda v: v["version"]), ", ")
         return F.when(text != "", text)
 
     by_publisher = F.transform(F.coalesce(items, _no_rows(f"array<{item}>")), lambda x, i: F.struct(
@@ -155,7 +155,7 @@ def parse_nvd(cves: DataFrame) -> Parsed:
     rows = cves.withColumn("_id", valid_cve_id(F.col("id")))
     parsed = split_rejects(rows, "nvd", F.when(F.col("_id").isNull(), "invalid CVE id"), F.col("id"))
     english = F.get(F.filter("descriptions", lambda d: d["lang"] == "en"), F.lit(0))["value"]
-    description = html_to_text(english, 8000)
+    description = html_to_text(english)
     weakness = F.flatten(F.transform("weaknesses", lambda w: F.coalesce(
         w["description"], _no_rows(f"array<{_TEXT}>"))))
     cwes = F.array_distinct(F.filter(F.transform(weakness, lambda d: d["value"]), lambda v: v.startswith("CWE-")))

@@ -12,7 +12,6 @@ from vigil import vocab
 from vigil.functions.text import parse_dt
 from vigil.sources.common import Parsed, split_rejects
 
-MAX_RULE_BYTES = 1024 * 1024
 _DOCUMENT = (
     "file string, error string, external_id string, title string, description string, status string, level string, "
     "author string, logsource map<string,string>, detection string, falsepositives array<string>, "
@@ -32,11 +31,11 @@ def cves_from_tags(tags: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(tags, one)))
 
 
-def read_rules(spark: SparkSession, path: str, release: str, published: str | None = None) -> Parsed:
-    """YAML files of an unpacked rule release; a file over the size limit is left out."""
+def read_rules(spark: SparkSession, path: str, release: str, published: str | None = None, max_bytes: int | None = None) -> Parsed:
+    """YAML files of an unpacked rule release; with ``max_bytes`` a larger file is a reject with that reason."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.{yml,yaml}", recursiveFileLookup=True)
-    files = files.filter(F.col("_metadata.file_size") <= MAX_RULE_BYTES).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    fits = F.lit(True) if max_bytes is None else F.col("_metadata.file_size") <= max_bytes
+    files = files.select(F.col("_metadata.file_path").alias("file"), F.when(fits, F.col("value")).alias("text"))
     return parse_rules(files, release, published)
 
 
@@ -58,8 +57,8 @@ def _load_yaml(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for file, text in zip(batch["file"], batch["text"]):
             try:
-                doc = yaml.safe_load(text)
-                error = None if isinstance(doc, dict) else "document is not a mapping"
+                doc = None if text is None else yaml.safe_load(text)
+                error = "file over the size limit" if text is None else None if isinstance(doc, dict) else "document is not a mapping"
             except yaml.YAMLError:
                 doc, error = None, "unreadable YAML"
             doc = doc if isinstance(doc, dict) else {}

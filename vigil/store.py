@@ -20,7 +20,8 @@ class Store:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)
 
-    def versions(self, table: str) -> list[int]:
+    def _snapshots(self, table: str) -> list[tuple[int, str]]:
+        """(version, folder name) of the complete snapshots, oldest first."""
         folder = self._path(f"{self.root}/{table}")
         fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(folder):
@@ -28,24 +29,33 @@ class Store:
         found = []
         for status in fs.listStatus(folder):
             name = status.getPath().getName()
-            if name.startswith("v") and name[1:].isdigit() and fs.exists(self._path(f"{status.getPath()}/_SUCCESS")):
-                found.append(int(name[1:]))
+            version = name[1:].split("-", 1)[0]
+            if name.startswith("v") and version.isdigit() and fs.exists(self._path(f"{status.getPath()}/_SUCCESS")):
+                found.append((int(version), name))
         return sorted(found)
 
-    def read(self, table: str, before: int | None = None) -> DataFrame:
-        """Newest snapshot, or the newest one older than version ``before``; empty when there is none."""
-        found = [v for v in self.versions(table) if before is None or v < before]
+    def versions(self, table: str) -> list[int]:
+        return [v for v, _ in self._snapshots(table)]
+
+    def holds(self, table: str, batch: str) -> bool:
+        """Whether a complete snapshot was written for this stream batch."""
+        return any(name == f"v{version}-{batch}" for version, name in self._snapshots(table))
+
+    def read(self, table: str) -> DataFrame:
+        """Newest snapshot; empty when there is none."""
+        found = self._snapshots(table)
         if not found:
             return schemas.empty(self.spark, table)
-        return self.spark.read.schema(schemas.TABLES[table]).parquet(f"{self.root}/{table}/v{found[-1]}")
+        return self.spark.read.schema(schemas.TABLES[table]).parquet(f"{self.root}/{table}/{found[-1][1]}")
 
-    def write(self, table: str, rows: DataFrame, version: int | None = None, by: str | None = None) -> None:
-        """Store the next snapshot; writing one version again replaces it, so retries are harmless."""
-        if version is None:
-            version = max(self.versions(table), default=-1) + 1
+    def write(self, table: str, rows: DataFrame, by: str | None = None, batch: str | None = None) -> None:
+        """Store the next snapshot. ``batch`` names the stream batch it takes in; the name and the rows
+        become visible together."""
+        version = max(self.versions(table), default=-1) + 1
         wanted = [c.split(" ")[0].strip("`") for c in _top_level(schemas.TABLES[table])]
         writer = rows.select(*wanted).write.mode("overwrite")
-        (writer.partitionBy(by) if by else writer).parquet(f"{self.root}/{table}/v{version}")
+        name = f"v{version}-{batch}" if batch else f"v{version}"
+        (writer.partitionBy(by) if by else writer).parquet(f"{self.root}/{table}/{name}")
 
 
 def _top_level(ddl: str) -> list[str]:

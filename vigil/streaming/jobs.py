@@ -11,19 +11,23 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vigil.functions.observable import classify, fold, host_of
 from vigil.operators import match
+from vigil.plans import queries
 from vigil.store import Store
 
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def snapshot_sink(store: Store, table: str, merge_batch: Merge) -> Callable[[DataFrame, int], None]:
+def snapshot_sink(store: Store, table: str, merge_batch: Merge, stream: str = "stream") -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that folds each batch into the next snapshot of a table.
 
-    Batch n reads the newest snapshot older than n and writes snapshot n, so a batch that runs again
-    after a failure starts from the same place and replaces its own output.
+    Snapshots are numbered on from the newest, whoever wrote it, and carry the name of the stream and
+    the batch. A batch that runs again after its snapshot was completed is skipped; one that died
+    before left no complete snapshot and is folded into the same rows again.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        store.write(table, merge_batch(store.read(table, before=batch_id), batch), version=batch_id)
+        mark = f"{stream}-{batch_id}"
+        if not store.holds(table, mark):
+            store.write(table, merge_batch(store.read(table), batch), batch=mark)
 
     return run
 
@@ -64,22 +68,27 @@ def fill_days(series: DataFrame, start: datetime, end: datetime) -> DataFrame:
         F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "exploited", "kev")])
 
 
-def check_observables(stream: DataFrame, indicators: DataFrame, column: str = "query") -> DataFrame:
-    """Known indicators for each observable that arrives, by value or by host."""
+def check_observables(stream: DataFrame, indicators: DataFrame, column: str = "query", limit: int = 50) -> DataFrame:
+    """Known indicators for each observable that arrives, by value or by host.
+
+    A host brings its newest ``limit`` rows, ranked on the static side, and the number of all its rows,
+    so a host that serves much of the dump adds no product of rows.
+    """
     asked = stream.select(F.col(column).alias("query"), classify(F.col(column)).alias("query_kind"),
                           fold(F.col(column)).alias("asked_value"), host_of(F.col(column)).alias("asked_host"))
-    known = indicators.select("source_key", "kind", "value_norm", "host", "attack_stix_id")
+    columns = ["source_key", "kind", "value_norm", "attack_stix_id"]
+    by_host = queries.newest_by_host(indicators, limit)
     # one key per way to meet, so a single equi join serves both; a row met both ways by one
     # observable would appear twice, so the host way leaves out exact values
-    ways = known.select(F.lit("value").alias("way"), F.col("value_norm").alias("look"), "*").unionByName(
-        known.filter(F.col("host").isNotNull()).select(F.lit("host").alias("way"), F.col("host").alias("look"), "*"))
+    ways = indicators.select(F.lit("value").alias("way"), F.col("value_norm").alias("look"), *columns, F.lit(1).cast("long").alias("known")).unionByName(
+        by_host.select(F.lit("host").alias("way"), F.col("host").alias("look"), *columns, F.col("host_rows").alias("known")))
     keys = F.array_compact(F.array(
         F.struct(F.lit("value").alias("way"), F.col("asked_value").alias("look")),
         F.when(F.col("asked_host").isNotNull(), F.struct(F.lit("host").alias("way"), F.col("asked_host").alias("look")))))
     rows = asked.filter(F.col("query_kind").isNotNull()).withColumn("k", keys).withColumn("k", F.explode("k")).select(
         "query", "query_kind", "asked_value", "k.*").join(ways, ["way", "look"])
     return rows.filter((F.col("way") == "value") | (F.col("asked_value") != F.col("value_norm"))).select(
-        "query", "query_kind", "source_key", "kind", "value_norm", "attack_stix_id")
+        "query", "query_kind", "source_key", "kind", "value_norm", "attack_stix_id", "known")
 
 
 def match_arrivals(products: DataFrame, assets: DataFrame) -> DataFrame:

@@ -192,12 +192,7 @@ SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "UNSCORED"]
 WINDOW_HOURS = {"24h": 24, "7d": 7 * 24, "30d": 30 * 24, "90d": 90 * 24, "1y": 365 * 24}
 RULE_LEVELS = ["informational", "low", "medium", "high", "critical"]
 RULE_STATUSES = ["stable", "test", "experimental", "deprecated", "unsupported"]
-TIER_LABELS = {
-    1: "Tier 1 — Government / vendor / original researcher",
-    2: "Tier 2 — Major security research organisation",
-    3: "Tier 3 — Security news",
-    4: "Tier 4 — Community / unverified",
-}
+
 BACKOFF_CAP_SECONDS = 6 * 3600
 BACKOFF_MAX_DOUBLINGS = 6
 STALE_AFTER_INTERVALS = 4
