@@ -110,7 +110,7 @@ def _constant(probability: float) -> Machine:
     return Machine(float(np.log(probability / (1 - probability))), np.zeros(PLACES, np.float32), np.zeros((PLACES, 1), np.float32))
 
 
-def fit_machine(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: int = 8, epochs: int = 12, batch: int = 128,
+def fit_machine(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: int = 8, steps: int = 800, batch: int = 128,
                 rate: float = 0.02, decay: float = 1e-4, seed: int = 11) -> Machine:
     """Logistic loss, mini-batch Adam; gradients follow from the same linear-time sums as the score."""
     if len(labels) == 0:
@@ -123,7 +123,7 @@ def fit_machine(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, r
     factors = rng.normal(0, 0.02, (PLACES, rank))
     moments = {"w": [np.zeros(PLACES), np.zeros(PLACES)], "v": [np.zeros((PLACES, rank)), np.zeros((PLACES, rank))]}
     step = 0
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
             chosen = order[at:at + batch]
