@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.shared import Workspace, row_key
+from vigil.llm.shared import Workspace, marked, row_key
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -216,8 +216,9 @@ def similar(docs: DataFrame, ws: Workspace, n: int = NGRAM, threshold: float = T
     chunks = F.greatest(F.ceil(F.col("sets") / chunk_rows), F.ceil(F.col("chars") / chunk_chars)).cast("int")
     members = members.join(totals.select("root", chunks.alias("chunks")), "root").select(
         "root", "node", "rep_key", "copies", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
-    texts = (docs.select(row_key().alias("rep_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-             .join(ws.store(members, "members"), "rep_key").dropDuplicates(["rep_key", "node"]))
+    members = ws.store(members, "members")
+    texts = docs.select(row_key().alias("rep_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = (marked(texts, "rep_key", members.select("rep_key")).join(members, "rep_key").dropDuplicates(["rep_key", "node"]))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     tasks = texts.select("root", "node", "copies", "chunk", "text", other).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
     links = F.lit(0).cast("long")

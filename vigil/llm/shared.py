@@ -75,6 +75,31 @@ def held_out(id_name: str = "doc_id") -> Column:
     return F.coalesce(fold(id_name) == 0, F.lit(False))
 
 
+MARK_BITS = 1 << 27  # 16 MB at most
+_BITS_PER_KEY = 64
+
+
+def marked(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows whose ``key`` may be among ``keys`` (one column): none that is goes missing, few others pass.
+
+    A bit per key hash is set in a bitmap that is built by an aggregation and sent to all tasks; its size is
+    bounded by ``MARK_BITS``, whatever the number of keys. With too many keys for it, more rows pass. A join on
+    the key must follow; what this saves is shuffling the texts of rows that would be dropped there.
+    """
+    bits = 1 << 15
+    wanted = _BITS_PER_KEY * keys.count()
+    while bits < min(wanted, MARK_BITS):
+        bits <<= 1
+    place = lambda c: F.pmod(c, F.lit(bits)) + F.lit(1).cast("long")
+    marks = (keys.select(place(F.col(keys.columns[0])).alias("p"))
+             .groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bitmap")))
+    columns, at = rows.columns, F.bitmap_bit_position(F.col("__place"))
+    byte = F.conv(F.hex(F.substring(F.col("__bitmap"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return (rows.withColumn("__place", place(F.col(key)))
+            .join(F.broadcast(marks), F.bitmap_bucket_number(F.col("__place")) == F.col("__bucket"))
+            .where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*columns))
+
+
 def keep_rows(docs: DataFrame, chosen: DataFrame, order: list[str]) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, text) key is in ``chosen``, one row of each key.
 
