@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.shared import WORD, Workspace, ascii_lower, body, row_key
+from vigil.llm.shared import WORD, Workspace, ascii_lower, body, marked, row_key
 
 SPAN = 13
 GRAM = 6
@@ -117,14 +117,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, ws: Workspace) -> DataFrame:
     hits = ws.store(found.select("key", F.explode("codes").alias("c")).select("key", "c.*")
                     .join(marks, ["span", "hash"], "left_semi").select("key", "span", "place").distinct(), "hits")
     places = hits.groupBy("key").agg(F.collect_set(F.struct("span", "place")).alias("places"))  # within one document
-    touched = docs.select(row_key().alias("key"), "text").join(places, "key").select("key", words_of().alias("words"), "places")
+    places = ws.store(places, "places")
+    touched = marked(docs.select(row_key().alias("key"), "text"), "key", places.select("key")).join(places, "key")
+    touched = touched.select("key", words_of().alias("words"), "places")
     reach = SPAN - GRAM
     starts = F.flatten(F.transform("places", lambda p: F.when(p["span"] < SPAN, F.array(F.struct(p["span"].alias("span"), p["place"].alias("start"))))
                                    .otherwise(F.transform(F.sequence(p["place"] - reach, p["place"]),
                                                           lambda s: F.struct(p["span"].alias("span"), s.alias("start"))))))
-    spans = (touched.withColumn("s", F.explode(F.array_distinct(starts)))
-             .where("s.start >= 0 AND s.start + s.span <= size(words)")
-             .select("key", "s.span", "s.start", F.array_join(F.slice("words", F.col("s.start") + 1, F.col("s.span")), " ").alias("window")))
+    inside = F.filter(F.array_distinct(starts), lambda s: (s["start"] >= 0) & (s["start"] + s["span"] <= F.size("words")))
+    cut = F.transform(inside, lambda s: F.struct(s["span"].alias("span"), s["start"].alias("start"),
+                                                 F.array_join(F.slice("words", s["start"] + 1, s["span"]), " ").alias("window")))
+    # the outer form: for the plain one Spark adds a filter on the array, which would be computed twice
+    spans = touched.select("key", F.explode_outer(cut).alias("s")).where("s IS NOT NULL").select("key", "s.*")
     matched = ws.store(spans.join(tests, ["span", "window"], "left_semi").distinct(), "matched")
 
     # words under any matched span: spans in order of their start, each adds what lies beyond the furthest end so far
