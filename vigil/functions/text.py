@@ -88,16 +88,14 @@ def decode_entities(col: Column) -> Column:
     return F.when(F.instr(col, "&") > 0, F.array_join(F.transform(F.split(col, "&", -1), one), "")).otherwise(col)
 
 
-_BLOCKS = "(?is)<\\s*(" + "|".join(vocab.DROPPED_BLOCKS) + ")\\b.*?<\\s*/\\s*\\1\\s*>"
-_CLOSERS = r"(?i)<\s*(br|/p|/div|/li|/h[1-6]|/tr)\s*/?>"
 # Possessive repeats keep Java's matcher from recursing once per character.
 _COMMENTS_AND_TAGS = r"(?s)<!--.*?(?:-->|\z)|<[a-zA-Z/!?](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:>|\z)"
 
 
 def html_to_text(col: Column, max_len: int | None = None) -> Column:
     """Markup to plain text: drop active blocks, comments and tags, decode once, squeeze blanks."""
-    text = F.regexp_replace(F.coalesce(col, F.lit("")), _BLOCKS, " ")
-    text = F.regexp_replace(text, _CLOSERS, " ")
+    text = F.regexp_replace(F.coalesce(col, F.lit("")), vocab.ACTIVE_BLOCK, " ")
+    text = F.regexp_replace(text, vocab.LINE_END_TAG, " ")
     text = F.regexp_replace(text, _COMMENTS_AND_TAGS, "")
     text = squeeze(decode_entities(text))
     return shorten(text, max_len) if max_len else text

@@ -103,7 +103,8 @@ CASE_SENSITIVE_BELOW_CHARS = 6
 
 # ---------------------------------------------------------------- fixed values: URLs and text
 TRACKING_PARAMS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref"]
-DROPPED_BLOCKS = ["script", "style", "noscript", "iframe", "object", "template"]
+ACTIVE_BLOCK = r"(?is)<\s*(script|style|noscript|iframe|object|template)\b.*?<\s*/\s*\1\s*>"
+LINE_END_TAG = r"(?i)<\s*(br|/p|/div|/li|/h[1-6]|/tr)\s*/?>"
 FORMULA_PREFIXES = ["=", "+", "-", "@", "\t", "\r"]
 
 # ---------------------------------------------------------------- fixed values: observables
