@@ -427,7 +427,7 @@ def oracle_sql() -> dict[str, str]:
         WHERE cve_id IN (SELECT cve_id FROM exposed WHERE owner_id = 'SMALL' AND reaching) GROUP BY url ORDER BY any_value(cve_docs.published_at) DESC, url LIMIT 20"""
     q["environment_header"] = "SELECT s.state, count(m.cve_id) AS count FROM states s LEFT JOIN match m ON m.state = s.state AND m.owner_id = 'LARGE' GROUP BY 1"
     q["versions_by_product"] = """SELECT vendor, product, CAST(k AS VARCHAR) || '.0' AS version, row_number() OVER (PARTITION BY vendor, product ORDER BY k DESC) AS position FROM (
-          SELECT DISTINCT lower(vendor) AS vendor, lower(product) AS product, k FROM (
+          SELECT DISTINCT replace(lower(vendor), '_', ' ') AS vendor, replace(lower(product), '_', ' ') AS product, k FROM (
             SELECT vendor, product, abs(p_size - 5) AS k FROM prod WHERE versions LIKE '>=%' UNION ALL SELECT vendor, product, p_size + 5 FROM prod WHERE versions LIKE '>=%'))
         QUALIFY row_number() OVER (PARTITION BY vendor, product ORDER BY k DESC) <= 60"""
     q["catalogue"] = """SELECT min(vendor) AS vendor, min(product) AS product, count(*) AS rows FROM prod WHERE contains(lower(product), 'ring') AND vendor <> 'n/a'
