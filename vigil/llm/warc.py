@@ -109,14 +109,19 @@ class _Archives:
             self.fs.delete_dir(self.own)
 
 
+_FEED = 1 << 14  # bytes unpacked at once; what lies behind a member is copied, so not the whole file
+
+
 def _members(content: bytes) -> Iterator[tuple[int, bytes]]:
     """(offset, record) of each gzip member."""
     at, view = 0, memoryview(content)
     while at < len(content):
-        unpack = zlib.decompressobj(31)
-        record = unpack.decompress(view[at:]) + unpack.flush()
-        yield at, record
-        at = len(content) - len(unpack.unused_data)
+        unpack, parts, fed = zlib.decompressobj(31), [], at
+        while not unpack.eof and fed < len(content):
+            parts.append(unpack.decompress(view[fed:fed + _FEED]))
+            fed += _FEED
+        yield at, b"".join(parts)
+        at = min(fed, len(content)) - len(unpack.unused_data)
 
 
 def _write(rows: DataFrame, folder: str, suffix: str, opening: Callable[[str], bytes], record: Callable[[dict], bytes],
