@@ -38,8 +38,8 @@ THRESHOLD = 0.8
 TREES = 40
 DEPTH = 7
 TARGET_RECALL = 0.99999
-CHUNK_ROWS = 1500
-CHUNK_CHARS = 6_000_000
+CHUNK_ROWS = 500
+CHUNK_CHARS = 3_000_000
 _SLAB = 2048  # n-grams whose MinHash values are computed at once
 
 # ASCII letters are lowered, other ASCII but digits separates, bytes beyond ASCII belong to words
