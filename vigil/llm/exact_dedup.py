@@ -20,7 +20,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.shared import Workspace, ascii_lower, body, row_key
+from vigil.llm.shared import Workspace, ascii_lower, body, marked, row_key
 
 ARRIVALS = "doc_id long, key long, text_sha256 string, n_bytes long, locator long"
 _STATE_CONF = {
@@ -76,8 +76,9 @@ def settle(spark: SparkSession, feed: str, state: str, digest: Callable[[Column]
 def _by_text(docs: DataFrame, members: DataFrame, digest: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
     """The texts of all hits with their groups, and the digests that stand for more than one text."""
     hits = members.where("group_size > 1").select("key")
-    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), ascii_lower(body()).alias("content"))
-             .join(hits, "key", "left_semi"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), "text")
+    texts = (marked(rows, "key", hits).join(hits, "key", "left_semi")
+             .select("doc_id", "key", ascii_lower(body()).alias("content")))
     groups = (texts.groupBy(digest(F.sha2("content", 256)).alias("digest"), "content")
               .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("most")))
     return texts, groups.groupBy("digest").agg(F.count(F.lit(1)).alias("n_texts")).where("n_texts > 1")
