@@ -285,6 +285,15 @@ CTES: dict[str, str] = {
 }
 
 
+# The inventory queries over every part as an asset: the same answers with this in the place of ``asset``.
+FLEET_QUERIES = ("version_match", "rematch_changed", "asset_counts", "verdict_split", "exposure_by_cve", "environment_figures", "environment_csv",
+                 "environment_totals", "environment_threats", "reaching_severity", "environment_documents", "environment_header")
+FLEET = """
+        SELECT 'part-' || CAST(p_partkey AS VARCHAR) AS asset_id, 'site-' || CAST(p_partkey // 400 AS VARCHAR) AS owner_id, p_brand || ' host' AS label,
+          p_brand AS vendor, upper(p_name) AS product, p_size AS size, CASE WHEN p_type <> 'ECONOMY' THEN CAST(p_size AS VARCHAR) || '.0.0' END AS version
+        FROM part"""
+
+
 def sql(body: str) -> str:
     """``body`` with the common table expressions it needs, in dependency order."""
     order: list[str] = []
@@ -645,4 +654,7 @@ def oracle_sql() -> dict[str, str]:
           QUALIFY row_number() OVER (PARTITION BY query ORDER BY first_seen DESC, source_key, kind, value_norm) <= 50)"""
     base = sql("SELECT 1 FROM ind").removesuffix("\nSELECT 1 FROM ind")
     done["indicator_lookup"] = f"{base},\n{asked}\n" + q["indicator_lookup"].replace("WITH_SPLIT", "")
+    for name in FLEET_QUERIES:
+        done[f"{name}_fleet"] = done[name].replace(CTES["asset"], FLEET).replace("owner_id = 'SMALL'", "owner_id = 'site-0'").replace(
+            "owner_id = 'LARGE'", "owner_id = 'site-0'")
     return done

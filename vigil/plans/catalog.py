@@ -11,7 +11,7 @@ from vigil import schemas, vocab
 from vigil.functions import extract, observable, text, version
 from vigil.operators import family, inventory, link, match, merge, names, recompute
 from vigil.plans import corpus, environment, export, marts, profile, queries
-from vigil.plans.stage import Stage, stage
+from vigil.plans.stage import FleetStage, Stage, stage
 from vigil.session import configure
 from vigil.sources import exploit_archive, feed, kev, nvd, repositories
 from vigil.sources.common import reject_counts
@@ -261,10 +261,10 @@ def asset_counts(s):
 
 
 @query
-def environment_totals(s):
+def environment_totals(s, owner="SMALL"):
     """M8, M9: distinct reaching CVEs of one environment."""
-    mine = inventory.owned(s["asset"], "SMALL")
-    return environment.environment_total(mine, environment.scoped(s["match"], "SMALL", "env-SMALL"))
+    mine = inventory.owned(s["asset"], owner)
+    return environment.environment_total(mine, environment.scoped(s["match"], owner, f"env-{owner}"))
 
 
 @query
@@ -280,18 +280,18 @@ def exposure_by_cve(s):
 
 
 @query
-def environment_threats(s):
+def environment_threats(s, owner="SMALL"):
     """The threat table of one environment with its verdicts, first page."""
-    mine = environment.scoped(s["match"], "SMALL", "env-SMALL")
+    mine = environment.scoped(s["match"], owner, f"env-{owner}")
     rows = environment.environment_threats(s["scored"], mine, AS_OF, min_score=1)
     page = queries.paginate(rows, environment.environment_order(), 1, 50).items
     return page.select("cve_id", n("relevance_score"), "state", n("exposure"), "evidence")
 
 
 @query
-def reaching_severity(s):
+def reaching_severity(s, owner="SMALL"):
     """Severity of what reaches an environment."""
-    return environment.reaching_severity(environment.scoped(s["match"], "SMALL", "env-SMALL"), s["scored"]).select("severity", "count")
+    return environment.reaching_severity(environment.scoped(s["match"], owner, f"env-{owner}"), s["scored"]).select("severity", "count")
 
 
 @query
@@ -301,16 +301,16 @@ def environment_figures(s):
 
 
 @query
-def environment_documents(s):
+def environment_documents(s, owner="SMALL"):
     """Newest documents that reach an environment."""
-    rows = environment.documents_for(environment.scoped(s["match"], "SMALL", "env-SMALL"), s["edge"], s["document"])
+    rows = environment.documents_for(environment.scoped(s["match"], owner, f"env-{owner}"), s["edge"], s["document"])
     return rows.select("url", ts("published_at").alias("published_at"), joined("cves").alias("cves"))
 
 
 @query
-def environment_header(s):
+def environment_header(s, owner="LARGE"):
     """Matches per state of one environment."""
-    return environment.header(s["asset"], environment.scoped(s["match"], "LARGE", "env-LARGE"), "LARGE", "env-LARGE")[1].select("state", "count")
+    return environment.header(s["asset"], environment.scoped(s["match"], owner, f"env-{owner}"), owner, f"env-{owner}")[1].select("state", "count")
 
 
 @query
@@ -331,6 +331,20 @@ def environment_csv(s):
     return export.environment_csv(export.environment_report(s["match"], s["asset"], s["scored"]))
 
 
+def over_fleet(fn: Callable[..., DataFrame], **chosen: str) -> None:
+    """Register ``fn`` once more over every part as an asset."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(FleetStage(stage(configure(spark), sf_dir)), **chosen)
+
+    QUERIES[f"{fn.__name__}_fleet"] = run
+
+
+for each in (version_match, rematch_changed, asset_counts, verdict_split, exposure_by_cve, environment_figures, environment_csv):
+    over_fleet(each)
+for each in (environment_totals, environment_threats, reaching_severity, environment_documents, environment_header):
+    over_fleet(each, owner="site-0")
+
+
 # ------------------------------------------------------------------------------------ parameterised queries
 @query
 def threat_filter(s):

@@ -350,6 +350,19 @@ def assets(spark: SparkSession, d: str) -> DataFrame:
         null.alias("cpe"), F.lit(True).alias("catalogued"), null.alias("hardware_model"), null.alias("notes"))
 
 
+def fleet(spark: SparkSession, d: str) -> DataFrame:
+    """Every part as an asset, so the inventory grows with the parts; a site owns up to 400 of them."""
+    part = load(spark, d, "part")
+    site = F.floor(F.col("p_partkey") / 400).cast("string")
+    null = F.lit(None).cast("string")
+    return part.select(
+        F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("asset_id"), F.concat(F.lit("site-"), site).alias("owner_id"),
+        F.concat(F.lit("env-site-"), site).alias("environment_id"), F.concat("p_brand", F.lit(" host")).alias("label"),
+        F.lit("application").alias("category"), F.col("p_brand").alias("vendor"), F.upper("p_name").alias("product"),
+        F.when(F.col("p_type") != "ECONOMY", F.concat(F.col("p_size").cast("string"), F.lit(".0.0"))).alias("version"),
+        null.alias("cpe"), F.lit(True).alias("catalogued"), null.alias("hardware_model"), null.alias("notes"))
+
+
 def matches(spark: SparkSession, d: str) -> DataFrame:
     return match.match_inventory(assets(spark, d), products(spark, d), vulnerabilities(spark, d))
 

@@ -42,13 +42,15 @@ class Stage:
             "vulnerability": corpus.vulnerabilities, "product": corpus.products, "reference": corpus.references,
             "exploit": corpus.exploits, "document": corpus.bulletins, "edge": corpus.edges,
             "attack_object": corpus.attack_objects, "relationship": corpus.attack_relationships, "rule": corpus.rules,
-            "asset": corpus.assets, "indicator": corpus.indicators, "article": corpus.articles}
+            "asset": corpus.assets, "fleet": corpus.fleet, "indicator": corpus.indicators, "article": corpus.articles}
         if name in simple:
             return simple[name](self.spark, self.d)
         if name == "scored":
             return recompute.recompute(self.corpus(False), corpus.AS_OF)
         if name == "match":
             return match.match_inventory(self["asset"], self["product"], self["vulnerability"])
+        if name == "fleet_match":
+            return match.match_inventory(self["fleet"], self["product"], self["vulnerability"])
         if name == "article_edge":
             return link.extract(self["article"], names.build_name_table(self["attack_object"])).edges
         raise KeyError(name)
@@ -72,6 +74,16 @@ class Stage:
             attack_object=self["attack_object"])
 
 
+class FleetStage:
+    """The tables of a stage, with the growing inventory and its matches as ``asset`` and ``match``."""
+
+    def __init__(self, tables: Stage):
+        self.spark, self.d, self._tables = tables.spark, tables.d, tables
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._tables[{"asset": "fleet", "match": "fleet_match"}.get(name, name)]
+
+
 def _drop_quietly(tables: Stage) -> None:
     with contextlib.suppress(Exception):  # the session may be gone
         tables.drop()
