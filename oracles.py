@@ -646,6 +646,11 @@ def oracle_sql() -> dict[str, str]:
     q["payload_cache"] = f"""SELECT CAST(o_custkey AS VARCHAR) AS cve_id, {ts('max(f)')} AS fetched_at, max(f) > {AS_OF} - INTERVAL 365 DAY AS fresh
         FROM (SELECT o_custkey, o_orderdate + to_seconds(o_orderkey % 86400) AS f FROM orders) GROUP BY 1"""
 
+    # the same lists without their limits
+    for name in ("entity_documents", "entity_vulnerabilities", "versions_by_product", "evidence_fragments"):
+        body, _, _ = q[name].rpartition("QUALIFY")
+        q[f"{name}_all"] = body.replace(") WHERE n <= 8", ")").replace(") WHERE n <= 5", ")").replace("AS VARCHAR), 3, '0')", "AS VARCHAR), 12, '0')")
+
     done = {name: sql(body) for name, body in q.items()}
     asked = """asked AS (SELECT sha1(text) AS query, 'sha1' AS query_kind FROM documents
           UNION SELECT regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1), 'domain' FROM pages),

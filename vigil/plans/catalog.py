@@ -316,6 +316,12 @@ def environment_header(s, owner="LARGE"):
 @query
 def versions_by_product(s):
     """Versions named for every product, newest first."""
+    return environment.versions_by_product(s["product"], 60).select("vendor", "product", "version", n("position"))
+
+
+@query
+def versions_by_product_all(s):
+    """All versions named for every product."""
     return environment.versions_by_product(s["product"]).select("vendor", "product", "version", n("position"))
 
 
@@ -613,13 +619,27 @@ def related_objects(s):
 @query
 def entity_documents(s):
     """Newest bulletins of every object."""
+    return marts.entity_documents(s["edge"], s["document"], 25).select("stix_id", "url", n("position"))
+
+
+@query
+def entity_documents_all(s):
+    """All bulletins of every object."""
     return marts.entity_documents(s["edge"], s["document"]).select("stix_id", "url", n("position"))
 
 
 @query
 def entity_vulnerabilities(s):
     """Highest-scored CVEs of every object."""
-    return marts.entity_vulnerabilities(s["edge"], s["attack_object"], s["scored"]).select("stix_id", "cve_id", n("relevance_score"), n("position"))
+    rows = marts.entity_vulnerabilities(s["edge"], s["attack_object"], s["scored"], 50)
+    return rows.select("stix_id", "cve_id", n("relevance_score"), n("position"))
+
+
+@query
+def entity_vulnerabilities_all(s):
+    """All CVEs of every object."""
+    rows = marts.entity_vulnerabilities(s["edge"], s["attack_object"], s["scored"])
+    return rows.select("stix_id", "cve_id", n("relevance_score"), n("position"))
 
 
 @query
@@ -666,7 +686,14 @@ def publishers(s):
 
 @query
 def evidence_fragments(s):
-    """Numbered evidence of every CVE."""
+    """Numbered evidence of every CVE, the first fragments."""
+    rows = profile.evidence_fragments(s.corpus(), limit=20, articles=8, technique_rows=5, chars=1500, technique_chars=600)
+    return rows.select("cve_id", n("number"), "text", "source", n("tier"))
+
+
+@query
+def evidence_fragments_all(s):
+    """All numbered evidence of every CVE, texts whole."""
     return profile.evidence_fragments(s.corpus()).select("cve_id", n("number"), "text", "source", n("tier"))
 
 

@@ -99,13 +99,14 @@ def versions_for(products: DataFrame, vendor: str, product: str, limit: int = 60
         version_sort_key(F.col("version")).desc(), F.col("version").desc()).limit(limit)
 
 
-def versions_by_product(products: DataFrame, limit: int = 60) -> DataFrame:
-    """The same list for every (vendor, product) at once."""
+def versions_by_product(products: DataFrame, limit: int | None = None) -> DataFrame:
+    """The same list for every (vendor, product) at once; ``limit`` keeps the newest ones."""
     rows = products.filter(fold_name(F.col("product")) != "").select(
         fold_name(F.col("vendor")).alias("vendor"), fold_name(F.col("product")).alias("product"),
         F.explode(version_tokens(F.col("versions"))).alias("version")).distinct()
     w = Window.partitionBy("vendor", "product").orderBy(version_sort_key(F.col("version")).desc(), F.col("version").desc())
-    return rows.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit)
+    ranked = rows.withColumn("position", F.row_number().over(w))
+    return ranked if limit is None else ranked.filter(F.col("position") <= limit)
 
 
 def catalogue(products: DataFrame, term: str, limit: int | None = 20) -> DataFrame:

@@ -73,17 +73,23 @@ def _otherwise(vulns: DataFrame, rows: DataFrame, section: int, line: str) -> Da
     return _lines(vulns.select("cve_id").join(rows.select("cve_id"), "cve_id", "left_anti"), section, F.lit("1"), F.lit(line))
 
 
-def _first(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+def _first(rows: DataFrame, keys: list[str], order: list[Column], n: int | None) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n)
+    ranked = rows.withColumn("_n", F.row_number().over(w))
+    return ranked if n is None else ranked.filter(F.col("_n") <= n)
 
 
 def _seq(col: str = "_n") -> Column:
-    return F.concat(F.lit("1"), F.lpad(F.col(col).cast("string"), 6, "0"))
+    return F.concat(F.lit("1"), F.lpad(F.col(col).cast("string"), 12, "0"))
 
 
-def markdown_lines(c: Corpus, relationships: DataFrame) -> DataFrame:
-    """Report of every CVE as (cve_id, section, place, line), in a fixed section order."""
+def markdown_lines(c: Corpus, relationships: DataFrame, products: int | None = None, strategies_shown: int | None = None,
+                   analytics: int | None = None, logs_shown: int | None = None, advisories_shown: int | None = None,
+                   mitigations_shown: int | None = None) -> DataFrame:
+    """Report of every CVE as (cve_id, section, place, line), in a fixed section order.
+
+    The parameters keep the first lines of a list only; the default is all.
+    """
     v = c.vulnerability
     blank, none = F.lit(""), F.lit(None).cast("string")
     shown = title_or(F.col("title"), F.col("kev_name"))
@@ -130,7 +136,7 @@ def markdown_lines(c: Corpus, relationships: DataFrame) -> DataFrame:
         _tail(v, 11, ["", "_Every statement links to its original source._", ""]),
     ]
 
-    prods = _first(c.affected_product, ["cve_id"], [F.col("vendor"), F.col("product"), F.col("cpe")], 50)
+    prods = _first(c.affected_product, ["cve_id"], [F.col("vendor"), F.col("product"), F.col("cpe")], products)
     parts += [_lines(prods, 3, _seq(), F.concat(F.lit("- "), markdown(F.col("vendor")), F.lit(" "), markdown(F.col("product")),
                                                F.lit(" "), markdown(F.col("versions")))),
               _otherwise(v, prods, 3, "- n/a")]
@@ -175,12 +181,12 @@ def markdown_lines(c: Corpus, relationships: DataFrame) -> DataFrame:
     detections = marts.technique_detections(c.attack_object, relationships).join(
         c.attack_object.select(F.col("stix_id").alias("strategy_stix"), F.col("url").alias("strategy_url")), "strategy_stix")
     strategies = _first(detections.select("technique", "strategy_stix", "strategy", "strategy_url").distinct(), ["technique"],
-                        [F.col("strategy_stix")], 3).drop("_n")
+                        [F.col("strategy_stix")], strategies_shown).drop("_n")
     parts.append(_lines(ids.join(strategies, "technique"), 8, F.concat(F.lit("1"), "tid", F.lit("|"), "strategy_stix"),
                         F.concat(F.lit("- "), "tid", F.lit(": "), markdown_link(F.col("strategy"), F.col("strategy_url")))))
     platforms = c.attack_object.select(F.col("stix_id").alias("analytic"), F.array_join("platforms", ", ").alias("platforms"))
     described = strip(F.concat_ws(" ", "log_name", "channel"))
-    shown = marts.technique_detections(c.attack_object, relationships, analytics=2, logs=4)
+    shown = marts.technique_detections(c.attack_object, relationships, analytics=analytics, logs=logs_shown)
     logs = shown.join(strategies.select("technique", "strategy_stix"), ["technique", "strategy_stix"], "left_semi").groupBy(
         "technique", "strategy_stix", "analytic").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("log_pos"), described.alias("d")))),
@@ -193,10 +199,10 @@ def markdown_lines(c: Corpus, relationships: DataFrame) -> DataFrame:
     listed = c.source_reference.filter(F.col("ref_type").isin("vendor_advisory", "patch", "mitigation")).select(
         "cve_id", F.lit(0).alias("branch"), "url", F.col("title"))
     written = docs.filter(F.col("doc_type") == "advisory").select("cve_id", F.lit(1).alias("branch"), "url", "title")
-    advisories = _first(listed.unionByName(written), ["cve_id"], [F.col("branch"), F.col("url")], 20)
+    advisories = _first(listed.unionByName(written), ["cve_id"], [F.col("branch"), F.col("url")], advisories_shown)
     parts.append(_lines(advisories, 9, _seq(), F.concat(F.lit("- "), markdown_link(
         F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("url")), F.col("url")))))
-    mitigations = _first(marts.technique_mitigations(c.attack_object, relationships), ["technique"], [F.col("mitigation")], 3)
+    mitigations = _first(marts.technique_mitigations(c.attack_object, relationships), ["technique"], [F.col("mitigation")], mitigations_shown)
     parts.append(_lines(ids.join(mitigations, "technique"), 9, F.concat(F.lit("2"), "tid", F.lit("|"), _seq()),
                         F.concat(F.lit("- "), F.coalesce("external_id", blank), F.lit(" "), markdown(F.col("name")), F.lit(" (for "), "tid", F.lit(")"))))
 

@@ -266,20 +266,20 @@ def related_objects(objects: DataFrame, relationships: DataFrame) -> DataFrame:
                        "other_external_id", "how")
 
 
-def entity_documents(edge: DataFrame, docs: DataFrame, limit: int = 25) -> DataFrame:
-    """Newest documents of every object."""
+def entity_documents(edge: DataFrame, docs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Documents of every object, newest first (A20); ``limit`` keeps the first ones."""
     pairs = attack_mentions(edge).select("stix_id", F.col("doc_id").alias("url")).distinct()
     w = Window.partitionBy("stix_id").orderBy(F.col("published_at").desc_nulls_last(), "url")
-    return pairs.join(docs.select("url", "title", "source_key", "published_at"), "url").withColumn(
-        "position", F.row_number().over(w)).filter(F.col("position") <= limit)
+    rows = pairs.join(docs.select("url", "title", "source_key", "published_at"), "url").withColumn("position", F.row_number().over(w))
+    return rows if limit is None else rows.filter(F.col("position") <= limit)
 
 
-def entity_vulnerabilities(edge: DataFrame, objects: DataFrame, vulns: DataFrame, limit: int = 50) -> DataFrame:
-    """Highest-scored CVEs co-mentioned with every object."""
+def entity_vulnerabilities(edge: DataFrame, objects: DataFrame, vulns: DataFrame, limit: int | None = None) -> DataFrame:
+    """CVEs co-mentioned with every object, highest score first (A20); ``limit`` keeps the first ones."""
     pairs = co_mentioned(edge, objects).select("stix_id", "cve_id").distinct()
     w = Window.partitionBy("stix_id").orderBy(F.col("relevance_score").desc_nulls_last(), "cve_id")
-    return pairs.join(vulns.select("cve_id", "relevance_score"), "cve_id").withColumn(
-        "position", F.row_number().over(w)).filter(F.col("position") <= limit)
+    rows = pairs.join(vulns.select("cve_id", "relevance_score"), "cve_id").withColumn("position", F.row_number().over(w))
+    return rows if limit is None else rows.filter(F.col("position") <= limit)
 
 
 def technique_mitigations(objects: DataFrame, relationships: DataFrame) -> DataFrame:
