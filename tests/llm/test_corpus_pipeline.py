@@ -70,4 +70,4 @@ def test_registered():
     import __spark_entry__ as entry
 
     assert {*catalog.QUERIES, "pipeline"} <= set(entry.queries())
-    assert [name.split("_")[0] for name in catalog.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [name.split("_")[0] for name in catalog.QUERIES] == [f"op{i}" for i in range(1, 14)]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, mixing, quality, secret_scan, toxicity, warc
+from vigil.llm import (alignment, chat_format, decontaminate, exact_dedup, jaccard_join, language_id, merkle, mixing, quality, secret_scan, token_files,
+                       toxicity, warc)
 from vigil.llm.shared import Workspace, held_out, load
 
 
@@ -89,5 +90,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "s.score", (F.col("s.score") >= 0.5).cast("int").alias("predicted"), "s.hits")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents, and each document's proof, folded from an altered text where three divides the id's CRC-32."""
+    ws = Workspace(spark, "op11")
+    return merkle.prove(ws, *merkle.manifest(load(spark, sf_dir, "documents"), ws, merkle.lowered_every_third()))
+
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens by two tokenizers, aligned."""
+    return alignment.align(load(spark, sf_dir, "documents"), Workspace(spark, "op12"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids written to files, and what the files hold."""
+    ws = Workspace(spark, "op13")
+    token_files.write(load(spark, sf_dir, "documents"), ws, ws.path("files"), vocabulary("word_bpe_49k.json"), end_id=1)
+    return token_files.positions(ws, ws.path("files"))
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_jaccard_join, op3_secret_scan, op4_quality, op5_chat_format, op6_decontaminate,
-                                   op7_warc, op8_mixing, op9_language_id, op10_toxicity)}
+                                   op7_warc, op8_mixing, op9_language_id, op10_toxicity, op11_merkle_manifest, op12_token_alignment,
+                                   op13_token_files)}

@@ -2,6 +2,7 @@
 
 Quality, language and toxicity scores are learned and have none; they are tested for held-out accuracy. The spans of
 secrets that inferred formats add are learned too, so that query is tested against brute force for its base spans.
+Token ids come from libraries, so alignment and token files are tested against brute force as well.
 """
 
 from __future__ import annotations
@@ -90,4 +91,42 @@ r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.shift, CASE WHEN t.sou
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, ((floor(rate * rank + shift) - floor(rate * (rank - 1) + shift))::BIGINT * size)::BIGINT AS taken FROM r"""
 
-ORACLES = {"op1_exact_dedup": OP1, "op2_jaccard_join": OP2, "op5_chat_format": OP5, "op6_decontaminate": OP6, "op7_warc": OP7, "op8_mixing": OP8}
+
+
+def _merkle(leaf_levels: int = 7, top_levels: int = 3) -> str:
+    """Levels are unrolled: enough for 8 ** 7 leaves of a language and 8 ** 3 languages."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    head = " || ".join(map(field, ("doc_id", "source", "lang", "n_chars")))
+    # the CRC-32 comes from the id's digits by its table-free definition, eight shifts a byte
+    shifted = "list_reduce(list_prepend(xor(r, b), range(8)), lambda q, k: CASE WHEN q & 1 = 1 THEN xor(q >> 1, 3988292384) ELSE q >> 1 END)"
+    digits = "list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ord(d)::BIGINT)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda r, b: {shifted}), 4294967295)"
+    parts = [f"""
+h AS (SELECT doc_id, lang, sha256({head} || {field('text')}) AS leaf,
+        CASE WHEN {crc} % 3 = 0 THEN sha256({head} || {field(lowered)}) END AS tampered FROM documents),
+p0 AS (SELECT doc_id, lang, leaf, coalesce(tampered, leaf) AS f, '' AS proof, leaf AS dg, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+         count(*) OVER (PARTITION BY lang) AS n FROM h),
+n0 AS (SELECT lang, i, dg, n FROM p0)"""]
+    step = """
+{r} AS (SELECT lang, i // 8 AS run, n, list(dg ORDER BY i) AS ds FROM {n} GROUP BY ALL),
+{n1} AS (SELECT lang, run AS i, CASE WHEN n > 1 THEN sha256(array_to_string(ds, '')) ELSE ds[1] END AS dg, (n + 7) // 8 AS n FROM {r}),
+{p1} AS (SELECT p.* REPLACE (p.i // 8 AS i, (p.n + 7) // 8 AS n,
+           CASE WHEN p.n > 1 THEN sha256(array_to_string(ds[1:p.i % 8], '') || f || array_to_string(ds[p.i % 8 + 2:], '')) ELSE f END AS f,
+           CASE WHEN p.n > 1 THEN proof || array_to_string(ds[1:p.i % 8], '') || array_to_string(ds[p.i % 8 + 2:], '') ELSE proof END AS proof)
+         FROM {p} p JOIN {r} r ON p.lang IS NOT DISTINCT FROM r.lang AND p.i // 8 = r.run)"""
+    for k in range(leaf_levels):
+        parts.append(step.format(r=f"r{k}", n=f"n{k}", n1=f"n{k + 1}", p=f"p{k}", p1=f"p{k + 1}"))
+    parts.append(f"""
+s AS (SELECT lang, dg AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM n{leaf_levels}),
+t0 AS (SELECT NULL::VARCHAR AS lang, i, subroot AS dg, n FROM s),
+q0 AS (SELECT p.doc_id, NULL::VARCHAR AS lang, p.leaf, p.f, p.proof, s.subroot AS dg, s.i, s.n FROM p{leaf_levels} p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang)""")
+    for k in range(top_levels):
+        parts.append(step.format(r=f"u{k}", n=f"t{k}", n1=f"t{k + 1}", p=f"q{k}", p1=f"q{k + 1}"))
+    return "WITH " + ",".join(parts) + f"""
+SELECT doc_id, leaf, q.dg AS subroot, t.dg AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = t.dg AS verified
+FROM q{top_levels} q CROSS JOIN t{top_levels} t"""
+
+
+ORACLES = {"op1_exact_dedup": OP1, "op2_jaccard_join": OP2, "op5_chat_format": OP5, "op6_decontaminate": OP6, "op7_warc": OP7, "op8_mixing": OP8,
+           "op11_merkle_manifest": _merkle()}

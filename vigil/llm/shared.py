@@ -42,8 +42,8 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def store(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(self.path(name))
+    def store(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        df.write.options(**options).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self) -> None:
