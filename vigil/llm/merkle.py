@@ -88,7 +88,7 @@ def manifest(docs: DataFrame, ws: Workspace, tampered: Column = None) -> tuple[D
     single = base.join(trees.where("leaves = 1").select(F.col("tree").alias("__tree")), F.col("tree") == F.col("__tree"), "left_semi")
     subroots = _roots(below, trees).unionByName(single)
     top_leaves = ws.store(subroots.select(F.lit(TOP).cast("long").alias("tree"), F.lit(0).alias("level"), (F.col("tree") - 1).alias("place"), "digest"), "subroots")
-    top = _raised(ws, top_leaves, trees.agg(F.lit(TOP).cast("long").alias("tree"), F.count(F.lit(1)).alias("leaves")), "top")
+    top = _raised(ws, top_leaves, trees.count(), "top")
     return leaves, trees, below.unionByName(top_leaves).unionByName(top)
 
 
@@ -115,18 +115,21 @@ def _block_task(level: int, step: int):
     return task
 
 
-def _raised(ws: Workspace, base: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
-    """All nodes above ``base`` (level 0), stored by rounds of BLOCK_LEVELS levels; ``sizes`` has tree and leaves."""
-    largest = sizes.agg(F.max("leaves")).head()[0] or 0
+def _raised(ws: Workspace, base: DataFrame, sizes: DataFrame | int, name: str) -> DataFrame:
+    """All nodes above ``base`` (level 0), stored by rounds of BLOCK_LEVELS levels; ``sizes`` has tree and leaves, or is the leaves of one tree."""
+    largest = sizes if isinstance(sizes, int) else sizes.agg(F.max("leaves")).head()[0] or 0
     top, rounds, current = len(heights(largest)) - 1 if largest else 0, [], base
     for level in range(0, top, BLOCK_LEVELS):
-        shrunk = F.col("leaves")
+        shrunk = F.lit(sizes) if isinstance(sizes, int) else F.col("leaves")
         for _ in range(level):
             shrunk = F.ceil(shrunk / FAN).cast("long")
-        left = sizes.select(F.col("tree").alias("__tree"), shrunk.alias("size")).where("size > 1")
+        if isinstance(sizes, int):
+            sized = current.withColumn("size", shrunk.cast("long"))
+        else:
+            left = sizes.select(F.col("tree").alias("__tree"), shrunk.alias("size")).where("size > 1")
+            sized = current.join(left, F.col("tree") == F.col("__tree"))
         block = F.floor(F.col("place") / FAN ** BLOCK_LEVELS).alias("block")
-        grouped = current.join(left, F.col("tree") == F.col("__tree")).groupBy("tree", block)
-        made = ws.store(grouped.applyInPandas(_block_task(level, BLOCK_LEVELS), NODES), f"{name}-{level}")
+        made = ws.store(sized.groupBy("tree", block).applyInPandas(_block_task(level, BLOCK_LEVELS), NODES), f"{name}-{level}")
         rounds.append(made)
         current = made.where(F.col("level") == level + BLOCK_LEVELS)
     if not rounds:
