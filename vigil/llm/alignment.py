@@ -31,18 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.encoding import SINGLE_BLANK, Growing, UnitTable, gathered, per_process, starts_at_blanks, tokenizer
+from vigil.llm.encoding import SINGLE_BLANK, Growing, UnitTable, WordModel, byte_letters, gathered, per_process, starts_at_blanks, tokenizer
 from vigil.llm.shared import Workspace
 
 CHUNK_BYTES = 4 << 20
 BLANK = "▁"
-
-
-def byte_letters() -> dict[str, int]:
-    """The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, the others follow from 256."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+_SIMPLE = re.compile(WordModel.WORD.pattern.join("()") + r"([,.;:!?)]*)")
 
 
 def coalesce(a_start, a_end, b_start, b_end):
@@ -83,6 +77,7 @@ class Aligner:
         self.pieces = len(pieces)
         # a piece that holds a blank behind a letter could reach across the start of a unit
         self.by_unit = starts_at_blanks(a_path) and not any(BLANK in p.lstrip(BLANK) for p in pieces)
+        self.words = WordModel(self.a, lower=False) if self.by_unit else None
         size = lambda tokens: np.fromiter(map(len, tokens), np.int64, len(tokens))
         self.a_size, self.b_size = size(self.a_bytes), size(self.b_bytes)
         self._reset()
@@ -93,8 +88,23 @@ class Aligner:
         self.links, self.link_starts, self.n_links = Growing(np.int64), Growing(np.int64), Growing(np.int64)
         self.written: list[str] = []
 
+    def _a_ids(self, units: list[str]) -> list[list[int]]:
+        """A's ids of a blank and each unit; of a word and the signs behind it, by its model."""
+        ids: list[list[int] | None] = [None] * len(units)
+        if self.words:
+            blank, simple, words = self.words.letters[0x20], _SIMPLE.fullmatch, self.words
+            for k, u in enumerate(units):
+                found = simple(u)
+                if found:
+                    word, signs = found.groups()
+                    ids[k] = words.ids(blank + words.written(word)) + (words.ids(signs) if signs else [])
+        rest = [k for k, x in enumerate(ids) if x is None]
+        for k, e in zip(rest, self.a.encode_batch_fast([" " + units[k] for k in rest], add_special_tokens=False)):
+            ids[k] = e.ids
+        return ids
+
     def _learn(self, units: list[str]) -> None:
-        a_ids = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+        a_ids = self._a_ids(units)
         b_ids = self.b.encode(units, num_threads=1)
         whole = np.empty(len(units), bool)
         for k, u in enumerate(units):

@@ -18,8 +18,10 @@ _SOLID = r"[^\s\x00-\x20\x7f-\xa0\u180e\u200b-\u200f\u2028-\u202f\u205f-\u206f\u
 # Stretches without ASCII blanks, cut again where a letter or digit meets a sign that can't begin a special token: splitters break there.
 WORD_UNITS = re.compile(r"[0-9A-Za-zà-öø-ÿ]+(?=[,.;:!?)\"%$#*&])|[^ \t\n\r]+")
 SINGLE_BLANK = re.compile(rf"(?<={_SOLID}) (?={_SOLID})")
-CACHED_CHARS = 5_000_000  # of units that a task remembers; it starts anew when they are more
+CACHED_CHARS = 3_000_000  # of units that a task remembers; it starts anew when they are more
 LONGEST_CACHED = 64  # characters; longer units are encoded each time
+CUT_AT_ONCE = 1_000_000  # characters of texts whose units are in memory at a time
+LEARNED_AT_ONCE = 4_096  # units that are with a library at a time, as its results are large
 
 
 def tokenizer(path: str):
@@ -28,6 +30,34 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, the others follow from 256."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+class WordModel:
+    """Ids of a word of Latin letters, straight from a library's model.
+
+    No normalizer but lower-casing changes such a word and no splitter cuts it, so only the model is left to run: a third of
+    the time.
+    """
+
+    WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+    def __init__(self, tok, lower: bool):
+        self.model, self.lower = tok.model, lower
+        self.letters = {b: c for c, b in byte_letters().items()}
+
+    def written(self, word: str) -> str:
+        word = word.lower() if self.lower else word
+        return word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+
+    def ids(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece)]
+
+
 def drops_blanks(path: str) -> bool:
     """Whether the units of ``WORD_UNITS`` stand alone in a tokenizers file: its splitter keeps runs of letters and of signs, never blanks."""
     with open(path, encoding="utf-8") as f:
@@ -37,9 +67,11 @@ def drops_blanks(path: str) -> bool:
     steps = {"NFC", "Lowercase", "Replace"}  # none of them looks across a blank
     normalizer = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
     names = {n["type"] for n in normalizer.get("normalizers", [normalizer])}
-    kept = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
+    rest = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])[1:]
+    plain = len(rest) == 1 and rest[0]["type"] == "ByteLevel" and not rest[0]["use_regex"] and not rest[0]["add_prefix_space"]
+    kept = plain and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
     by_class = r"\p{L}]+|" in pattern and r"[^\s\p{L}\p{N}]+" in pattern and " " not in pattern and "(?" not in pattern
-    return kept and by_class and names <= steps and not any(re.search(r"\s|^[^<]", t["content"]) or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+    return kept and by_class and names <= steps and "Lowercase" in names and not any(re.search(r"\s|^[^<]", t["content"]) or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
 
 
 def starts_at_blanks(path: str) -> bool:
@@ -79,7 +111,8 @@ class UnitTable:
         places = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.int64, int(counts.sum()))
         fresh, self.known.fresh = self.known.fresh, []
         if fresh:
-            self.learn(fresh)
+            for k in range(0, len(fresh), LEARNED_AT_ONCE):
+                self.learn(fresh[k:k + LEARNED_AT_ONCE])
             for u in fresh:
                 self.chars += len(u)
                 if len(u) > LONGEST_CACHED:
@@ -130,6 +163,7 @@ class IdEncoder:
 
     def __init__(self, path: str, by_unit: bool = True):
         self.tok, self.by_unit = tokenizer(path), by_unit and drops_blanks(path)
+        self.words = WordModel(self.tok, lower=True) if self.by_unit else None
         self.vocabulary = self.tok.get_vocab_size()
         self._reset()
         self.table = UnitTable(self._learn, self._reset)
@@ -138,7 +172,13 @@ class IdEncoder:
         self.ids, self.starts, self.lengths = Growing(np.uint32), Growing(np.int64), Growing(np.int64)
 
     def _learn(self, units: list[str]) -> None:
-        ids = [e.ids for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
+        ids: list[list[int] | None] = [None] * len(units)
+        if self.words:
+            whole = WordModel.WORD.fullmatch
+            ids = [self.words.ids(self.words.written(u)) if whole(u) else None for u in units]
+        rest = [k for k, x in enumerate(ids) if x is None]
+        for k, e in zip(rest, self.tok.encode_batch_fast([units[k] for k in rest], add_special_tokens=False)):
+            ids[k] = e.ids
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         self.starts.extend(self.ids.size + np.cumsum(lengths) - lengths)
         self.lengths.extend(lengths)
@@ -146,6 +186,17 @@ class IdEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, number of ids of each)."""
+        found, at, size = [], 0, 0
+        for k, t in enumerate(texts):
+            size += len(t)
+            if size >= CUT_AT_ONCE or k + 1 == len(texts):
+                found.append(self._encode(texts[at:k + 1]))
+                at, size = k + 1, 0
+        if not found:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         places, counts = self.table.places([WORD_UNITS.findall(t) for t in texts] if self.by_unit else [[t] for t in texts])
         lengths = self.lengths.values[places]
         ids = self.ids.values[gathered(self.starts.values[places], lengths)]
