@@ -96,44 +96,77 @@ def test_end_to_end(spark, table, landed, tmp_path):
     assert fragments[0].source == "NVD" and [f.number for f in fragments] == list(range(1, len(fragments) + 1))
 
 
-def test_store(spark, table, tmp_path):
-    store = Store(spark, str(tmp_path))
-    schema = schemas.TABLES["payload_cache"]
-    assert store.read("payload_cache").count() == 0
-    store.write("payload_cache", table([("a", "1", True, AS_OF)], schema))
-    store.write("payload_cache", store.read("payload_cache").unionByName(table([("b", "2", True, AS_OF)], schema)))
-    (tmp_path / "payload_cache" / "v9").mkdir()
-    assert store.versions("payload_cache") == [0, 1]
-    assert store.read("payload_cache").count() == 2
-    store.write("payload_cache", store.read("payload_cache").limit(1), batch="feed-7")
-    assert store.versions("payload_cache") == [0, 1, 2] and store.read("payload_cache").count() == 1
-    assert store.holds("payload_cache", "feed-7") and not store.holds("payload_cache", "feed-70") and not store.holds("payload_cache", "7")
+def test_refresh_follows_the_change_feed(spark, table, landed, tmp_path):
+    """After the first refresh only what the feed names is derived, and the tables are those of a full run."""
+    out, more = str(tmp_path / "out"), tmp_path / "more"
+    ingest.run_ingest(spark, str(landed), out, KEYS[:5], AS_OF)
+    ingest.put_assets(spark, out, table([("a1", "o", "e", "edge box", "firewall", "acme inc", "gate way", "1.5", None, True, None, None)], schemas.TABLES["asset"]))
+    ingest.refresh_marts(spark, out, AS_OF)
+    store = Store(spark, out)
+    first = store.version("scored")
+    scored, _ = ingest.refresh_marts(spark, out, AS_OF)  # nothing new: nothing is written
+    assert store.version("scored") == first and scored.count() == 1
+    land(more, "cisa_kev", "k.json", {"vulnerabilities": [
+        {"cveID": f"CVE-2024-1{i:03d}", "vendorProject": "Other", "product": f"Thing {i}", "vulnerabilityName": f"Thing {i} RCE", "dateAdded": "2024-05-30",
+         "dueDate": "2024-06-10", "knownRansomwareCampaignUse": "Unknown", "notes": "", "cwes": []} for i in range(3)]})
+    before = store.read("scored").collect()
+    ingest.run_ingest(spark, str(more), out, ["cisa_kev"], AS_OF)
+    cves, assets = ingest.changes_since(store, store.marks("scored")["change_feed"])
+    assert sorted(r.cve_id for r in cves.collect()) == [f"CVE-2024-1{i:03d}" for i in range(3)] and assets.count() == 0
+    ingest.put_assets(spark, out, table([("a2", "o", "e", "thing", "os", "other", "thing 1", "2", None, True, None, None)], schemas.TABLES["asset"]))
+    scored, matches = ingest.refresh_marts(spark, out, AS_OF)
+    got = (sorted(map(str, scored.collect())), sorted(map(str, matches.collect())))
+    assert set(map(str, before)) < set(got[0]) and len(got[0]) == 4
+    assert {(m.asset_id, m.cve_id) for m in matches.collect()} == {("a1", "CVE-2024-0001"), ("a2", "CVE-2024-1001")}
+    scored, matches = ingest.refresh_marts(spark, out, AS_OF, full=True)
+    assert got == (sorted(map(str, scored.collect())), sorted(map(str, matches.collect())))
+    ingest.delete_assets(spark, out, table([("o", "e", "a1")], "owner_id string, environment_id string, asset_id string"))
+    _, matches = ingest.refresh_marts(spark, out, AS_OF)
+    assert [(m.asset_id, m.cve_id) for m in matches.collect()] == [("a2", "CVE-2024-1001")]
+    ingest.vacuum(spark, out, keep=1)
+    assert sorted(map(str, store.read("scored").collect())) == got[0]
+
+
+def test_a_run_that_died_is_repaired(spark, landed, tmp_path, monkeypatch):
+    """Parents come before children; the same files again add what is missing, and the feed was never behind."""
+    out = str(tmp_path / "out")
+    store = Store(spark, out)
+    monkeypatch.setattr(ingest, "_add_edges", lambda *a: (_ for _ in ()).throw(OSError("died")))
+    runs = {r.source_key: r.status for r in ingest.run_ingest(spark, str(landed), out, ["exploitdb", "krebs"], AS_OF).collect()}
+    assert set(runs.values()) == {"error"} and store.read("exploit").count() == 1 and store.read("edge").count() == 0
+    assert store.read("change_feed").filter("cve_id = 'CVE-2024-0001'").count() >= 1
+    monkeypatch.undo()
+    ingest.run_ingest(spark, str(landed), out, ["exploitdb", "krebs"], AS_OF)
+    kinds = {(r.subject_type, r.object_type) for r in store.read("edge").collect()}
+    assert ("exploit", "cve") in kinds and ("document", "cve") in kinds
+    assert store.read("document").filter("extraction_version IS NULL").count() == 0
 
 
 def test_stream_landing(spark, tmp_path):
-    """Two files, one batch each, end in one snapshot; a second start adds only the new file."""
+    """Two files, one batch each, are folded in; a second start adds only the new file."""
     folder, store = tmp_path / "in", Store(spark, str(tmp_path / "out"))
     land(folder, "urls", "a.csv", '"1","2024-05-01 10:00:00","http://x.example/b","online","","m","elf","https://u/1/","joe"\n')
     land(folder, "urls", "b.csv", '"2","2024-05-01 10:00:00","http://x.example/c","online","","m","elf","https://u/2/","joe"\n')
     schema = "id string, dateadded string, url string, url_status string, last_online string, threat string, tags string, urlhaus_link string, reporter string"
 
-    def fold_in(snapshot, batch):
-        rows = batch.select(F.from_csv("value", F.lit(schema)).alias("r")).select("r.*", F.struct(F.col("r.id").alias("row")).alias("pos"))
-        good = parse_urls(rows).good.withColumn("attack_stix_id", F.lit(None).cast("string"))
-        return merge.next_snapshot(merge.refresh_indicators(snapshot, good, AS_OF))
+    def parsed(lines):
+        rows = lines.select(F.from_csv("value", F.lit(schema)).alias("r")).select("r.*", F.struct(F.col("r.id").alias("row")).alias("pos"))
+        return parse_urls(rows).good.withColumn("attack_stix_id", F.lit(None).cast("string"))
+
+    def fold_in(known, batch):
+        return merge.refresh_indicators(known, batch, AS_OF)
 
     for i in range(3):  # snapshots of batch jobs come first; the stream goes on from them
         known = parse_urls(spark.sql(f"SELECT 'http://old.example/{i}' AS url, '2024-05-01 10:00:00' AS dateadded, struct('{i}' AS row) AS pos")).good
-        store.write("indicator", merge.next_snapshot(merge.refresh_indicators(
-            store.read("indicator"), known.withColumn("attack_stix_id", F.lit(None).cast("string")), AS_OF)))
+        store.merge("indicator", known.withColumn("attack_stix_id", F.lit(None).cast("string")), lambda old, new: merge.refresh_indicators(old, new, AS_OF))
     sink = jobs.snapshot_sink(store, "indicator", fold_in)
-    jobs.land(jobs.landed_text(spark, str(folder / "urls"), 1), sink, str(tmp_path / "cp")).awaitTermination()
+    jobs.land(parsed(jobs.landed_text(spark, str(folder / "urls"), 1)), sink, str(tmp_path / "cp")).awaitTermination()
     assert store.versions("indicator") == [0, 1, 2, 3, 4] and store.read("indicator").count() == 5
     land(folder, "urls", "c.csv", '"3","2024-05-01 10:00:00","http://x.example/b","offline","","m","elf","https://u/1/","joe"\n')
-    jobs.land(jobs.landed_text(spark, str(folder / "urls"), 1), sink, str(tmp_path / "cp")).awaitTermination()
+    jobs.land(parsed(jobs.landed_text(spark, str(folder / "urls"), 1)), sink, str(tmp_path / "cp")).awaitTermination()
     status = {r.value: r.status for r in store.read("indicator").collect()}
     assert status == {f"http://old.example/{i}": "unknown" for i in range(3)} | {"http://x.example/b": "offline", "http://x.example/c": "online"}
-    sink(spark.read.text(str(folder / "urls" / "c.csv")), 2)  # a replayed batch changes nothing
+    sink(parsed(spark.read.text(str(folder / "urls" / "c.csv"))), 2)  # a replayed batch changes nothing
     assert store.versions("indicator") == [0, 1, 2, 3, 4, 5] and store.read("indicator").count() == 5
 
 

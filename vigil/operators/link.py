@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 from typing import NamedTuple
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from vigil import vocab
 from vigil.functions.extract import exploitation_phrase, find_cves, find_techniques
 from vigil.functions.text import snippet
-from vigil.operators.merge import insert_missing
+from vigil.operators.merge import missing_rows
 from vigil.operators.names import NameTable, find_names
 
 EDGE_KEY = ["subject_type", "subject_id", "object_type", "object_id", "relation"]
@@ -83,9 +84,48 @@ def extract(docs: DataFrame, table: NameTable, key: str = "url", body: str = "fu
     return Extracted(documents, edges)
 
 
+def new_edges(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
+    """Edges are never changed once written; what the table does not have yet."""
+    return missing_rows(snapshot, batch, EDGE_KEY, ["source_key", "method"])
+
+
 def add_edges(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
-    """Edges are never changed once written."""
-    return insert_missing(snapshot, batch, EDGE_KEY, ["source_key", "method"])
+    return snapshot.unionByName(new_edges(snapshot, batch))
+
+
+def with_flags(docs: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Documents with the exploitation flag and the dictionary version of their extraction, where there was one."""
+    found = extracted.select("url", F.col("reports_exploitation").alias("_flag"), F.col("extraction_version").alias("_version"))
+    return docs.join(found, "url", "left").withColumns({
+        "reports_exploitation": F.coalesce("_flag", "reports_exploitation", F.lit(False)),
+        "extraction_version": F.coalesce("_version", "extraction_version")}).drop("_flag", "_version")
+
+
+@dataclass(frozen=True)
+class Relinked:
+    """What extracting documents again changes: ``diff`` has all edges of those documents with ``change``, ``documents`` their new state."""
+    diff: DataFrame
+    documents: DataFrame
+
+
+def relink(docs: DataFrame, edge: DataFrame, table: NameTable, rebuild: bool = False, body: str = "full_text") -> Relinked:
+    """Extract documents with the present dictionary and compare with their stored edges.
+
+    ``change`` is 'added', 'kept' or, for an edge that the present dictionary does not give any more, 'gone'. Edges are
+    never changed once written, so 'gone' rows stay in the table unless the caller asks for a ``rebuild``, which names
+    them 'removed'. One equi join on the edge key; only edges of the chosen documents take part.
+    """
+    found = extract(docs, table, body=body)
+    stored = edge.filter(F.col("subject_type") == "document").join(
+        docs.select(F.col("url").cast("string").alias("subject_id")), "subject_id", "left_semi")
+    rest = [c for c in edge.columns if c not in EDGE_KEY]
+    o, n = stored.withColumn("_old", F.lit(True)).alias("o"), found.edges.withColumn("_new", F.lit(True)).alias("n")
+    both = o.join(n, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in EDGE_KEY], "full_outer")
+    was, now = F.col("o._old").isNotNull(), F.col("n._new").isNotNull()
+    change = F.when(was & now, "kept").when(now, "added").otherwise("removed" if rebuild else "gone")
+    diff = both.select(*[F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in EDGE_KEY],
+                       *[F.when(was, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in rest], change.alias("change"))
+    return Relinked(diff, found.documents)
 
 
 def subject_key(source: str = "source_key", external: str = "external_id") -> Column:

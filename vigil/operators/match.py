@@ -6,6 +6,8 @@ was read too.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,16 +56,36 @@ def _comparable(rows: DataFrame) -> DataFrame:
             "upper_parts": parts(F.col("rng.upper.version"))})
 
 
-def candidate_verdicts(assets: DataFrame, products: DataFrame) -> DataFrame:
-    """One row per asset and candidate product row with its own verdict.
+@dataclass(frozen=True)
+class Side:
+    """Assets that are to meet the product rows and the listed vulnerabilities beside them."""
+    assets: DataFrame
+    products: DataFrame
+    vulns: DataFrame
 
-    Product rows no asset could meet are dropped first; the versions and bounds of the others are
-    read once per row, however many assets they meet.
-    """
+
+def _all_rows(parts: list[DataFrame]) -> DataFrame:
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows
+
+
+def _met(assets: DataFrame, products: DataFrame) -> DataFrame:
+    """Assets beside candidate product rows. Product rows no asset could meet are dropped first; the versions and bounds
+    of the others are read once per row, however many assets they meet."""
     inventory = _asset_side(assets)
     keys = ["product_key", "vendor_key"]
     wanted = _product_side(products).join(inventory.select(*keys), keys, "left_semi")
-    rows = inventory.join(_comparable(wanted), keys)
+    return inventory.join(_comparable(wanted), keys)
+
+
+def candidate_verdicts(assets: DataFrame, products: DataFrame) -> DataFrame:
+    """One row per asset and candidate product row with its own verdict."""
+    return _verdicts(_met(assets, products))
+
+
+def _verdicts(rows: DataFrame) -> DataFrame:
     version, has_cpe = F.col("asset_version"), F.coalesce("cpe", F.lit("")) != ""
     pinned = F.col("pinned").isNotNull()
     cmp = compare_parts(version, F.col("pinned"), F.col("asset_parts"), F.col("pinned_parts"))
@@ -93,7 +115,10 @@ def _verdict_row(state: str, method: Column | str, confidence: str, evidence: Co
 
 def match_products(assets: DataFrame, products: DataFrame) -> DataFrame:
     """Verdict of each (asset, CVE) that shares a product row (M2)."""
-    verdicts = candidate_verdicts(assets, products)
+    return _settled(candidate_verdicts(assets, products))
+
+
+def _settled(verdicts: DataFrame) -> DataFrame:
     hit, out = F.col("verdict").isin("exact", "range"), F.col("verdict") == "out"
     # Only the first three ruled-out rows of a pair are told; the rank filter cuts each map partition to
     # three rows per pair and verdict before the one shuffle. Of other verdicts the first row is enough.
@@ -124,10 +149,10 @@ def match_products(assets: DataFrame, products: DataFrame) -> DataFrame:
     return rows.select(*PAIR, verdict.alias("v")).select(*PAIR, "v.*")
 
 
-def match_catalogue(assets: DataFrame, vulns: DataFrame, matched: DataFrame) -> DataFrame:
+def match_catalogue(sides: list[Side], matched: DataFrame) -> DataFrame:
     """Known-exploited entries that name the product while no product row of the CVE does."""
-    listed = vulns.filter("in_kev").select("cve_id", "vendor", "product")
-    pairs = same_product(assets, listed).select(*PAIR, "label").join(matched.select(*PAIR), PAIR, "left_anti")
+    named = [same_product(x.assets, x.vulns.filter("in_kev").select("cve_id", "vendor", "product")) for x in sides]
+    pairs = _all_rows([x.select(*PAIR, "label") for x in named]).join(matched.select(*PAIR), PAIR, "left_anti")
     evidence = F.concat("label", F.lit(" is named in the CISA KEV entry, which carries no machine-readable affected versions."))
     verdict = _verdict_row("possibly_affected", "kev_fallback", "low", evidence)
     return pairs.select(*PAIR, verdict.alias("v")).select(*PAIR, "v.*")
@@ -140,15 +165,35 @@ def exposure(state: Column) -> Column:
     return points
 
 
+def _matched(sides: list[Side]) -> DataFrame:
+    """Matches of all sides, whose pairs of assets and CVEs differ, in one pass of verdicts. Only CVEs with a vulnerability row count."""
+    met = _all_rows([_met(x.assets, x.products.join(x.vulns.select("cve_id"), "cve_id", "left_semi")) for x in sides])
+    by_product = _settled(_verdicts(met))
+    rows = by_product.unionByName(match_catalogue(sides, by_product))
+    return rows.withColumn("exposure", exposure(F.col("state")))
+
+
 def match_inventory(assets: DataFrame, products: DataFrame, vulns: DataFrame) -> DataFrame:
-    """All matches of an inventory, with exposure points (M2-M4).
+    """All matches of an inventory, with exposure points (M2-M4)."""
+    return _matched([Side(assets, products, vulns)])
 
-    Only CVEs with a vulnerability row count.
+
+def fresh_matches(assets: DataFrame, products: DataFrame, vulns: DataFrame,
+                  changed_assets: DataFrame | None = None, changed_cves: DataFrame | None = None) -> DataFrame:
+    """Matches of changed assets with everything and of the other assets with changed CVEs (M4).
+
+    Changes are few beside the tables: product rows and vulnerabilities are cut down by them before names are folded
+    and versions read, and both kinds of pairs go through one pass of verdicts.
     """
-    known = products.join(vulns.select("cve_id"), "cve_id", "left_semi")
-    by_product = match_products(assets, known)
-    rows = by_product.unionByName(match_catalogue(assets, vulns, by_product))
-    return rows.withColumn("exposure", exposure(F.col("state")))
+    owner, sides, rest = PAIR[:3], [], assets
+    if changed_assets is not None:
+        keys = changed_assets.select(*owner).distinct()
+        sides.append(Side(assets.join(keys, owner, "left_semi"), products, vulns))
+        rest = assets.join(keys, owner, "left_anti")
+    if changed_cves is not None:
+        keys = changed_cves.select("cve_id").distinct()
+        sides.append(Side(rest, products.join(keys, "cve_id", "left_semi"), vulns.join(keys, "cve_id", "left_semi")))
+    return _matched(sides)
 
 
 def rematch(matches: DataFrame, assets: DataFrame, products: DataFrame, vulns: DataFrame,
@@ -157,16 +202,11 @@ def rematch(matches: DataFrame, assets: DataFrame, products: DataFrame, vulns: D
 
     ``changed_assets`` needs owner_id, environment_id and asset_id, ``changed_cves`` needs cve_id.
     """
-    owner = PAIR[:3]
-    rows, fresh = matches, None
+    if changed_assets is None and changed_cves is None:
+        return matches
+    rows, owner = matches, PAIR[:3]
     if changed_assets is not None:
-        keys = changed_assets.select(*owner).distinct()
-        fresh = match_inventory(assets.join(keys, owner, "left_semi"), products, vulns)
-        rows = rows.join(keys, owner, "left_anti")
+        rows = rows.join(changed_assets.select(*owner).distinct(), owner, "left_anti")
     if changed_cves is not None:
-        keys = changed_cves.select("cve_id").distinct()
-        rest = assets if changed_assets is None else assets.join(changed_assets.select(*owner), owner, "left_anti")
-        renewed = match_inventory(rest, products.join(keys, "cve_id", "left_semi"), vulns.join(keys, "cve_id", "left_semi"))
-        rows = rows.join(keys, "cve_id", "left_anti")
-        fresh = renewed if fresh is None else fresh.unionByName(renewed)
-    return rows if fresh is None else rows.unionByName(fresh, allowMissingColumns=True)
+        rows = rows.join(changed_cves.select("cve_id").distinct(), "cve_id", "left_anti")
+    return rows.unionByName(fresh_matches(assets, products, vulns, changed_assets, changed_cves), allowMissingColumns=True)

@@ -29,11 +29,16 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[Column | str]) -> D
     return rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") == 1).drop("_rank")
 
 
-def insert_missing(snapshot: DataFrame, batch: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """First write wins: keep the snapshot as it is and add the keys it does not have."""
+def missing_rows(snapshot: DataFrame, batch: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
+    """First write wins: the batch's rows whose keys the snapshot does not have, in its columns."""
     fresh = first_wins(batch, keys, order).join(snapshot.select(*keys), keys, "left_anti")
     known = [c for c in snapshot.columns if c in fresh.columns]
-    return snapshot.unionByName(fresh.select(*known), allowMissingColumns=True)
+    return snapshot.where("false").unionByName(fresh.select(*known), allowMissingColumns=True)
+
+
+def insert_missing(snapshot: DataFrame, batch: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
+    """The snapshot as it is, and the keys that it does not have."""
+    return snapshot.unionByName(missing_rows(snapshot, batch, keys, order))
 
 
 def is_empty(col: Column, dtype: T.DataType) -> Column:
@@ -185,8 +190,12 @@ def nvd_references(nvd: DataFrame) -> DataFrame:
     return nvd.select("cve_id", F.posexplode(F.concat(heads, listed)).alias("pos", "r")).select("cve_id", "r.*", "pos")
 
 
+def new_references(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
+    return missing_rows(snapshot, batch, ["cve_id", "url"], ["pos"])
+
+
 def add_references(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
-    return insert_missing(snapshot, batch, ["cve_id", "url"], ["pos"])
+    return snapshot.unionByName(new_references(snapshot, batch))
 
 
 def kev_products(kev: DataFrame) -> DataFrame:
@@ -204,8 +213,12 @@ def nvd_products(nvd: DataFrame) -> DataFrame:
     return settle_products(rows, "cve_id").withColumn("source_key", F.lit("nvd")).drop("spot")
 
 
+def new_products(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
+    return missing_rows(snapshot, batch, ["cve_id", "vendor", "product", "cpe"], ["source_key"])
+
+
 def add_products(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
-    return insert_missing(snapshot, batch, ["cve_id", "vendor", "product", "cpe"], ["source_key"])
+    return snapshot.unionByName(new_products(snapshot, batch))
 
 
 # ------------------------------------------------------------------------------------ other tables

@@ -169,11 +169,14 @@ def recompute(c: Corpus, as_of: datetime, only: DataFrame | None = None) -> Data
         return derive(c.vulnerability, summarise(signals(c)), as_of)
     keys = only.select("cve_id").distinct()
     docs_of = c.edge.join(keys.withColumnRenamed("cve_id", "object_id"), "object_id", "left_semi")
-    # attack edges are needed for the documents that name a chosen CVE
+    # attack edges are needed for the documents that name a chosen CVE; of documents and exploits only those with an edge
     named = docs_of.filter(F.col("subject_type") == "document").select("subject_id").distinct()
     attack = c.edge.filter(F.col("object_type") == "attack").join(named, "subject_id", "left_semi")
+    targeting = docs_of.filter(F.col("subject_type") == "exploit").select("subject_id").distinct()
     part = replace(
-        c, vulnerability=c.vulnerability.join(keys, "cve_id", "left_semi"),
+        c, document=c.document.join(named, F.col("url") == F.col("subject_id"), "left_semi"),
+        exploit=c.exploit.join(targeting, subject_key() == F.col("subject_id"), "left_semi"),
+        vulnerability=c.vulnerability.join(keys, "cve_id", "left_semi"),
         affected_product=c.affected_product.join(keys, "cve_id", "left_semi"),
         source_reference=c.source_reference.join(keys, "cve_id", "left_semi"),
         edge=docs_of.unionByName(attack, allowMissingColumns=True))

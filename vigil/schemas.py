@@ -67,6 +67,28 @@ TABLES = {
         "items_new long, items_updated long, items_malformed long, duration_ms long, error string"),
 }
 
+# What the recompute job adds to a vulnerability.
+TABLES["scored"] = TABLES["vulnerability"] + (
+    ", tags array<string>, platforms array<string>, actively_exploited boolean, exploit_count int, poc_count int, "
+    "has_exploit boolean, has_poc boolean, source_count int, product_count int, relevance_score int, "
+    f"relevance_reasons {REASONS}, last_activity_at timestamp, techniques {TECHNIQUES}")
+
+# Keys that a run created or changed, for the jobs that derive from them; ``run`` numbers the entries.
+TABLES["change_feed"] = "run long, reason string, cve_id string, owner_id string, environment_id string, asset_id string"
+
+# What a row's bucket is a hash of: natural keys. Matches are dealt by CVE alone, so that a CVE's change stays in its
+# buckets; assets by owner, whose number of assets is limited as a whole.
+KEYS = {
+    "vulnerability": ["cve_id"], "scored": ["cve_id"], "payload_cache": ["cve_id"], "match": ["cve_id"],
+    "affected_product": ["cve_id", "vendor", "product", "cpe"], "source_reference": ["cve_id", "url"],
+    "exploit": ["source_key", "external_id"], "detection_rule": ["source_key", "external_id"], "document": ["url"],
+    "attack_object": ["stix_id"], "attack_relationship": ["stix_id"],
+    "edge": ["subject_type", "subject_id", "object_type", "object_id", "relation"],
+    "environment": ["owner_id"], "asset": ["owner_id"],
+    "indicator": ["source_key", "kind", "value_norm"], "ingestion_run": ["source_key", "started_at"],
+    "change_feed": ["run", "cve_id", "owner_id", "environment_id", "asset_id"],
+}
+
 
 def empty(spark: SparkSession, table: str) -> DataFrame:
     return literal_rows(spark, [], TABLES[table])

@@ -18,16 +18,15 @@ Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def snapshot_sink(store: Store, table: str, merge_batch: Merge, stream: str = "stream") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that folds each batch into the next snapshot of a table.
+    """A foreachBatch function that folds each batch into the buckets of a table that it touches.
 
-    Snapshots are numbered on from the newest, whoever wrote it, and carry the name of the stream and
-    the batch. A batch that runs again after its snapshot was completed is skipped; one that died
-    before left no complete snapshot and is folded into the same rows again.
+    ``merge_batch(rows of those buckets, batch)`` gives their next rows; the batch has the table's key columns. Commits
+    are numbered on from the newest, whoever wrote it, and the manifest marks the last batch of the stream. A batch that
+    runs again after its commit is skipped; one that died before is folded into the same rows again.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        mark = f"{stream}-{batch_id}"
-        if not store.holds(table, mark):
-            store.write(table, merge_batch(store.read(table), batch), batch=mark)
+        if not store.holds(table, stream, batch_id):
+            store.merge(table, batch, merge_batch, marks={stream: batch_id})
 
     return run
 
