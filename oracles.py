@@ -267,6 +267,7 @@ CTES: dict[str, str] = {
         UNION ALL SELECT cve_id, 'cisa_kev', 'https://vendor.example.com/' || CAST(p_partkey AS VARCHAR), 'vendor_advisory', 'Vendor advisory (via CISA KEV notes)', NULL FROM vuln WHERE in_kev
         UNION ALL SELECT cve_id, 'nvd', '{NVD_URL}' || cve_id, 'nvd', 'NVD: ' || cve_id, published FROM vuln
         UNION ALL SELECT cve_id, 'cve_org', 'https://www.cve.org/CVERecord?id=' || cve_id, 'cve_org', 'CVE Record: ' || cve_id, published FROM vuln""",
+    "known_techs": "SELECT t.cve_id, t.id, t.method, n.* , r.r_name FROM techs t JOIN (SELECT n_nationkey, n_name, n_regionkey, " + tid("n_nationkey") + " AS tid FROM nation) n ON n.tid = t.id JOIN region r ON r_regionkey = n_regionkey",
     "events_of": f"""
         SELECT cve_id, 'cve_published' AS kind, 'CVE published' AS title, 'NVD' AS source, published AS dated, '{NVD_URL}' || cve_id AS url FROM vuln WHERE published IS NOT NULL
         UNION ALL SELECT cve_id, 'kev_added', 'Added to CISA KEV', 'CISA KEV', CAST(kev_date AS TIMESTAMP), '{KEV_URL}' FROM vuln WHERE kev_date IS NOT NULL
@@ -278,6 +279,25 @@ CTES: dict[str, str] = {
         SELECT cve_id, ref_type AS kind, title, {source_name('source_key')} AS source, 1 AS tier, dated, url FROM refs
         UNION ALL SELECT cve_id, doc_type, title, {source_name('source_key')}, tier, published_at, url FROM cve_docs
         UNION ALL SELECT cve_id, kind, 'Code ' || external_id, {source_name('source_key')}, tier, published_at, 'https://code.example.org/' || external_id FROM cve_ex""",
+    "fact_rows": f"""
+        SELECT cve_id, 'overview' AS section, cvss_severity AS kind, title, NULL AS source, NULL AS tier, published AS dated, NULL AS url, description AS detail FROM vtitle
+        UNION ALL SELECT cve_id, 'risk', f, CAST(CAST(p AS DOUBLE) AS VARCHAR), NULL, NULL, NULL, NULL, d FROM reasons
+        UNION ALL SELECT cve_id, 'affected_products', cpe, vendor || ' ' || product, {source_name("'nvd'")}, NULL, NULL, NULL, versions FROM prod
+        UNION ALL SELECT cve_id, 'exploitation', 'kev', NULL, 'CISA KEV', 1, CAST(kev_date AS TIMESTAMP), '{KEV_URL}', 'Listed as known exploited' FROM vuln WHERE in_kev
+        UNION ALL SELECT cve_id, 'exploitation', 'ssvc', NULL, 'CISA SSVC (via NVD)', 1, NULL, '{NVD_URL}' || cve_id,
+          'SSVC exploitation = ' || ssvc || '; automatable = no; technical impact = partial' FROM vuln
+        UNION ALL SELECT cve_id, 'exploitation', 'report', NULL, {source_name('source_key')}, tier, published_at, url, 'line ' || cve_id FROM cve_docs WHERE focused AND urgent
+        UNION ALL SELECT cve_id, CASE kind WHEN 'exploit' THEN 'public_exploits' ELSE 'pocs' END, kind, 'Code ' || external_id, {source_name('source_key')}, tier, published_at,
+          'https://code.example.org/' || external_id, NULL FROM cve_ex
+        UNION ALL SELECT cve_id, CASE obj_type WHEN 'group' THEN 'threat_actors' WHEN 'campaign' THEN 'campaigns' WHEN 'technique' THEN 'techniques_reported' ELSE 'malware' END,
+          obj_type, name, external_id, NULL, NULL, url, 'line ' || stix_id FROM co JOIN attack USING (stix_id)
+        UNION ALL SELECT cve_id, 'attack', 'explicit', a.name, id, 1, NULL, 'https://attack.example.org/' || a.stix_id, 'Technique mentioned in a report about this CVE'
+          FROM techs JOIN attack a ON a.external_id = id AND a.obj_type = 'technique' WHERE method = 'explicit'
+        UNION ALL SELECT cve_id, 'vendor_advisories', ref_type, title, {source_name('source_key')}, 1, NULL, url, NULL FROM refs WHERE ref_type = 'vendor_advisory'
+        UNION ALL SELECT cve_id, CASE doc_type WHEN 'advisory' THEN 'vendor_advisories' ELSE doc_type END, CASE WHEN focused THEN 'high' ELSE 'low' END, title,
+          {source_name('source_key')}, tier, published_at, url, 'line ' || cve_id FROM cve_docs
+        UNION ALL SELECT cve_id, 'timeline', kind, title, source, NULL, dated, url, NULL FROM events_of
+        UNION ALL SELECT cve_id, 'sources', kind, title, source, tier, dated, url, NULL FROM prov""",
     "exploitation": f"""
         SELECT cve_id, 0 AS r, 'CISA KEV' AS source, 1 AS tier, '{KEV_URL}' AS url, 'Listed as known exploited' AS detail FROM vuln WHERE in_kev
         UNION ALL SELECT cve_id, 1, 'CISA SSVC (via NVD)', 1, '{NVD_URL}' || cve_id, 'SSVC exploitation = ' || ssvc || '; automatable = no; technical impact = partial' FROM vuln
@@ -363,6 +383,102 @@ def _iso(c: str) -> str:
     return f"strftime({c}, '%Y-%m-%dT%H:%M:%SZ')"
 
 
+def _md(c: str) -> str:
+    return rf"replace(regexp_replace(coalesce({c}, ''), '([\\`*_{{}}\[\]<>#|])', '\\\1', 'g'), chr(10), ' ')"
+
+
+def _link(title: str, target: str) -> str:
+    """Targets of the fixtures are plain https links."""
+    return f"'[' || CASE WHEN coalesce({title}, '') <> '' THEN {_md(title)} ELSE {target} END || '](' || {target} || ')'"
+
+
+def _fixed(table: str, section: int, lines: list[str], start: str = "0") -> str:
+    """Lines that every row of ``table`` has; an expression that is null is no line."""
+    return " UNION ALL ".join(f"SELECT cve_id, {section} AS section, '{start}{k:03d}' AS place, {line} AS line FROM {table}" for k, line in enumerate(lines))
+
+
+def _markdown_sql() -> str:
+    """The report of every CVE, section by section; the order is section, place, line."""
+    nth = lambda order: f"'1' || lpad(CAST(row_number() OVER (PARTITION BY cve_id ORDER BY {order}) AS VARCHAR), 12, '0')"
+    day = lambda c: f"strftime({c}, '%Y-%m-%d')"
+    label = "coalesce(nullif(title, ''), url)"
+    parts = [
+        _fixed("vtitle", 0, ["'# ' || cve_id", "''", f"'**' || {_md('title')} || '**'", "''"]),
+        _fixed("vtitle", 1, ["'## Overview'", "''", _md("description"), "''", f"'- Vendor / product: ' || {_md('vendor')} || ' / ' || {_md('product')}",
+                             f"'- Published: ' || coalesce({_iso('published')}, 'n/a')", "'- CWE: ' || coalesce(nullif(replace(cwes, ',', ', '), ''), 'n/a')", "''"]),
+        _fixed("score", 2, ["'## Impact & Risk'", "''", "'- CVSS: ' || coalesce(CAST(nullif(cvss_score, 0) AS VARCHAR), 'n/a') || ' ' || coalesce(cvss_severity, '') || ' ``'",
+                            "'- Threat Relevance Score: **' || CAST(relevance_score AS VARCHAR) || '** / 100 (internal prioritisation, not CVSS)'", "''"]),
+        f"""SELECT cve_id, 2, '1' || lpad(CAST(row_number() OVER (PARTITION BY cve_id ORDER BY CAST(p AS DECIMAL(5,1)) DESC, o) - 1 AS VARCHAR), 12, '0'),
+              '  - +' || CAST(CAST(p AS DOUBLE) AS VARCHAR) || ' ' || {_md('f')} || ' — ' || {_md('d')} FROM reasons""",
+        _fixed("vuln", 2, ["''"], "9"),
+        _fixed("vuln", 3, ["'## Affected Products'", "''"]), _fixed("vuln", 3, ["''"], "9"),
+        f"""SELECT cve_id, 3, {nth('vendor, product, cpe')}, '- ' || {_md('vendor')} || ' ' || {_md('product')} || ' ' || {_md('versions')} FROM prod""",
+        "SELECT cve_id, 3, '1', '- n/a' FROM vuln WHERE cve_id NOT IN (SELECT cve_id FROM prod)",
+        _fixed("vuln", 4, ["'## Exploitation'", "''", "CASE WHEN in_kev THEN '- **CISA KEV** since ' || coalesce(CAST(kev_date AS VARCHAR), 'None') || ' (due ' || "
+                           f"coalesce(CAST(kev_date + 21 AS VARCHAR), 'None') || '); ransomware use: ' || {_md('kev_ransomware')} END"]),
+        _fixed("vuln", 4, ["''"], "9"),
+        f"""SELECT cve_id, 4, '1' || CAST(r + 1 AS VARCHAR) || url, '- ' || {_md('source')} || ': ' || {_md('detail')} || ' — ' || {_link("'source'", 'url')} FROM exploitation""",
+        _fixed("vuln", 5, ["'## Public Exploits & PoCs'", "''"]),
+        _fixed("vuln", 5, ["''", "'> PoC code is unverified. Never run it outside an isolated lab.'", "''"], "9"),
+        f"""SELECT cve_id, 5, '1' || kind || '|' || source_key || ':' || external_id, '- [' || kind || '] ' || {_link("'Code ' || external_id", "'https://code.example.org/' || external_id")}
+              || ' (' || {_md(source_name('source_key'))} || ')' FROM cve_ex""",
+        "SELECT cve_id, 5, '1', '- None found.' FROM vuln WHERE cve_id NOT IN (SELECT cve_id FROM cve_ex)",
+        _fixed("vuln", 6, ["'## Threat Actors & Campaigns'", "''"]), _fixed("vuln", 6, ["''"], "9"),
+        f"""SELECT cve_id, 6, '1' || CASE obj_type WHEN 'group' THEN '1' WHEN 'campaign' THEN '2' ELSE '3' END || name,
+              '- ' || {_md('name')} || ' (' || obj_type || ', ' || external_id || ') — co-mentioned in ' || {_link('b.title', 'b.url')}
+            FROM (SELECT cve_id, stix_id, min(url) AS url FROM co GROUP BY 1, 2) c JOIN attack USING (stix_id) JOIN bulletin b ON b.url = c.url WHERE obj_type <> 'technique'""",
+        """SELECT cve_id, 6, '1', '- No association found in collected reports.' FROM vuln
+            WHERE cve_id NOT IN (SELECT cve_id FROM co JOIN attack USING (stix_id) WHERE obj_type <> 'technique')""",
+        _fixed("vuln", 7, ["'## MITRE ATT&CK'", "''"]), _fixed("vuln", 7, ["''"], "9"),
+        f"SELECT cve_id, 7, '1' || id, '- **' || id || ' ' || {_md('n_name')} || '** (' || {_md('r_name')} || ') — mapping: ' || method FROM known_techs",
+        "SELECT cve_id, 7, '1', '- No technique mapping.' FROM vuln WHERE cve_id NOT IN (SELECT cve_id FROM known_techs)",
+        _fixed("vuln", 8, ["'## Detection'", "''"]), _fixed("vuln", 8, ["'- Sigma / YARA: see the rule tables.'", "''"], "9"),
+        f"""SELECT cve_id, 8, '1' || id || '|strategy--' || CAST(n_nationkey AS VARCHAR),
+              '- ' || id || ': ' || {_link("'Detect ' || n_name", "'https://attack.example.org/strategy--' || CAST(n_nationkey AS VARCHAR)")}
+            FROM known_techs WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)""",
+        f"""SELECT cve_id, 8, '1' || id || '|strategy--' || CAST(n_nationkey AS VARCHAR) || '|analytic--' || CAST(s_suppkey AS VARCHAR), '  - Linux: ' || {_md("coalesce(logs, '')")}
+            FROM known_techs JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN (
+              SELECT c_nationkey, string_agg(lower(seg) || ' log', '; ' ORDER BY seg) AS logs FROM (SELECT DISTINCT c_nationkey, c_mktsegment AS seg FROM customer) GROUP BY 1)
+            ON c_nationkey = n_nationkey""",
+        _fixed("vuln", 9, ["'## Mitigation'", "''", f"CASE WHEN in_kev THEN '- CISA required action: ' || {_md("'Update ' || product")} END"]), _fixed("vuln", 9, ["''"], "9"),
+        f"""SELECT cve_id, 9, {nth('branch, url')}, '- ' || {_link(label, 'url')} FROM (
+              SELECT cve_id, 0 AS branch, url, title FROM refs WHERE ref_type = 'vendor_advisory' UNION ALL SELECT cve_id, 1, url, title FROM cve_docs WHERE doc_type = 'advisory')""",
+        f"SELECT cve_id, 9, '2' || id || '|1000000000001', '- ' || id || ' ' || {_md("n_name || ' Mitigation'")} || ' (for ' || id || ')' FROM known_techs",
+        _fixed("vuln", 10, ["'## Timeline'", "''"]), _fixed("vuln", 10, ["''"], "9"),
+        f"""SELECT cve_id, 10, '1' || {_iso('dated')} || '|' || kind || '|' || coalesce(url, ''), '- ' || {day('dated')} || ' — ' || kind || ': ' ||
+              CASE WHEN url IS NULL THEN {_md('title')} ELSE {_link('title', 'url')} END || ' (' || {_md('source')} || ')' FROM events_of""",
+        _fixed("vuln", 11, ["'## Sources'", "''"]), _fixed("vuln", 11, ["''", "'_Every statement links to its original source._'", "''"], "9"),
+        f"""SELECT cve_id, 11, '1' || CAST(tier AS VARCHAR) || '|' || source || '|' || coalesce(url, ''),
+              '- [Tier ' || CAST(tier AS VARCHAR) || '] ' || {_md('source')} || ' — ' || {_link(label, 'url')} FROM prov"""]
+    return ("SELECT cve_id, row_number() OVER (PARTITION BY cve_id ORDER BY section, place, line) AS number, line FROM (" + " UNION ALL ".join(parts) + ") WHERE line IS NOT NULL")
+
+
+def _environment_markdown_sql() -> str:
+    """The report of one owner; the order is section, place, line."""
+    dash = lambda c: f"CASE WHEN {_md(c)} = '' THEN '—' ELSE {_md(c)} END"
+    rank = "CASE state WHEN 'affected' THEN 2 WHEN 'possibly_affected' THEN 3 ELSE 4 END"
+    flags = "concat_ws(' · ', CASE WHEN in_kev THEN 'CISA KEV' END, 'CVSS ' || CAST(cvss_score AS VARCHAR), 'relevance ' || CAST(relevance_score AS VARCHAR))"
+    software = "vendor || ' ' || product"
+    lines = ["'### ' || " + _md("cve_id") + " || ' — ' || " + _md("shown"), _md(flags), f"'- Asset: ' || {_md('label')} || ' (' || {_md(software)} || ' ' || {dash('version')} || ')'",
+             f"'- Why: ' || {_md('evidence')}", "''"]
+    body = " UNION ALL ".join(f"""SELECT {rank} AS section, '1' || lpad(CAST(1000 - relevance_score AS VARCHAR), 4, '0') || '|' || cve_id || '|' || asset_id || '|{k}' AS place,
+          {line} AS line FROM mine""" for k, line in enumerate(lines))
+    head = ["'## Inventory'", "''", "'| Asset | Software | Version | Category | |'", "'| --- | --- | --- | --- | --- |'"]
+    tail = ["'---'", "''", "'_The inventory in this file describes a live environment; treat it as you would a network diagram._'"]
+    fixed = lambda section, rows, start="0": " UNION ALL ".join(f"SELECT {section} AS section, '{start}{k:03d}' AS place, {line} AS line" for k, line in enumerate(rows))
+    owned = "(SELECT * FROM asset WHERE owner_id = 'SMALL')"
+    return f"""SELECT row_number() OVER (ORDER BY section, place, line) AS number, line FROM (
+        WITH mine AS (SELECT m.*, a.label, a.vendor, a.product, a.version, v.in_kev, v.cvss_score, v.relevance_score,
+              CASE WHEN length(v.title) > 90 THEN regexp_replace(substr(v.title, 1, 90), ' [^ ]*$', '') || '…' ELSE v.title END AS shown
+            FROM match m JOIN asset a USING (owner_id, asset_id) JOIN score v USING (cve_id) WHERE m.owner_id = 'SMALL')
+        {fixed(0, ["'# Plant ' || chr(92) || '[one' || chr(92) || ']'"])} UNION ALL {fixed(0, ["''"], "1")} UNION ALL {fixed(1, head)}
+        UNION ALL SELECT 1, '1application|' || label || '|' || asset_id, '| ' || {_md('label')} || ' | ' || {_md('vendor')} || ' ' || {_md('product')} || ' | ' || {dash('version')} || ' | application |  |' FROM {owned}
+        UNION ALL {fixed(1, ["''"], "9")}
+        UNION ALL SELECT {rank}, '0000', '## ' || CASE state WHEN 'affected' THEN 'Affected' WHEN 'possibly_affected' THEN 'Possibly affected — check by hand' ELSE 'Ruled out' END || ' (' || CAST(count(*) AS VARCHAR) || ')' FROM mine GROUP BY state
+        UNION ALL SELECT DISTINCT {rank}, '0001', '' FROM mine
+        UNION ALL {body} UNION ALL {fixed(20, tail)}) WHERE line IS NOT NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["html_text"] = _html_sql()
@@ -407,8 +523,10 @@ def oracle_sql() -> dict[str, str]:
     q["score_reasons"] = """SELECT v.cve_id, coalesce(string_agg(f || '|' || CAST(CAST(p AS DECIMAL(5,1)) AS VARCHAR) || '|' || d, ' ; ' ORDER BY CAST(p AS DECIMAL(5,1)) DESC, o), '') AS reasons
         FROM vuln v LEFT JOIN reasons USING (cve_id) GROUP BY 1"""
     q["technique_list"] = "SELECT v.cve_id, coalesce(string_agg(id || ':' || method, ',' ORDER BY id), '') AS techniques FROM vuln v LEFT JOIN techs USING (cve_id) GROUP BY 1"
-    q["recompute_touched"] = f"""SELECT cve_id, relevance_score, CAST(sources AS BIGINT) AS source_count FROM score
-        WHERE relevance_score >= 60 OR last_activity >= {AS_OF} - INTERVAL 60 DAY"""
+    q["recompute_touched"] = "SELECT cve_id, relevance_score, CAST(sources AS BIGINT) AS source_count FROM score"
+    q["maintenance_keys"] = f"SELECT cve_id FROM score WHERE relevance_score >= 60 OR last_activity >= {AS_OF} - INTERVAL 60 DAY"
+    q["relink_edges"] = r"""SELECT subject_id, object_type, object_id, relation, CASE WHEN k % 5 = 0 THEN 'added' WHEN k % 7 = 0 THEN 'removed' ELSE 'kept' END AS change
+        FROM (SELECT *, TRY_CAST(regexp_extract(object_id, '^actor--(\d+)$', 1) AS BIGINT) AS k FROM art_edge) WHERE k IS NULL OR k % 35 <> 0"""
     q["risk_bands"] = """SELECT CASE WHEN relevance_score >= 75 THEN 'critical' WHEN relevance_score >= 50 THEN 'high' WHEN relevance_score >= 25 THEN 'medium' ELSE 'low' END AS band,
         count(*) AS cves FROM score GROUP BY 1"""
     q["short_labels"] = """SELECT cve_id, CASE WHEN in_kev THEN title ELSE concat_ws(' — ', CASE tags WHEN 'rce' THEN 'Remote code execution' WHEN 'privilege_escalation' THEN 'Privilege escalation'
@@ -559,7 +677,8 @@ def oracle_sql() -> dict[str, str]:
         FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN mentions ON stix_id = 'attack-pattern--' || CAST(n_nationkey AS VARCHAR)"""
     rels = f"""SELECT 'uses' AS t, {ACTOR.format('s_suppkey')} AS a, 'attack-pattern--' || CAST(s_nationkey AS VARCHAR) AS b FROM supplier
         UNION ALL SELECT 'mitigates', 'course-of-action--' || CAST(n_nationkey AS VARCHAR), 'attack-pattern--' || CAST(n_nationkey AS VARCHAR) FROM nation
-        UNION ALL SELECT 'detects', 'strategy--' || CAST(n_nationkey AS VARCHAR), 'attack-pattern--' || CAST(n_nationkey AS VARCHAR) FROM nation"""
+        UNION ALL SELECT 'detects', 'strategy--' || CAST(n_nationkey AS VARCHAR), 'attack-pattern--' || CAST(n_nationkey AS VARCHAR) FROM nation
+        UNION ALL SELECT 'includes', 'strategy--' || CAST(s_nationkey AS VARCHAR), 'analytic--' || CAST(s_suppkey AS VARCHAR) FROM supplier"""
     q["related_objects"] = f"""SELECT a AS stix_id, t || ':' || obj_type AS section, b AS other, name AS other_name, t || ' ' || b AS how FROM ({rels}) JOIN attack ON stix_id = b
         UNION ALL SELECT b, CASE t WHEN 'uses' THEN 'used_by' ELSE t END || ':' || obj_type, a, name, t || ' ' || b FROM ({rels}) JOIN attack ON stix_id = a"""
     q["entity_documents"] = """SELECT stix_id, url, row_number() OVER (PARTITION BY stix_id ORDER BY published_at DESC, url) AS position FROM named
@@ -602,7 +721,16 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT cve_id, CASE kind WHEN 'exploit' THEN 'public_exploits' ELSE 'pocs' END, 'Code ' || external_id, {source_name('source_key')}, tier, published_at, 'https://code.example.org/' || external_id FROM cve_ex
           UNION ALL SELECT cve_id, 'timeline:' || kind, title, source, NULL, dated, url FROM events_of
           UNION ALL SELECT cve_id, 'source:' || kind, title, source, tier, dated, url FROM prov)"""
-    q["cve_json"] = """SELECT cve_id, '{"cve_id":"' || cve_id || '","vendor":"' || vendor || '","product":"' || product || '","in_kev":' || CAST(in_kev AS VARCHAR) || ',"exploit_count":' || CAST(exploits AS VARCHAR) || '}' AS json FROM score"""
+    q["cve_json"] = f"""SELECT cve_id, (number - 1) // 5000 + 1 AS part, section, number, kind, title, source, CAST(tier AS BIGINT) AS tier, {_iso('dated')} AS event_at, url, detail FROM (
+          SELECT *, row_number() OVER (PARTITION BY cve_id ORDER BY section, dated DESC NULLS LAST, source NULLS LAST, title NULLS LAST, url NULLS LAST, kind NULLS LAST,
+            detail NULLS LAST) AS number FROM fact_rows)"""
+    stamp = lambda c: f"strftime({c}, '%Y-%m-%dT%H:%M:%S.000Z')"
+    q["cve_json_heads"] = f"""SELECT s.cve_id, CAST(1 AS BIGINT) AS parts, title AS overview_title, vendor AS overview_vendor, product AS overview_product,
+          CAST(relevance_score AS VARCHAR) AS overview_relevance_score, CAST(exploits AS VARCHAR) AS overview_exploit_count, {stamp('published')} AS overview_published,
+          CAST(cvss_score AS VARCHAR) AS cvss_score, cvss_severity, ssvc AS ssvc_exploitation, CAST(in_kev AS VARCHAR) AS kev_in_kev, strftime(kev_date, '%Y-%m-%d') AS kev_date_added,
+          kev_ransomware AS kev_ransomware_use FROM score s"""
+    q["cve_markdown"] = _markdown_sql()
+    q["environment_markdown"] = _environment_markdown_sql()
 
     # raw payloads and upserts
     q["date_parse"] = f"""SELECT event_id, CASE event_type WHEN 'error' THEN NULL WHEN 'signup' THEN {ts("date_trunc('day', ts)")} ELSE {ts('ts')} END AS parsed,

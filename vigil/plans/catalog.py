@@ -220,10 +220,26 @@ def technique_list(s):
 
 @query
 def recompute_touched(s):
-    """The job limited to maintenance keys gives the same rows as the full one."""
-    keys = recompute.maintenance_keys(s["scored"], AS_OF, min_score=60)
-    part = recompute.recompute(s.corpus(False), AS_OF, only=keys)
-    return part.select("cve_id", n("relevance_score"), n("source_count"))
+    """About one in a hundred CVEs derived again and put in place; the table is that of the full job, row by row."""
+    keys = s["scored"].filter(F.pmod(F.crc32("cve_id"), F.lit(100)) == 0).select("cve_id")
+    rows = recompute.replace_rows(s["scored"], recompute.recompute(s.corpus(False), AS_OF, only=keys))
+    return rows.select("cve_id", n("relevance_score"), n("source_count"))
+
+
+@query
+def maintenance_keys(s):
+    """What the periodic recompute covers."""
+    return recompute.maintenance_keys(s["scored"], AS_OF, min_score=60)
+
+
+@query
+def relink_edges(s):
+    """Stored edges of an older dictionary against a new extraction. Some actors were not known then, some are not any more."""
+    every = lambda c, k: F.coalesce(F.regexp_extract(c, r"^actor--(\d+)$", 1).try_cast("bigint") % k == 0, F.lit(False))
+    stored = s["article_edge"].filter(~every("object_id", 5))
+    present = s["attack_object"].filter(~every("stix_id", 7))
+    found = link.relink(s["article"], stored, names.build_name_table(present), rebuild=True)
+    return found.diff.select("subject_id", "object_type", "object_id", "relation", "change")
 
 
 @query
@@ -705,16 +721,32 @@ def evidence_csv(s):
 
 @query
 def cve_json(s):
-    """One JSON object per CVE."""
-    rows = s["scored"].select("cve_id", "vendor", "product", "in_kev", "exploit_count")
-    return export.to_json(rows)
+    """The JSON documents of every CVE, whole, read back fact by fact."""
+    facts = export.read_json_facts(export.cve_json(s.corpus(), s.keep))
+    return facts.select("cve_id", n("part"), "section", n("number"), "kind", "title", "source", n("tier"), F.col("at").alias("event_at"), "url", "detail")
+
+
+@query
+def cve_json_heads(s):
+    """Overview, CVSS, SSVC and KEV objects of every JSON document."""
+    docs = export.cve_json(s.corpus(), s.keep)
+    wanted = ["overview.title", "overview.vendor", "overview.product", "overview.relevance_score", "overview.exploit_count", "overview.published", "cvss.score",
+              "cvss.severity", "ssvc.exploitation", "kev.in_kev", "kev.date_added", "kev.ransomware_use"]
+    return docs.select("cve_id", n("parts"), *[F.get_json_object("json", f"$.{w}").alias(w.replace(".", "_")) for w in wanted])
 
 
 @query
 def cve_markdown(s):
-    """Lines of every CVE's report."""
-    rows = export.markdown_lines(s.corpus(), s["relationship"])
-    return rows.groupBy(n("section")).agg(F.count("*").alias("lines"), F.count_distinct("cve_id").alias("cves"))
+    """Every line of every CVE's report, numbered."""
+    return export.number_lines(export.markdown_lines(s.corpus(), s["relationship"]), s.keep).select("cve_id", n("number"), "line")
+
+
+@query
+def environment_markdown(s):
+    """Every line of one owner's environment report, numbered."""
+    mine = lambda t: s[t].filter(F.col("owner_id") == "SMALL")
+    report = export.environment_report(mine("match"), mine("asset"), s["scored"])
+    return export.number_environment_lines(export.environment_markdown(report, mine("asset"), "Plant [one]"), s.keep).select(n("number"), "line")
 
 
 # ------------------------------------------------------------------------------------ raw payloads and upserts

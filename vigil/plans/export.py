@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vigil import vocab
 from vigil.functions.text import formula_guard, markdown, markdown_link, strip, title_or
+from vigil.operators.ordering import Keep, numbered
 from vigil.operators.recompute import Corpus
 from vigil.plans import marts, profile
 from vigil.session import literal_rows
@@ -18,13 +19,58 @@ from vigil.session import literal_rows
 TITLE_CHARS = 90
 
 
-def to_json(rows: DataFrame, key: str = "cve_id") -> DataFrame:
-    """One JSON object per row."""
-    return rows.select(key, F.to_json(F.struct("*")).alias("json"))
+# ------------------------------------------------------------------------------------ JSON documents
+FACT = "struct<number:bigint,kind:string,title:string,source:string,tier:int,at:string,url:string,detail:string>"
+OVERVIEW = {
+    "title": "title", "description": "description", "vendor": "vendor", "product": "product", "vuln_status": "vuln_status", "cwes": "cwes",
+    "published": "published", "last_modified": "last_modified", "tags": "tags", "platforms": "platforms", "relevance_score": "relevance_score",
+    "actively_exploited": "actively_exploited", "exploit_count": "exploit_count", "poc_count": "poc_count", "source_count": "source_count",
+    "product_count": "product_count", "last_activity_at": "last_activity_at"}
+GROUPS = {
+    "cvss": {"score": "cvss_score", "severity": "cvss_severity", "vector": "cvss_vector", "version": "cvss_version"},
+    "ssvc": {"exploitation": "ssvc_exploitation", "automatable": "ssvc_automatable", "technical_impact": "ssvc_technical_impact"},
+    "kev": {"in_kev": "in_kev", "name": "kev_name", "date_added": "kev_date_added", "due_date": "kev_due_date",
+            "required_action": "kev_required_action", "ransomware_use": "kev_ransomware", "notes": "kev_notes"}}
+PART_FACTS = 5_000
 
 
-def write_json(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+def fact_order() -> list[Column]:
+    return [F.col("section"), F.col("at").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in ("source", "title", "url", "kind", "detail")]]
+
+
+def _named(fields: dict[str, str]) -> Column:
+    return F.struct(*[F.col(column).alias(name) for name, column in fields.items()])
+
+
+def cve_json(c: Corpus, keep: Keep, part_facts: int = PART_FACTS) -> DataFrame:
+    """The whole profile of every CVE as JSON: (cve_id, part, parts, json).
+
+    Facts are numbered per CVE over range partitions and put together in two steps: lists of one section of one part, then
+    a document of at most ``part_facts`` facts. Nearly every CVE is one document; a CVE named in a third of all articles is
+    several, each with the same head, so no task gathers it.
+    """
+    facts = numbered(profile.profile(c), ["cve_id"], fact_order(), keep).withColumn(
+        "part", F.floor((F.col("number") - 1) / part_facts).cast("int") + 1)
+    fact = F.struct("number", "kind", "title", "source", "tier", _day(F.col("at")).alias("at"), "url", "detail")
+    lists = facts.groupBy("cve_id", "part", "section").agg(F.array_sort(F.collect_list(fact)).alias("facts"))
+    documents = lists.groupBy("cve_id", "part").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "facts")))).alias("sections"))
+    parts = facts.groupBy("cve_id").agg(F.max("part").alias("parts"))
+    head = c.vulnerability.select("cve_id", _named(OVERVIEW).alias("overview"), *[_named(fields).alias(name) for name, fields in GROUPS.items()])
+    # a CVE that only documents name has facts and no head
+    whole = documents.join(parts, "cve_id").join(head, "cve_id", "left").withColumn("tracked", F.col("overview").isNotNull())
+    body = F.to_json(F.struct("cve_id", "part", "parts", "tracked", "overview", *GROUPS, "sections"))
+    return whole.select("cve_id", "part", "parts", body.alias("json"))
+
+
+def write_json(documents: DataFrame, path: str) -> None:
+    """JSON lines in files that sort by CVE and part."""
+    documents.repartitionByRange("cve_id", "part").sortWithinPartitions("cve_id", "part").select("json").write.mode("overwrite").text(path)
+
+
+def read_json_facts(documents: DataFrame) -> DataFrame:
+    """The facts of exported documents, read back: cve_id, part, section and the fields of a fact."""
+    parsed = documents.select(F.from_json("json", f"cve_id string, part int, sections map<string,array<{FACT}>>").alias("j")).select("j.*")
+    return parsed.select("cve_id", "part", F.explode("sections").alias("section", "facts")).select("cve_id", "part", "section", F.inline("facts"))
 
 
 def _day(col: Column) -> Column:
@@ -220,10 +266,18 @@ def markdown_lines(c: Corpus, relationships: DataFrame, products: int | None = N
     return rows
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    """Ordered text files per CVE; a large report spans several files that sort by name."""
-    lines.repartitionByRange("cve_id", "section", "place").sortWithinPartitions("cve_id", "section", "place").select(
-        "cve_id", "line").write.mode("overwrite").partitionBy("cve_id").text(path)
+def number_lines(lines: DataFrame, keep: Keep) -> DataFrame:
+    """Report lines with their place in the report of their CVE: (cve_id, number, line)."""
+    order = [F.col("section"), F.col("place"), F.col("line")]
+    return numbered(lines, ["cve_id"], order, keep).select("cve_id", "number", "line")
+
+
+def write_lines(lines: DataFrame, path: str, buckets: int = 64) -> None:
+    """Reports as text by bucket of CVEs. A bucket's files sort by name, and a large report spans several of them."""
+    bucket = F.pmod(F.crc32("cve_id"), F.lit(buckets)).cast("int")
+    order = ["bucket", "cve_id", "section", "place", "line"]
+    lines.withColumn("bucket", bucket).repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "bucket", "line").write.mode("overwrite").partitionBy("bucket").text(path)
 
 
 # ------------------------------------------------------------------------------------ environment report
@@ -306,4 +360,9 @@ def environment_markdown(report: DataFrame, assets: DataFrame, environment_name:
     rows = title.unionByName(fixed(0, [""], "1")).unionByName(fixed(1, header)).unionByName(listed).unionByName(fixed(1, [""], "9"))
     rows = rows.unionByName(heads).unionByName(body)
     return rows.unionByName(fixed(20, ["---", "", "_The inventory in this file describes a live environment; treat it as you "
-                                       "would a network diagram._"])).orderBy("section", "place")
+                                       "would a network diagram._"]))
+
+
+def number_environment_lines(lines: DataFrame, keep: Keep) -> DataFrame:
+    """Report lines with their place in the report: (number, line)."""
+    return numbered(lines, [], [F.col("section"), F.col("place"), F.col("line")], keep).select("number", "line")

@@ -62,6 +62,12 @@ class Stage:
             self._done[name] = self.spark.read.parquet(path)
         return self._done[name]
 
+    def keep(self, rows: DataFrame) -> DataFrame:
+        """Store an intermediate of one query under a new name and read it back."""
+        path = f"{self.folder}/kept-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def drop(self) -> None:
         """Remove the stored tables; runs when the process ends."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
@@ -80,6 +86,9 @@ class FleetStage:
     def __init__(self, tables: Stage):
         self.spark, self.d, self._tables = tables.spark, tables.d, tables
 
+    def keep(self, rows: DataFrame) -> DataFrame:
+        return self._tables.keep(rows)
+
     def __getitem__(self, name: str) -> DataFrame:
         return self._tables[{"asset": "fleet", "match": "fleet_match"}.get(name, name)]
 
