@@ -498,7 +498,16 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN lang = 'de' OR toxic = 1 THEN {ts(EVENTS_AS_OF)} END AS updated_at
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
     q["entity_edges"] = "SELECT * FROM art_edge"
-    q["edge_evidence"] = "SELECT subject_id, object_id, true AS names_it, true AS short FROM art_edge WHERE object_type = 'cve' AND relation = 'mentions'"
+    said = f"{cve('l_partkey')} || ' used by ' || CASE WHEN l_linenumber % 2 = 0 THEN s_name ELSE 'ACTOR ' || CAST(s_suppkey AS VARCHAR) END || ' with ' || {tid('s_nationkey')} || '.'"
+    q["edge_evidence"] = f"""SELECT subject_id, object_id, substr(CASE WHEN start > 0 THEN '…' ELSE '' END
+          || regexp_replace(substr(body, start + 1, place - 1 + length(object_id) + 60 - start), '^\\s+|\\s+$', '', 'g') || '…', 1, 500) AS evidence FROM (
+        SELECT *, greatest(0, place - 61) AS start FROM (
+          SELECT e.subject_id, e.object_id, b.body, strpos(lower(b.body), lower(e.object_id)) AS place
+          FROM (SELECT * FROM art_edge WHERE object_type = 'cve' AND relation = 'mentions') e JOIN (
+            SELECT 'https://articles.example.org/' || CAST(doc_id AS VARCHAR) AS subject_id, 'Article ' || CAST(doc_id AS VARCHAR) || chr(10) || text || chr(10)
+              || coalesce(notes, '') || CASE WHEN o_orderpriority = '1-URGENT' THEN ' The flaw is actively exploited.' ELSE '' END AS body
+            FROM documents LEFT JOIN (SELECT l_orderkey, string_agg({said}, ' ' ORDER BY {said}) AS notes FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1) ON l_orderkey = doc_id
+            LEFT JOIN orders ON o_orderkey = doc_id) b USING (subject_id)))"""
     q["dictionary_hits"] = "SELECT object_id AS stix_id, count(*) AS articles FROM art_edge WHERE method = 'dictionary' GROUP BY 1"
     q["impact_tags"] = _impact_sql()
     q["co_mention"] = "SELECT cve_id, stix_id, count(*) AS reports FROM co GROUP BY 1, 2"
@@ -570,8 +579,9 @@ def oracle_sql() -> dict[str, str]:
         AND contains(lower(cve_id || ' ' || title || '~' || description || '~' || vendor || '~' || product), 'in ') AND relevance_score >= 20
         AND p_partkey IN (SELECT l_partkey FROM dm WHERE source_key = 'unit42')
         AND cve_id IN (SELECT cve_id FROM techs WHERE id = 'T1003')"""
-    q["threat_actor_filter"] = f"""SELECT cve_id, vendor FROM score WHERE cve_id IN (SELECT cve_id FROM co WHERE stix_id = 'actor--3') AND tags = 'auth_bypass'
-        AND contains(lower(vendor), 'brand#1') AND (pocs > 0 OR ssvc = 'poc')"""
+    q["threat_actor_filter"] = """SELECT cve_id, vendor FROM vuln LEFT JOIN ex_agg ON p_partkey = l_partkey
+        WHERE p_type IN ('STANDARD', 'PROMO') AND contains(lower(vendor), 'brand#1') AND (coalesce(pocs, 0) > 0 OR ssvc = 'poc')
+          AND p_partkey IN (SELECT dm.l_partkey FROM dm JOIN da USING (l_orderkey) WHERE dm.focused AND da.l_suppkey = 3)"""
     q["threat_page"] = f"SELECT cve_id, title, cvss_severity AS severity, relevance_score FROM score ORDER BY {_rank()} LIMIT 25 OFFSET 25"
     q["actor_cves"] = f"""SELECT {cve('l_partkey')} AS cve_id FROM dm WHERE focused AND l_orderkey IN (SELECT l_orderkey FROM da WHERE l_suppkey = 3)"""
     # edges of kind reports_exploitation have medium confidence, so only mentions count
@@ -601,8 +611,9 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT DISTINCT v.cve_id, 1, 0 FROM vuln v WHERE v.cvss_severity = 'LOW' AND (
             v.p_partkey IN (SELECT l_partkey FROM dm WHERE published_at >= {AS_OF} - INTERVAL 30 DAY)
             OR v.p_partkey IN (SELECT l_partkey FROM ex_cve WHERE published_at >= {AS_OF} - INTERVAL 30 DAY)
-            OR v.cve_id IN (SELECT cve_id FROM rule WHERE owing)))
-        ORDER BY branch, score DESC, cve_id LIMIT 60"""
+            OR v.cve_id IN (SELECT cve_id FROM rule WHERE owing))
+            AND v.p_partkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 200 <= 7))
+        ORDER BY branch, score DESC, cve_id LIMIT 1000"""
     q["repository_queue"] = f"""SELECT cve_id, relevance_score FROM score WHERE in_kev OR relevance_score >= 80 OR (published >= {AS_OF} - INTERVAL 14 DAY AND cvss_score >= 8.0)
         ORDER BY relevance_score DESC, cve_id LIMIT 40"""
     q["filter_vendors"] = "SELECT DISTINCT vendor FROM score WHERE relevance_score >= 20 ORDER BY 1 LIMIT 300"
