@@ -744,6 +744,23 @@ def oracle_sql() -> dict[str, str]:
     q["environment_markdown"] = _environment_markdown_sql()
 
     # raw payloads and upserts
+    q["attack_parse"] = f"""
+        SELECT 'technique' AS kind, 'attack-pattern--' || CAST(n_nationkey AS VARCHAR) AS key, n_name AS name, {tid('n_nationkey')} || '|See docs on ' || n_name || '||' || lower(r_name)
+          || '|Linux,Windows|' || CAST(n_nationkey % 5 = 0 AS VARCHAR) || '|false' AS detail, CAST(1 AS BIGINT) AS rows FROM nation JOIN region ON n_regionkey = r_regionkey
+        UNION ALL SELECT {ACTOR_TYPE}, {ACTOR.format('s_suppkey')}, s_name, '||' || CASE WHEN s_suppkey % 10 = 8 THEN '' ELSE 'Actor ' || CAST(s_suppkey AS VARCHAR) END || '|||false|'
+          || CAST(s_suppkey % 10 = 4 AS VARCHAR), 1 FROM supplier WHERE s_suppkey % 10 NOT IN (7, 9)
+        UNION ALL SELECT 'relationship', 'relationship--' || CAST(s_suppkey AS VARCHAR), 'uses', {ACTOR.format('s_suppkey')} || '>attack-pattern--' || CAST(s_nationkey AS VARCHAR), 1
+          FROM supplier WHERE s_suppkey % 10 <> 3
+        UNION ALL SELECT 'reject', NULL, NULL, reason, count(*) FROM (
+          SELECT CASE s_suppkey % 10 WHEN 7 THEN 'object is not JSON' WHEN 8 THEN 'fields of another type: aliases' ELSE 'object has no name' END AS reason
+            FROM supplier WHERE s_suppkey % 10 IN (7, 8, 9)
+          UNION ALL SELECT 'object is not a mapping' FROM region) GROUP BY reason"""
+    q["rule_parse"] = f"""SELECT 'rule-' || CAST(c_custkey AS VARCHAR) AS external_id, c_name AS title, 'stable' AS status, 'high' AS level, lower(c_mktsegment) AS product,
+          'condition: selection' || chr(10) || 'selection:' || chr(10) || '  Image: a.exe' || chr(10) AS detection, {tid('c_nationkey')} AS techniques,
+          'CVE-2000-' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS cves, CAST(1 AS BIGINT) AS rows FROM customer WHERE c_custkey % 10 NOT IN (7, 8, 9)
+        UNION ALL SELECT NULL, reason, NULL, NULL, NULL, NULL, NULL, NULL, count(*) FROM (
+          SELECT CASE c_custkey % 10 WHEN 7 THEN 'document is not a mapping' WHEN 8 THEN 'unreadable YAML' ELSE 'rule has no id' END AS reason
+          FROM customer WHERE c_custkey % 10 IN (7, 8, 9)) GROUP BY reason"""
     q["date_parse"] = f"""SELECT event_id, CASE event_type WHEN 'error' THEN NULL WHEN 'signup' THEN {ts("date_trunc('day', ts)")} ELSE {ts('ts')} END AS parsed,
         CASE WHEN event_type <> 'error' THEN strftime(ts, '%Y-%m-%d') END AS day FROM events"""
     q["kev_parse"] = f"""SELECT {cve('p_partkey')} AS cve_id, p_brand AS vendor, p_name || ' & co' AS product, 'CWE-79' AS cwes,

@@ -13,7 +13,7 @@ from vigil.operators import family, inventory, link, match, merge, names, recomp
 from vigil.plans import corpus, environment, export, marts, profile, queries
 from vigil.plans.stage import FleetStage, Stage, stage
 from vigil.session import configure
-from vigil.sources import exploit_archive, feed, kev, nvd, repositories
+from vigil.sources import attack, exploit_archive, feed, kev, nvd, repositories, rules
 from vigil.sources.common import reject_counts
 
 AS_OF, EVENTS_AS_OF = corpus.AS_OF, corpus.EVENTS_AS_OF
@@ -753,6 +753,32 @@ def environment_markdown(s):
 
 
 # ------------------------------------------------------------------------------------ raw payloads and upserts
+@query
+def attack_parse(s):
+    """Objects of a bundle as VARIANT to objects, relationships and counted rejects."""
+    bundle = attack.parse_bundle(corpus.attack_objects_text(s.spark, s.d).select(F.try_parse_json("text").alias("object")))
+    o, r = bundle.objects, bundle.relationships
+    objects = o.select(F.col("obj_type").alias("kind"), F.col("stix_id").alias("key"), "name", F.concat_ws(
+        "|", F.coalesce("external_id", F.lit("")), F.coalesce("description", F.lit("")), joined("aliases"), joined("tactics"), joined("platforms"),
+        F.col("deprecated").cast("string"), F.col("revoked").cast("string")).alias("detail"), F.lit(1).cast("long").alias("rows"))
+    links = r.select(F.lit("relationship").alias("kind"), F.col("stix_id").alias("key"), F.col("relationship_type").alias("name"),
+                     F.concat_ws(">", "source_ref", "target_ref").alias("detail"), F.lit(1).cast("long").alias("rows"))
+    nothing = F.lit(None).cast("string")
+    return objects.unionByName(links).unionByName(reject_counts(bundle.rejects).select(
+        F.lit("reject").alias("kind"), nothing.alias("key"), nothing.alias("name"), F.col("reason").alias("detail"), "rows"))
+
+
+@query
+def rule_parse(s):
+    """Rule files to rules and counted rejects."""
+    parsed = rules.parse_rules(corpus.rule_files(s.spark, s.d), "r1")
+    good = parsed.good.select("external_id", "title", "status", "level", F.element_at("logsource", "product").alias("product"), "detection",
+                              joined("techniques").alias("techniques"), joined("cve_ids").alias("cves"), F.lit(1).cast("long").alias("rows"))
+    nothing = F.lit(None).cast("string")
+    return good.unionByName(reject_counts(parsed.rejects).select(*[nothing.alias(c) for c in ("external_id",)], F.col("reason").alias("title"), *[
+        nothing.alias(c) for c in ("status", "level", "product", "detection", "techniques", "cves")], "rows"))
+
+
 @query
 def date_parse(s):
     """Event times written in five layouts and read back."""

@@ -553,3 +553,46 @@ def release_rows(spark: SparkSession, d: str) -> DataFrame:
         F.lit("org/tool").alias("repo"), F.concat(F.lit("https://github.com/org/tool/releases/"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("html_url"),
         F.when(F.col("role") == "user", "").otherwise(F.concat(F.lit("Release "), tag)).alias("name"), tag.alias("tag_name"), F.col("text").alias("body"),
         F.lit("2001-01-01T00:00:00Z").alias("published_at"))
+
+
+def attack_objects_text(spark: SparkSession, d: str) -> DataFrame:
+    """Objects of a knowledge bundle as JSON text, some of them broken: no JSON, no name, or a list that is a string."""
+    nat, reg, sup = load(spark, d, "nation"), load(spark, d, "region"), load(spark, d, "supplier")
+    key, no = F.col("n_nationkey"), F.col("s_suppkey") % 10
+
+    def ref(source: str, external: Column) -> Column:
+        return F.struct(F.lit(source).alias("source_name"), external.alias("external_id"))
+
+    def phase(chain: str, name: Column) -> Column:
+        return F.struct(F.lit(chain).alias("kill_chain_name"), name.alias("phase_name"))
+
+    techniques = nat.join(reg, F.col("n_regionkey") == F.col("r_regionkey")).select(F.to_json(F.struct(
+        F.lit("attack-pattern").alias("type"), technique_of(key).alias("id"), F.col("n_name").alias("name"),
+        F.concat(F.lit("See [docs](https://docs.example.org/) (Citation: A) on <b>"), "n_name", F.lit("</b>")).alias("description"),
+        F.array(phase("mitre-attack", F.lower("r_name")), phase("other", F.lit("no"))).alias("kill_chain_phases"),
+        F.array(ref("capec", F.lit("CAPEC-1")), ref("mitre-attack", technique_id(key))).alias("external_references"),
+        F.array(F.lit("Linux"), F.lit("Windows")).alias("x_mitre_platforms"), (key % 5 == 0).alias("x_mitre_deprecated"))).alias("text"))
+    kind = F.element_at(F.array(*map(F.lit, ("intrusion-set", "malware", "tool", "campaign"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    alias = F.concat(F.lit("Actor "), F.col("s_suppkey").cast("string"))
+    base = [kind.alias("type"), actor_of(F.col("s_suppkey")).alias("id"), F.when(no != 9, F.col("s_name")).alias("name"), (no == 4).alias("revoked")]
+    actors = sup.select(F.when(no == 7, F.lit('{"type": "malware", ')).when(no == 8, F.to_json(F.struct(*base, alias.alias("aliases")))).otherwise(
+        F.to_json(F.struct(*base, F.array("s_name", alias).alias("x_mitre_aliases")))).alias("text"))
+    uses = sup.select(F.to_json(F.struct(
+        F.lit("relationship").alias("type"), F.concat(F.lit("relationship--"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("uses").alias("relationship_type"),
+        actor_of(F.col("s_suppkey")).alias("source_ref"), technique_of(F.col("s_nationkey")).alias("target_ref"), (no == 3).alias("revoked"))).alias("text"))
+    others = reg.select(F.to_json(F.struct(F.lit("identity").alias("type"), F.col("r_name").alias("id"))).alias("text")).unionByName(
+        reg.select(F.to_json(F.array("r_name")).alias("text")))
+    return techniques.unionByName(actors).unionByName(uses).unionByName(others)
+
+
+def rule_files(spark: SparkSession, d: str) -> DataFrame:
+    """A rule file of each customer: (file, text); some have no id, some are lists, some no YAML."""
+    key, no = F.col("c_custkey"), F.col("c_custkey") % 10
+    number = F.lpad(key.cast("string"), 6, "0")
+    whole = F.concat(
+        F.lit("title: "), "c_name", F.lit("\n"), F.when(no != 9, F.concat(F.lit("id: rule-"), key.cast("string"), F.lit("\n"))).otherwise(""),
+        F.lit("status: Stable\nlevel: HIGH\nlogsource:\n  category: process_creation\n  product: "), F.lower("c_mktsegment"),
+        F.lit("\ndetection:\n  condition: selection\n  selection:\n    Image: a.exe\ntags:\n  - attack."), F.lower(technique_id(F.col("c_nationkey"))),
+        F.lit("\n  - cve.2000-"), number, F.lit("\n  - attack.impact\n"))
+    text = F.when(no == 8, F.lit("title: [open")).when(no == 7, F.lit("- a\n- b\n")).otherwise(whole)
+    return load(spark, d, "customer").select(F.concat(F.lit("rules/"), key.cast("string"), F.lit(".yml")).alias("file"), text.alias("text"))

@@ -127,7 +127,7 @@ def _take_attack(store: Store, path: str, as_of: datetime) -> dict[str, int]:
     store.write("attack_relationship", bundle.relationships)
     table = names.build_name_table(store.read("attack_object"))
     _link_pending(store, table, link.stale_documents(store.read("document"), table.version, as_of), "mitre_attack")
-    return _counts(done.rows, None)
+    return _counts(done.rows, bundle.rejects)
 
 
 def _take_rules(store: Store, path: str, as_of: datetime, release: str) -> dict[str, int]:

@@ -9,33 +9,51 @@ from pyspark.sql import functions as F
 
 from vigil import vocab
 from vigil.functions.text import clip, parse_dt
-from vigil.sources.common import require
-
-OBJECT = (
-    "struct<type:string,id:string,name:string,description:string,created:string,modified:string,revoked:boolean,"
-    "x_mitre_deprecated:boolean,x_mitre_platforms:array<string>,x_mitre_shortname:string,"
-    "x_mitre_is_subtechnique:boolean,aliases:array<string>,x_mitre_aliases:array<string>,"
-    "kill_chain_phases:array<struct<kill_chain_name:string,phase_name:string>>,"
-    "external_references:array<struct<source_name:string,external_id:string,url:string>>,"
-    "tactic_refs:array<string>,relationship_type:string,source_ref:string,target_ref:string,"
-    "x_mitre_analytic_refs:array<string>,"
-    "x_mitre_log_source_references:array<struct<x_mitre_data_component_ref:string,name:string,channel:string>>,"
-    "x_mitre_mutable_elements:array<struct<field:string>>,"
-    "x_mitre_log_sources:array<struct<name:string,channel:string>>,"
-    "x_mitre_detection:string,first_seen:string,last_seen:string>")
-SCHEMA = f"objects array<{OBJECT}>"
+from vigil.sources.common import require, split_rejects
+
+# What an object may carry, by kind; each is read on its own, so a field of an odd type costs that field alone.
+FIELDS = {
+    "type": "string", "id": "string", "name": "string", "description": "string", "created": "string", "modified": "string",
+    "revoked": "boolean", "x_mitre_deprecated": "boolean", "x_mitre_platforms": "array<string>", "x_mitre_shortname": "string",
+    "x_mitre_is_subtechnique": "boolean", "aliases": "array<string>", "x_mitre_aliases": "array<string>",
+    "kill_chain_phases": "array<struct<kill_chain_name:string,phase_name:string>>",
+    "external_references": "array<struct<source_name:string,external_id:string,url:string>>", "tactic_refs": "array<string>",
+    "relationship_type": "string", "source_ref": "string", "target_ref": "string", "x_mitre_analytic_refs": "array<string>",
+    "x_mitre_log_source_references": "array<struct<x_mitre_data_component_ref:string,name:string,channel:string>>",
+    "x_mitre_mutable_elements": "array<struct<field:string>>", "x_mitre_log_sources": "array<struct<name:string,channel:string>>",
+    "x_mitre_detection": "string", "first_seen": "string", "last_seen": "string"}
 _LOG = "array<struct<data_component:string,name:string,channel:string>>"
 
 
 class Bundle(NamedTuple):
     objects: DataFrame
     relationships: DataFrame
+    rejects: DataFrame
 
 
 def read_attack(spark: SparkSession, path: str) -> Bundle:
-    bundle = spark.read.schema(SCHEMA).json(path, multiLine=True)
+    """Bundles of any number of files. Objects differ by kind, so they are read as VARIANT instead of one schema for all."""
+    bundle = spark.read.schema("objects array<variant>").json(path, multiLine=True)
     require(bundle.filter(F.col("objects").isNotNull()), "bundle has no 'objects' list")
-    return parse_attack(bundle.select(F.explode("objects").alias("o")).select("o.*"))
+    return parse_bundle(bundle.select(F.explode("objects").alias("object")))
+
+
+def parse_bundle(rows: DataFrame) -> Bundle:
+    """``object`` (variant, null where it was no JSON) to the knowledge base's tables; odd objects are rejects with a reason."""
+    typed = rows.select("object", *[F.try_variant_get("object", f"$.{name}", kind).alias(name) for name, kind in FIELDS.items()])
+    shape = F.schema_of_variant("object")
+    known = F.col("type").isin(*vocab.STIX_TYPES, "relationship")
+    odd = F.array_compact(F.array(*[
+        F.when(F.variant_get("object", f"$.{name}", "variant").isNotNull() & ~F.is_variant_null(F.variant_get("object", f"$.{name}", "variant"))
+               & F.col(name).isNull(), F.lit(name)) for name in FIELDS if name not in ("type", "id", "name")]))
+    reason = (F.when(F.col("object").isNull(), "object is not JSON").when(~F.startswith(shape, F.lit("OBJECT<")), "object is not a mapping")
+              .when(F.coalesce("type", F.lit("")) == "", "object has no type").when(known & (F.coalesce("id", F.lit("")) == ""), "object has no id")
+              .when(known & (F.col("type") != "relationship") & (F.coalesce("name", F.lit("")) == ""), "object has no name"))
+    parsed = split_rejects(typed, "mitre_attack", reason, F.substring(F.to_json("object"), 1, 500))
+    strange = parsed.good.filter(known & (F.size(odd) > 0)).select(
+        F.lit("mitre_attack").alias("source_key"), F.concat(F.lit("fields of another type: "), F.array_join(odd, ", ")).alias("reason"), F.col("id").alias("record"))
+    objects, relationships = parse_attack(parsed.good.drop("object"))
+    return Bundle(objects, relationships, parsed.rejects.unionByName(strange))
 
 
 def clean_description(col: Column) -> Column:
@@ -50,7 +68,8 @@ def _strings() -> Column:
     return F.array().cast("array<string>")
 
 
-def parse_attack(objects: DataFrame) -> Bundle:
+def parse_attack(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(objects, relationships) of rows that carry ``FIELDS``."""
     order = objects.filter(F.col("type") == "x-mitre-matrix").select(
         F.posexplode("tactic_refs").alias("tactic_order", "tactic_ref")
     ).groupBy("tactic_ref").agg(F.max("tactic_order").alias("tactic_order"))
@@ -69,7 +88,7 @@ def parse_attack(objects: DataFrame) -> Bundle:
         F.col("obj_type").isNotNull() & (F.col("id") != "") & (F.col("name") != "")).join(
         order, F.col("id") == F.col("tactic_ref"), "left")
     parsed = typed.select(
-        F.substring("id", 1, 128).alias("stix_id"), "obj_type", clip(ref["external_id"], 32).alias("external_id"),
+        F.col("id").alias("stix_id"), "obj_type", clip(ref["external_id"], 32).alias("external_id"),
         clip(F.col("name"), 300).alias("name"), clean_description(F.col("description")).alias("description"),
         F.filter(aliases, lambda a: a != F.col("name")).alias("aliases"),
         F.coalesce("x_mitre_platforms", _strings()).alias("platforms"),
@@ -94,7 +113,7 @@ def parse_attack(objects: DataFrame) -> Bundle:
         & ~F.coalesce("revoked", F.lit(False)) & ~F.coalesce("x_mitre_deprecated", F.lit(False))
         & (F.col("source_ref") != "") & (F.col("target_ref") != "")
     ).select(
-        F.substring("id", 1, 128).alias("stix_id"), "relationship_type",
-        F.substring("source_ref", 1, 128).alias("source_ref"), F.substring("target_ref", 1, 128).alias("target_ref"),
+        F.col("id").alias("stix_id"), "relationship_type",
+        "source_ref", "target_ref",
         clean_description(F.col("description")).alias("description"))
-    return Bundle(parsed, relationships)
+    return parsed, relationships
