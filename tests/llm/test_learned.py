@@ -120,7 +120,69 @@ def test_empty_tables(no_docs, rows):
 def test_held_out_rows_and_null_ids_are_not_learned_from(rows):
     import zlib
 
-    labels = rows([(i, i % 2) for i in range(300)] + [(None, 1), (301, None)], "doc_id long, quality int")
-    got = [r.doc_id for r in learning.training_labels(labels, "quality", 10_000).collect()]
-    assert sorted(got) == [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
-    assert 60 <= learning.training_labels(labels, "quality", 100).count() <= 200
+    labels = rows([(i, i % 2) for i in range(300)] + [(None, 1), (301, None), (7, 0)], "doc_id long, quality int")
+    docs = rows([(i, f"text {i}") for i in range(302)] + [(None, "none")], "doc_id long, text string")
+    got = learning.labelled_texts(docs, labels, "quality", 10_000).collect()
+    assert sorted(r.doc_id for r in got) == [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    assert all(r.label == r.doc_id % 2 and r.text == f"text {r.doc_id}" for r in got)  # 7 has two labels, the larger one stays
+    few = sorted(r.doc_id for r in learning.labelled_texts(docs, labels, "quality", 100).collect())
+    assert len(few) == 100 and few == sorted(r.doc_id for r in learning.labelled_texts(docs.repartition(5), labels, "quality", 100).collect())
+
+
+def test_samples_are_bounded_whatever_repeats(spark, rows):
+    """One id with one text, and one id with many texts, hold a third of all rows each; one language has nearly all."""
+    docs = (spark.range(1_000).select("id", F.format_string("text %d", "id").alias("text"))
+            .unionByName(spark.range(1_000).select(F.lit(5).cast("long").alias("id"), F.lit("again").alias("text")))
+            .unionByName(spark.range(1_000).select(F.lit(6).cast("long").alias("id"), F.format_string("own %d", "id").alias("text"))))
+    docs = docs.select(F.col("id").alias("doc_id"), "text", F.when(F.col("id") < 20, F.concat(F.lit("l"), (F.col("id") % 4).cast("string"))).otherwise("en").alias("lang"))
+    labels = spark.range(1_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    for bound in (50, 400):
+        got = learning.labelled_texts(docs, labels, "quality", bound).collect()
+        assert len(got) == bound == len({(r.doc_id, r.text) for r in got})
+        per = learning.texts_per_value(docs, "lang", bound, 3).groupBy("value").count().collect()
+        assert len(per) == 3 and max(r["count"] for r in per) <= bound
+    assert learning.labelled_texts(docs, labels, "quality", 10_000).where("text = 'again'").count() <= 1
+
+
+# --------------------------------------------------------------------------------- plain versions
+@tables
+def test_scores_equal_plain_versions(spark):
+    """Every row of a whole table: the queries' scores against loops over characters, words and pairs."""
+    import math
+    import unicodedata
+
+    docs = load(spark, SF, "documents").where("doc_id < 300")
+    rows = docs.collect()
+
+    centroids = language_id.train(load(spark, SF, "documents"))
+    found = {r.doc_id: r.p for r in docs.select("doc_id", language_id.predicted(centroids).alias("p")).collect()}
+    for row in rows:
+        weights = {}
+        for place in np.flatnonzero(counts := language_id.gram_counts(row.text)):
+            weights[place] = math.log1p(counts[place]) * centroids.idf[place]
+        norm = math.sqrt(sum(w * w for w in weights.values())) or 1.0
+        cosines = [sum(w / norm * centre[place] for place, w in weights.items()) for centre in centroids.centres]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        got = found[row.doc_id]
+        if not any(unicodedata.category(c).startswith("L") for c in row.text or ""):
+            assert got.lang_pred == "und"
+        else:
+            assert got.lang_pred == centroids.languages[best] and got.score == pytest.approx(min(max(cosines[best], 0), 1), abs=1e-6)
+
+    words = toxicity.train(load(spark, SF, "documents"), load(spark, SF, "labels"))
+    found = {r.doc_id: r.s for r in docs.select("doc_id", toxicity.scored(words).alias("s")).collect()}
+    for row in rows:
+        own = toxicity.folded(row.text or "").split()
+        total = hits = 0
+        spared = set()
+        for phrase in toxicity.EXCEPTIONS:
+            parts = toxicity.folded(phrase).split()
+            spared |= {k for at in range(len(own) - len(parts) + 1) if own[at:at + len(parts)] == parts for k in range(at, at + len(parts))}
+        for k, word in enumerate(own):
+            begun = [w for b, w in words.beginnings.items() if word.startswith(b)]
+            weight = max([*begun, *([words.words[word]] if word in words.words else [])], default=None)
+            if weight is not None and k not in spared:
+                total, hits = total + weight, hits + 1
+        assert found[row.doc_id].hits == hits, row.doc_id
+        inputs = toxicity.curve_inputs(total, len(own))
+        assert found[row.doc_id].score == pytest.approx(1 / (1 + math.exp(-float(np.dot(words.curve, inputs)))), abs=1e-6)

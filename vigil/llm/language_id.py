@@ -2,7 +2,7 @@
 
 A text becomes a TF-IDF vector of hashed character n-grams (1 to 3, letters only, one space between words), scaled to
 length 1. Each language has up to ``CENTROIDS`` centroids, found by spherical k-means over a bounded sample of labelled
-texts (``train_rows`` per language, default 400, drawn outside the held-out fold). The prediction is the language of the
+texts (``train_rows`` per language, default 400, of the ``languages`` most frequent ones, default 200, outside the held-out fold). The prediction is the language of the
 centroid with the largest cosine; the score is that cosine. A text further from its centroid than nearly all training
 texts were is marked as rejected, and ``reject_as`` can replace its prediction.
 
@@ -20,8 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.learning import share_per_value
-from vigil.llm.shared import fold
+from vigil.llm.learning import texts_per_value
 
 PLACES = 4096
 CENTROIDS = 3
@@ -107,14 +106,13 @@ def fit_centroids(languages: list[str], counts: np.ndarray, k: int = CENTROIDS)
 
 def _count_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"],
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["value"],
                             "counts": [gram_counts(t).astype(np.uint32).tobytes() for t in batch["text"]]})
 
 
-def train(docs: DataFrame, train_rows: int = 400) -> Centroids:
-    usable = (docs.where(fold() > 0).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-              .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"))
-    sample = usable.where(share_per_value(usable, "lang", train_rows)).mapInPandas(_count_rows, "doc_id long, lang string, counts binary")
+def train(docs: DataFrame, train_rows: int = 400, languages: int = 200) -> Centroids:
+    """Learn from at most ``train_rows`` texts of each of the ``languages`` most frequent languages."""
+    sample = texts_per_value(docs, "lang", train_rows, languages).mapInPandas(_count_rows, "doc_id long, lang string, counts binary")
     rows = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["lang"], r["counts"]))
     rows = [r for r in rows if any(r["counts"])]
     return fit_centroids([r["lang"] for r in rows], np.array([np.frombuffer(r["counts"], np.uint32) for r in rows]))
