@@ -743,6 +743,21 @@ def oracle_sql() -> dict[str, str]:
     q["cve_markdown"] = _markdown_sql()
     q["environment_markdown"] = _environment_markdown_sql()
 
+    words = r"""(SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ') || ' ' AS body FROM documents)"""
+    # with blanks doubled, neighbouring places of a phrase don't share one
+    many = lambda p: f"len(regexp_extract_all(replace(body, ' ', '  '), ' {p.replace(' ', '  ')} '))"
+    has = lambda p: f"contains(body, ' {p} ')"
+    q["phrase_search"] = f"""SELECT doc_id, CAST({many('of the')} + {many('that')} + {many('de la')} + {many('eneau')} AS BIGINT) AS hits FROM {words}
+        WHERE ({has('of the')} AND {has('that')} AND NOT {has('die')}) OR ({has('de la')} AND NOT {has('que')}) OR {has('eneau')}"""
+    q["unwanted_search"] = f"SELECT doc_id, CAST(0 AS BIGINT) AS hits FROM {words} WHERE NOT {has('the')}"
+    q["stream_pulse"] = """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS total, count(*) FILTER (event_type = 'error') AS exploited,
+          count(*) FILTER (event_type = 'purchase') AS kev FROM events GROUP BY date_trunc('day', ts)
+        HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY"""
+    q["stream_first_seen"] = "SELECT DISTINCT user_id FROM events"
+    q["window_trend"] = f"""SELECT event_type, {ts('start')} AS start, CAST(coalesce(sum(c) FILTER (day = start), 0) AS BIGINT) AS before,
+          CAST(coalesce(sum(c) FILTER (day <> start), 0) AS BIGINT) AS now, CAST(coalesce(sum(c) FILTER (day <> start), 0) - coalesce(sum(c) FILTER (day = start), 0) AS BIGINT) AS trend FROM (
+          SELECT *, unnest([day, day - INTERVAL 1 DAY]) AS start FROM (SELECT event_type, date_trunc('day', ts) AS day, count(*) AS c FROM events GROUP BY 1, 2))
+        GROUP BY event_type, start HAVING start + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"""
     # raw payloads and upserts
     q["attack_parse"] = f"""
         SELECT 'technique' AS kind, 'attack-pattern--' || CAST(n_nationkey AS VARCHAR) AS key, n_name AS name, {tid('n_nationkey')} || '|See docs on ' || n_name || '||' || lower(r_name)

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from vigil import schemas, vocab
 from vigil.functions import extract, observable, text, version
 from vigil.operators import family, inventory, link, match, merge, names, recompute
-from vigil.plans import corpus, environment, export, marts, profile, queries
+from vigil.plans import corpus, environment, export, marts, profile, queries, textindex
 from vigil.plans.stage import FleetStage, Stage, stage
 from vigil.session import configure
 from vigil.sources import attack, exploit_archive, feed, kev, nvd, repositories, rules
 from vigil.sources.common import reject_counts
+from vigil.streaming import jobs
 
 AS_OF, EVENTS_AS_OF = corpus.AS_OF, corpus.EVENTS_AS_OF
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -432,6 +433,47 @@ def ranked_search(s):
     return queries.ranked_search(documents(s), "doc_id", ["text"], "the inon", limit=50)
 
 
+PHRASES = '"of the" that -die OR "de la" -que OR eneau'
+
+
+@query
+def phrase_search(s):
+    """Phrases, alternatives and unwanted words over the stored index; texts are not read."""
+    return textindex.search(s["posting"], PHRASES).select(F.col("key").alias("doc_id"), "hits")
+
+
+@query
+def unwanted_search(s):
+    """Documents without a word."""
+    keys = documents(s).select(F.col("doc_id").alias("key"))
+    return textindex.search(s["posting"], "-the", keys).select(F.col("key").alias("doc_id"), "hits")
+
+
+# ------------------------------------------------------------------------------------ streams over the events
+def events(s: Stage) -> DataFrame:
+    kept = corpus.load(s.spark, s.d, "events").schema
+    rows = s.spark.readStream.schema(kept).option("pathGlobFilter", "events*.parquet").parquet(s.d)
+    return rows.withColumns({"actively_exploited": F.col("event_type") == "error", "in_kev": F.col("event_type") == "purchase"})
+
+
+@query
+def stream_pulse(s):
+    """Daily counts as a stream emits them, days that the watermark has closed."""
+    return s.streamed(jobs.daily_pulse(events(s), "ts")).select(F.col("day").cast("string").alias("day"), "total", "exploited", "kev")
+
+
+@query
+def stream_first_seen(s):
+    """Each user once."""
+    return s.streamed(jobs.first_seen(events(s), ["user_id"], "ts").select("user_id"))
+
+
+@query
+def window_trend(s):
+    """Two adjacent days of each event type."""
+    return s.streamed(jobs.window_trend(events(s), "ts", ["event_type"])).select("event_type", ts("start").alias("start"), "before", "now", "trend")
+
+
 @query
 def rule_filter(s):
     """Rules of a level that name a tracked CVE."""

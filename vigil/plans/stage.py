@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vigil.operators import link, match, names, recompute
-from vigil.plans import corpus
+from vigil.plans import corpus, textindex
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,6 +51,8 @@ class Stage:
             return match.match_inventory(self["asset"], self["product"], self["vulnerability"])
         if name == "fleet_match":
             return match.match_inventory(self["fleet"], self["product"], self["vulnerability"])
+        if name == "posting":
+            return textindex.postings(corpus.load(self.spark, self.d, "documents"), "doc_id", ["text"]).repartitionByRange("word", "key").sortWithinPartitions("word", "key")
         if name == "article_edge":
             return link.extract(self["article"], names.build_name_table(self["attack_object"])).edges
         raise KeyError(name)
@@ -68,6 +70,13 @@ class Stage:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def streamed(self, rows: DataFrame) -> DataFrame:
+        """What a stream emits until it has taken in all that is there, its last windows closed by the watermark."""
+        path = f"{self.folder}/stream-{uuid.uuid4().hex}"
+        running = rows.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
+        running.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        return self.spark.read.schema(rows.schema).parquet(f"{path}/rows")
+
     def drop(self) -> None:
         """Remove the stored tables; runs when the process ends."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)

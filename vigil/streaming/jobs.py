@@ -60,6 +60,21 @@ def daily_pulse(rows: DataFrame, at: str, delay: str = "2 days") -> DataFrame:
     ).select(F.to_date("window.start").alias("day"), "total", "exploited", "kev")
 
 
+def window_trend(rows: DataFrame, at: str, by: list[str], days: int = 1, delay: str = "1 day") -> DataFrame:
+    """Counts of two adjacent windows of ``days`` and their difference, for every key and window.
+
+    A sliding window of twice the length holds both, so nothing is joined. Which half a row falls into is told by its
+    place in the cycle of days since 1970, so state is one small row per key and window. A window is emitted once, when
+    the watermark has passed its end; rows that come later no longer count.
+    """
+    timed = rows.withWatermark(at, delay).withColumn("_cycle", F.floor(F.unix_date(F.to_date(at)) / days))
+    counts = timed.groupBy(*by, F.window(at, f"{2 * days} days", f"{days} days").alias("w")).agg(
+        F.count_if(F.col("_cycle") % 2 == 0).alias("even"), F.count_if(F.col("_cycle") % 2 != 0).alias("odd"))
+    first_even = F.floor(F.unix_date(F.to_date("w.start")) / days) % 2 == 0
+    before, now = F.when(first_even, F.col("even")).otherwise(F.col("odd")), F.when(first_even, F.col("odd")).otherwise(F.col("even"))
+    return counts.select(*by, F.col("w.start").alias("start"), before.alias("before"), now.alias("now"), (now - before).alias("trend"))
+
+
 def fill_days(series: DataFrame, start: datetime, end: datetime) -> DataFrame:
     days = series.sparkSession.range(1).select(F.explode(F.sequence(
         F.to_date(F.lit(start).cast("timestamp")), F.to_date(F.lit(end).cast("timestamp")))).alias("day"))
