@@ -314,6 +314,14 @@ FLEET = """
         FROM part"""
 
 
+# The fleet after a set of changes: one asset in fifty gone, one in fifty with another version, one in a hundred also put by a second owner.
+CHANGED_FLEET = """
+        SELECT asset_id, CASE WHEN second THEN 'branch-' ELSE '' END || owner_id AS owner_id, label, vendor, product, CASE WHEN k % 50 = 1 THEN 9 ELSE size END AS size,
+          CASE WHEN k % 50 = 1 THEN '9.0.0' ELSE version END AS version
+        FROM (SELECT *, CAST(replace(asset_id, 'part-', '') AS BIGINT) AS k FROM ({fleet})) CROSS JOIN (VALUES (false), (true)) t(second)
+        WHERE k % 50 <> 0 AND (NOT second OR k % 100 = 2)"""
+
+
 def sql(body: str) -> str:
     """``body`` with the common table expressions it needs, in dependency order."""
     order: list[str] = []
@@ -830,6 +838,10 @@ def oracle_sql() -> dict[str, str]:
           QUALIFY row_number() OVER (PARTITION BY query ORDER BY first_seen DESC, source_key, kind, value_norm) <= 50)"""
     base = sql("SELECT 1 FROM ind").removesuffix("\nSELECT 1 FROM ind")
     done["indicator_lookup"] = f"{base},\n{asked}\n" + q["indicator_lookup"].replace("WITH_SPLIT", "")
+    listed = sql("""SELECT owner_id, asset_id, cve_id, state, method, confidence, evidence, CAST(exposure AS BIGINT) AS exposure FROM exposed WHERE reaching""")
+    owned = sql("SELECT owner_id, 'env-' || owner_id AS environment_id, asset_id, product, version FROM asset")
+    for name, body in (("match_list", listed), ("asset_put_delete", owned)):
+        done[name] = body.replace(CTES["asset"], CHANGED_FLEET.replace("{fleet}", FLEET))
     for name in FLEET_QUERIES:
         done[f"{name}_fleet"] = done[name].replace(CTES["asset"], FLEET).replace("owner_id = 'SMALL'", "owner_id = 'site-0'").replace(
             "owner_id = 'LARGE'", "owner_id = 'site-0'")

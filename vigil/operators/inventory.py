@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from typing import NamedTuple
+
 from vigil import vocab
 from vigil.functions.text import drop_controls
+from vigil.operators import match
 from vigil.sources.common import Parsed, split_rejects
 
 # fixed values: field length limits
@@ -78,3 +81,22 @@ def delete_assets(assets: DataFrame, matches: DataFrame, owner: str, asset_ids:
     """Both tables without the owner's named assets."""
     gone = (F.col("owner_id") == owner) & F.col("asset_id").isin(asset_ids)
     return assets.filter(~gone), matches.filter(~gone)
+
+
+class Inventory(NamedTuple):
+    assets: DataFrame
+    matches: DataFrame
+
+
+def change_assets(now: Inventory, puts: DataFrame, gone: DataFrame, products: DataFrame, vulns: DataFrame) -> Inventory:
+    """One change set for both tables: ``puts`` are inserted or replaced, ``gone`` deleted, by owner, environment and id (M6, M7).
+
+    Matches of every named asset go, and those of the assets that were put are found again; other assets are not matched.
+    An asset that is put and gone is gone. Ids are an owner's own, so an id that two owners use is two assets.
+    """
+    key = match.PAIR[:3]
+    named = puts.select(*key).unionByName(gone.select(*key)).distinct()
+    kept = puts.join(gone.select(*key).distinct(), key, "left_anti")
+    assets = put_assets(now.assets.join(named, key, "left_anti"), kept)
+    fresh = match.fresh_matches(assets, products, vulns, changed_assets=kept)
+    return Inventory(assets, now.matches.join(named, key, "left_anti").unionByName(fresh, allowMissingColumns=True))

@@ -367,6 +367,24 @@ for each in (environment_totals, environment_threats, reaching_severity, environ
 
 
 # ------------------------------------------------------------------------------------ parameterised queries
+def changed_fleet(s: Stage) -> inventory.Inventory:
+    puts, gone = corpus.fleet_changes(s["fleet"])
+    return inventory.change_assets(inventory.Inventory(s["fleet"], s["fleet_match"]), puts, gone, s["product"], s["vulnerability"])
+
+
+@query
+def asset_put_delete(s):
+    """M6: the inventory after a set of puts and deletes; ids that two owners use stay apart."""
+    return changed_fleet(s).assets.select("owner_id", "environment_id", "asset_id", "product", "version")
+
+
+@query
+def match_list(s):
+    """M7: the matches after the same change set."""
+    rows = environment.list_matches(changed_fleet(s).matches, ["affected", "possibly_affected"])
+    return rows.select("owner_id", "asset_id", "cve_id", "state", "method", "confidence", "evidence", n("exposure"))
+
+
 @query
 def threat_filter(s):
     """Several filters together."""

@@ -596,3 +596,12 @@ def rule_files(spark: SparkSession, d: str) -> DataFrame:
         F.lit("\n  - cve.2000-"), number, F.lit("\n  - attack.impact\n"))
     text = F.when(no == 8, F.lit("title: [open")).when(no == 7, F.lit("- a\n- b\n")).otherwise(whole)
     return load(spark, d, "customer").select(F.concat(F.lit("rules/"), key.cast("string"), F.lit(".yml")).alias("file"), text.alias("text"))
+
+
+def fleet_changes(fleet_assets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(put, gone): one asset in fifty gets another version, one in fifty goes, one in a hundred is also put by a second owner."""
+    number = F.regexp_extract("asset_id", r"(\d+)$", 1).cast("long")
+    updated = fleet_assets.filter(number % 50 == 1).withColumn("version", F.lit("9.0.0"))
+    shared = fleet_assets.filter(number % 100 == 2).withColumns({
+        "owner_id": F.concat(F.lit("branch-"), "owner_id"), "environment_id": F.concat(F.lit("env-branch-"), "owner_id")})
+    return updated.unionByName(shared), fleet_assets.filter(number % 50 == 0)
