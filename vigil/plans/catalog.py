@@ -470,7 +470,14 @@ def unwanted_search(s):
 # ------------------------------------------------------------------------------------ streams over the events
 def events(s: Stage) -> DataFrame:
     kept = corpus.load(s.spark, s.d, "events").schema
-    rows = s.spark.readStream.schema(kept).option("pathGlobFilter", "events*.parquet").parquet(s.d)
+    folder = f"{s.d.rstrip('/')}/events.parquet"
+    reader = s.spark.readStream.schema(kept)
+    # a table may be one file, which a stream can only find in its folder
+    one_file = s.spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if one_file.getFileSystem(s.spark._jsc.hadoopConfiguration()).getFileStatus(one_file).isFile():
+        rows = reader.option("pathGlobFilter", "events.parquet").parquet(s.d)
+    else:
+        rows = reader.parquet(folder)
     return rows.withColumns({"actively_exploited": F.col("event_type") == "error", "in_kev": F.col("event_type") == "purchase"})
 
 
