@@ -4,11 +4,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
 from vigil.llm import catalog, token_files as tf
-from vigil.llm.encoding import WORD_UNITS, IdEncoder, drops_blanks
+from vigil.llm.encoding import IdEncoder, drops_blanks, slices
 from vigil.llm.shared import load
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -50,22 +51,23 @@ def test_coding_round_trip(documents):
     assert tf.decode(b"".join(control), b"".join(data), counts).tolist() == ranks.tolist()
     rows = [(None if k == 1 else k - 2, len(d), control[k], data[k]) for k, d in enumerate(documents)]
     content = tf.to_file(rows)
-    doc_ids, missing, n, again = tf.from_file(content)
-    assert [None if m else int(d) for d, m in zip(doc_ids, missing)] == [r[0] for r in rows] and n.tolist() == counts.tolist() and again.tolist() == ranks.tolist()
+    parts = list(tf.from_file(content, most=4))
+    doc_ids, missing, n, again = ([v for p in parts for v in p[k]] for k in range(4))
+    assert [None if m else int(d) for d, m in zip(doc_ids, missing)] == [r[0] for r in rows] and n == counts.tolist() and again == ranks.tolist()
     for bad in (content[:-1], content + b"x", content[:50] + bytes([content[50] ^ 1]) + content[51:] if len(content) > 50 else b"x" * 48):
         with pytest.raises(ValueError):
-            tf.from_file(bad)
+            list(tf.from_file(bad))
 
 
 MIXED = "aZ09é,.;:!?)\"'%$#*&<|>-_ \t\n\r  ́ẞİﬁ漢字😀\x00\x1f\x85"
 
 
-@given(st.lists(st.text(alphabet=MIXED, max_size=30) | st.text(max_size=12) | st.sampled_from(["<|endoftext|>", "a<|startoftext|>b", "it's, they'll."]), max_size=5))
+@given(st.lists(st.text(alphabet=MIXED, max_size=30) | st.text(max_size=12) | st.sampled_from(["<|endoftext|>", "a<|startoftext|>b", "it's, they'll.", '("Wörd!?"', "...,", "Ab...", "(((x)))", "\x0b\x0c"]), max_size=5))
 @settings(max_examples=400, deadline=None)
 def test_units_encode_as_whole_texts(parts):
     coder = _coder()
     text = " ".join(parts)
-    ids, counts = coder.encode([text, "", text])
+    ids, counts = coder.encode(pa.array([text, "", text]))
     want = coder.tok.encode(text, add_special_tokens=False).ids
     assert ids.tolist() == want * 2 and counts.tolist() == [len(want), 0, len(want)]
 
@@ -83,19 +85,18 @@ def _coder():
 def test_other_vocabularies_take_whole_texts():
     assert not drops_blanks(public_tokenizers.path("byte_bpe_50k.json"))
     coder = IdEncoder(public_tokenizers.path("byte_bpe_50k.json"))
-    assert coder.encode(["two  words here"])[0].tolist() == coder.tok.encode("two  words here").ids
-    assert WORD_UNITS.findall("one, two.three\n3.5") == ["one", ",", "two", ".three", "3", ".5"]
+    assert coder.encode(pa.array(["two  words here"]))[0].tolist() == coder.tok.encode("two  words here").ids
+    batch = pa.record_batch([pa.array(range(6)), pa.array(["abc", None, "", "defgh", "i", "jk"])], names=["n", "t"])
+    parts = [p.column(0).to_pylist() for p in slices(batch, 1, 4)]
+    assert sum(parts, []) == list(range(6)) and len(parts) > 1 and slices(batch.slice(0, 0), 1, 4) == []
 
 
-def test_a_full_memory_starts_anew(monkeypatch):
-    from vigil.llm import encoding
-
-    monkeypatch.setattr(encoding, "CACHED_CHARS", 20)
-    coder, want = IdEncoder(PATH), IdEncoder(PATH)
+def test_a_full_memory_starts_anew():
+    coder, want = IdEncoder(PATH, remembered=20), IdEncoder(PATH)
     texts = [f"word{k} and again word{k % 3} {'long' * 40}" for k in range(30)]
     whole = [want.tok.encode(t, add_special_tokens=False).ids for t in texts]
     for k in range(0, 30, 4):
-        assert coder.encode(texts[k:k + 4])[0].tolist() == [i for ids in whole[k:k + 4] for i in ids]
+        assert coder.encode(pa.array(texts[k:k + 4]))[0].tolist() == [i for ids in whole[k:k + 4] for i in ids]
 
 
 def test_query_against_whole_texts(spark, whole):

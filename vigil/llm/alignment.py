@@ -142,7 +142,9 @@ class Aligner:
     def documents(self, texts: list[str | None]):
         """(places of units, number of units of each text, whether each text has tokens)."""
         cut = SINGLE_BLANK.split if self.by_unit else lambda t: [t]
-        places, counts = self.table.places([cut(t) if t else [] for t in texts])
+        units = [cut(t) if t else [] for t in texts]
+        counts = np.fromiter(map(len, units), np.int64, len(units))
+        places = self.table.places(pa.array(chain.from_iterable(units), pa.string()))
         broken = np.bincount(np.repeat(np.arange(len(texts)), counts), weights=~self.whole.values[places], minlength=len(texts)) > 0
         return places, counts, (counts > 0) & ~broken
 

@@ -12,15 +12,13 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 # A single blank between two characters that no library takes for white space or a control character.
 _SOLID = r"[^\s\x00-\x20\x7f-\xa0\u180e\u200b-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
-# Stretches without ASCII blanks, cut again where a letter or digit meets a sign that can't begin a special token: splitters break there.
-WORD_UNITS = re.compile(r"[0-9A-Za-zà-öø-ÿ]+(?=[,.;:!?)\"%$#*&])|[^ \t\n\r]+")
 SINGLE_BLANK = re.compile(rf"(?<={_SOLID}) (?={_SOLID})")
 CACHED_CHARS = 3_000_000  # of units that a task remembers; it starts anew when they are more
 LONGEST_CACHED = 64  # characters; longer units are encoded each time
-CUT_AT_ONCE = 1_000_000  # characters of texts whose units are in memory at a time
 LEARNED_AT_ONCE = 4_096  # units that are with a library at a time, as its results are large
 
 
@@ -59,7 +57,7 @@ class WordModel:
 
 
 def drops_blanks(path: str) -> bool:
-    """Whether the units of ``WORD_UNITS`` stand alone in a tokenizers file: its splitter keeps runs of letters and of signs, never blanks."""
+    """Whether what ASCII blanks leave stands alone in a tokenizers file: its splitter keeps runs of letters and of signs, never blanks."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
@@ -99,16 +97,20 @@ class _Places(dict):
 class UnitTable:
     """Places of units in a table that ``learn`` extends by a list of new units; ``reset`` empties it when it is full."""
 
-    def __init__(self, learn, reset):
+    def __init__(self, learn, reset, most: int | None = None):
         self.learn, self.reset, self.known, self.chars = learn, reset, _Places(), 0
+        self.most = CACHED_CHARS if most is None else most
 
-    def places(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """(places of all units in order, number of units of each text)."""
-        if self.chars > CACHED_CHARS:
+    def places(self, units: pa.Array) -> np.ndarray:
+        """The place of each of ``units``, which Arrow makes distinct before Python sees them."""
+        coded = units.dictionary_encode()
+        return self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+
+    def _places(self, units: list[str]) -> np.ndarray:
+        if self.chars > self.most:
             self.known, self.chars = _Places(), 0
             self.reset()
-        counts = np.fromiter(map(len, texts), np.int64, len(texts))
-        places = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.int64, int(counts.sum()))
+        places = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
         fresh, self.known.fresh = self.known.fresh, []
         if fresh:
             for k in range(0, len(fresh), LEARNED_AT_ONCE):
@@ -117,7 +119,17 @@ class UnitTable:
                 self.chars += len(u)
                 if len(u) > LONGEST_CACHED:
                     del self.known[u]
-        return places, counts
+        return places
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int) -> list[pa.RecordBatch]:
+    """Consecutive rows of a batch that hold about ``most`` bytes in a text column, or one row."""
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(sizes // most, prepend=0) > 0) + 1
+    edges = [0, *[int(c) for c in cuts if c < batch.num_rows], batch.num_rows]
+    return [batch.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a]
 
 
 def per_process(key: tuple, make):
@@ -159,14 +171,21 @@ class Growing:
 
 
 class IdEncoder:
-    """Token ids of texts by one tokenizers file, special strings as the library takes them by default."""
+    """Token ids of texts by one tokenizers file, special strings as the library takes them by default.
 
-    def __init__(self, path: str, by_unit: bool = True):
+    Units are what ASCII blanks leave. Those of a word with signs around it are cut into three by Arrow, and words are
+    lower-cased there, so that Python and the library see each distinct word and run of signs once.
+    """
+
+    _WORDY = r'^(?P<a>[("]*)(?P<w>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<s>[,.;:!?)"%$#*&]*)$'
+    _PLAIN = re.compile(WordModel.WORD.pattern + r'|[("]*|[,.;:!?)"%$#*&]*')
+
+    def __init__(self, path: str, by_unit: bool = True, remembered: int = 2 * CACHED_CHARS):
         self.tok, self.by_unit = tokenizer(path), by_unit and drops_blanks(path)
         self.words = WordModel(self.tok, lower=True) if self.by_unit else None
         self.vocabulary = self.tok.get_vocab_size()
         self._reset()
-        self.table = UnitTable(self._learn, self._reset)
+        self.table = UnitTable(self._learn, self._reset, remembered)
 
     def _reset(self) -> None:
         self.ids, self.starts, self.lengths = Growing(np.uint32), Growing(np.int64), Growing(np.int64)
@@ -174,8 +193,8 @@ class IdEncoder:
     def _learn(self, units: list[str]) -> None:
         ids: list[list[int] | None] = [None] * len(units)
         if self.words:
-            whole = WordModel.WORD.fullmatch
-            ids = [self.words.ids(self.words.written(u)) if whole(u) else None for u in units]
+            plain, words = self._PLAIN.fullmatch, self.words
+            ids = [words.ids(words.written(u)) if plain(u) else None for u in units]
         rest = [k for k, x in enumerate(ids) if x is None]
         for k, e in zip(rest, self.tok.encode_batch_fast([units[k] for k in rest], add_special_tokens=False)):
             ids[k] = e.ids
@@ -184,21 +203,30 @@ class IdEncoder:
         self.lengths.extend(lengths)
         self.ids.extend(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in order, number of ids of each)."""
-        found, at, size = [], 0, 0
-        for k, t in enumerate(texts):
-            size += len(t)
-            if size >= CUT_AT_ONCE or k + 1 == len(texts):
-                found.append(self._encode(texts[at:k + 1]))
-                at, size = k + 1, 0
-        if not found:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        places, counts = self.table.places([WORD_UNITS.findall(t) for t in texts] if self.by_unit else [[t] for t in texts])
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, number of ids of each); no text is null."""
+        if self.by_unit:
+            places, counts = self._cut(texts)
+        else:
+            places, counts = self.table.places(texts), np.ones(len(texts), np.int64)
         lengths = self.lengths.values[places]
         ids = self.ids.values[gathered(self.starts.values[places], lengths)]
         ends = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum(counts)]
         return ids, np.diff(ends, prepend=0)
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(places of all pieces in order, number of pieces of each text): three a unit, those that are missing are empty strings."""
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(texts)
+        units = split.flatten().dictionary_encode()
+        distinct = units.dictionary
+        parts = pc.extract_regex(distinct, self._WORDY)
+        whole = pc.is_null(parts)
+        empty = pa.scalar("", pa.string())
+        part = lambda name: pc.fill_null(pc.struct_field(parts, name), empty)
+        middle = pc.if_else(whole, distinct, pc.utf8_lower(part("w")))
+        pieces = pa.concat_arrays([x.cast(pa.string()) for x in (part("a"), middle, part("s"))])
+        places = self.table.places(pieces).reshape(3, -1).T  # a row per distinct unit
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        return places[units.indices.to_numpy()].ravel(), 3 * counts

@@ -32,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.encoding import IdEncoder, gathered, per_process
+from vigil.llm.encoding import IdEncoder, gathered, per_process, slices
 from vigil.llm.shared import Workspace, body, row_key
 
 FILE_BYTES = 16 << 20
+_BYTES_PER_ID = 2  # about what an id takes
+CUT_BYTES = 4 << 20  # of texts or ids that are in pieces at a time
 _MAGIC = int.from_bytes(b"VIGILTK1", "little")
 _HEADER = "<6Q"
 _HEADER_BYTES = struct.calcsize(_HEADER)
@@ -82,19 +84,35 @@ def to_file(rows: list[tuple[int | None, int, bytes, bytes]]) -> bytes:
     return struct.pack(_HEADER, _MAGIC, len(rows), int(index[:, 2].sum()), len(control), len(data), zlib.crc32(content)) + content
 
 
-def from_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_id, is null, number of ids, ranks) of a file; an error if a byte of it is not as written."""
+def from_file(content: bytes, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc_id, is null, number of ids, ranks) of the documents of a file, about ``most`` ids or one document at a time.
+
+    An error before the first of them if a byte of the file is not as written.
+    """
     if len(content) < _HEADER_BYTES:
         raise ValueError("not a whole token file")
     magic, documents, ids, n_control, n_data, crc = struct.unpack_from(_HEADER, content)
     at = _HEADER_BYTES + documents * 24
-    if magic != _MAGIC or len(content) != at + n_control + n_data or zlib.crc32(memoryview(content)[_HEADER_BYTES:]) != crc:
+    view = memoryview(content)
+    if magic != _MAGIC or len(content) != at + n_control + n_data or zlib.crc32(view[_HEADER_BYTES:]) != crc:
         raise ValueError("not a whole token file")
     index = np.frombuffer(content, "<i8", documents * 3, _HEADER_BYTES).reshape(-1, 3)
-    ranks = decode(content[at:at + n_control], content[at + n_control:], index[:, 2])
-    if len(ranks) != ids:
+    quads = -(-index[:, 2] // 4)
+    if int(index[:, 2].sum()) != ids or int(quads.sum()) != n_control:
         raise ValueError("a token file whose index differs from its header")
-    return index[:, 0], index[:, 1] == 1, index[:, 2], ranks
+    control, data = view[at:at + n_control], view[at + n_control:]
+    for a, b in _runs(index[:, 2], most):
+        used = int(quads[a:b].sum())
+        size = int(_LENGTHS.sum(1)[np.frombuffer(control[:used], np.uint8)].sum())
+        yield index[a:b, 0], index[a:b, 1] == 1, index[a:b, 2], decode(control[:used], data[:size], index[a:b, 2])
+        control, data = control[used:], data[size:]
+
+
+def _runs(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Consecutive ranges of about ``most`` in sum, or of one."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most, prepend=0) > 0) + 1
+    edges = [0, *[int(c) for c in cuts if c < len(sizes)], len(sizes)]
+    return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
 
 
 # ------------------------------------------------------------------------------------------- files
@@ -144,8 +162,8 @@ def token_ids(docs: DataFrame, ws: Workspace, path: str, end_id: int) -> DataFra
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = per_process(("ids", path), lambda: IdEncoder(path))
-        for batch in batches:
-            ids, counts = coder.encode(batch.column(3).to_pylist())
+        for batch in (part for whole in batches for part in slices(whole, 3, CUT_BYTES)):
+            ids, counts = coder.encode(batch.column(3))
             ends = np.cumsum(counts + 1)
             whole = np.full(int(ends[-1]) if len(ends) else 0, end_id, "<u4")
             whole[gathered(ends - counts - 1, counts)] = ids
@@ -155,11 +173,11 @@ def token_ids(docs: DataFrame, ws: Workspace, path: str, end_id: int) -> DataFra
     return ws.store(keyed.mapInArrow(task, "doc_id long, key long, place long, ids binary"), f"ids-{uuid.uuid4().hex}", compression="zstd")
 
 
-def rank_ids(encoded: DataFrame) -> np.ndarray:
-    """The id of each rank, by descending frequency over all documents. As many rows as the vocabulary has ids."""
+def rank_ids(encoded: DataFrame) -> tuple[np.ndarray, int]:
+    """The id of each rank, by descending frequency over all documents, and the number of all ids. As many rows as the vocabulary has ids."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(1, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0, CUT_BYTES)):
             found = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"), minlength=len(totals))
             found[:len(totals)] += totals
             totals = found
@@ -167,12 +185,13 @@ def rank_ids(encoded: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"id": seen.astype(np.int64), "n": totals[seen].astype(np.int64)})
 
     per_id = encoded.select("ids").mapInArrow(task, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    return np.array([r.id for r in per_id.orderBy(F.desc("n"), "id").collect()], np.uint32)
+    found = per_id.orderBy(F.desc("n"), "id").collect()
+    return np.array([r.id for r in found], np.uint32), sum(r.n for r in found)
 
 
-def _ranges(encoded: DataFrame) -> list[tuple]:
-    """The first (doc_id, key, place) of each range but the first: as many rows as shuffle partitions."""
-    firsts = (encoded.select(*_ORDER).repartitionByRange(*[F.col(c).asc_nulls_first() for c in _ORDER]).groupBy(F.spark_partition_id().alias("p"))
+def _ranges(encoded: DataFrame, parts: int) -> list[tuple]:
+    """The first (doc_id, key, place) of each of ``parts`` ranges but the first."""
+    firsts = (encoded.select(*_ORDER).repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in _ORDER]).groupBy(F.spark_partition_id().alias("p"))
               .agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), *_ORDER)).alias("first")).collect())
     return sorted((r.first.known, r.first.doc_id or 0, r.first.key, r.first.place) for r in firsts)[1:]
 
@@ -180,7 +199,8 @@ def _ranges(encoded: DataFrame) -> list[tuple]:
 def write(docs: DataFrame, ws: Workspace, folder: str, path: str, end_id: int, file_bytes: int = FILE_BYTES) -> None:
     """Write the ids of all ``docs``, by the tokenizers file at ``path`` and with ``end_id`` after each document, to a new folder."""
     encoded = token_ids(docs, ws, path, end_id)
-    by_rank, bounds = rank_ids(encoded), _ranges(encoded)
+    by_rank, total_ids = rank_ids(encoded)
+    bounds = _ranges(encoded, max(1, -(-total_ids * _BYTES_PER_ID // file_bytes)))  # a range is about a file
     space, root = _file_system(folder)
     space.create_dir(root, recursive=True)
     with space.open_output_stream(f"{root}/ranks.vtr", compression=None) as out:
@@ -191,7 +211,7 @@ def write(docs: DataFrame, ws: Workspace, folder: str, path: str, end_id: int, f
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from bisect import bisect_right
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 3, CUT_BYTES)):
             doc_ids, keys, places, blobs = (batch.column(k).to_pylist() for k in range(4))
             counts = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
             control, data = encode(rank_of[np.frombuffer(b"".join(blobs), "<u4")], counts)
@@ -235,17 +255,18 @@ def read(ws: Workspace, folder: str, with_ids: bool = True) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
-                doc_ids, missing, counts, ranks = from_file(content)
-                ids = by_rank[ranks].astype("<u4")
-                ends = np.cumsum(counts)
-                raw = memoryview(ids.tobytes())
-                sums = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip((ends - counts).tolist(), ends.tolist())]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids.astype(np.int32))) if with_ids \
-                    else pa.nulls(len(ends), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(ends), pa.string()), pa.array(doc_ids, pa.int64(), mask=missing), pa.array(ends - counts, pa.int64()),
-                     pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), lists], names=["name", "doc_id", "first", "n_tokens", "ids_crc32", "ids"])
+            for k in range(batch.num_rows):
+                name, before = batch.column("name")[k].as_py(), 0
+                for doc_ids, missing, counts, ranks in from_file(batch.column("content")[k].as_py()):
+                    ids, ends = by_rank[ranks].astype("<u4"), np.cumsum(counts)
+                    raw = memoryview(ids.tobytes())
+                    sums = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip((ends - counts).tolist(), ends.tolist())]
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids.astype(np.int32))) if with_ids \
+                        else pa.nulls(len(ends), pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(ends), pa.string()), pa.array(doc_ids, pa.int64(), mask=missing), pa.array(ends - counts + before, pa.int64()),
+                         pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), lists], names=["name", "doc_id", "first", "n_tokens", "ids_crc32", "ids"])
+                    before += int(counts.sum())
 
     found = ws.spark.read.format("binaryFile").option("pathGlobFilter", "*.vtk").option("recursiveFileLookup", "true").load(folder)
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(task, _READ)
