@@ -751,6 +751,16 @@ def oracle_sql() -> dict[str, str]:
     q["cve_markdown"] = _markdown_sql()
     q["environment_markdown"] = _environment_markdown_sql()
 
+    kind_of = "CASE {} WHEN 'exploitdb' THEN 'Exploit Archive' WHEN 'github' THEN 'Community Repository' WHEN 'unit42' THEN '{o}' WHEN 'talos' THEN '{o}' ELSE 'Security News' END"
+    kind_of = kind_of.replace("{o}", "Security Research Organization")
+    q["document_rows"] = f"""SELECT url, title, summary, doc_type, CAST(tier AS BIGINT) AS tier, {source_name('source_key')} AS source, {kind_of.format('source_key')} AS source_type,
+        CAST(tier AS BIGINT) AS source_tier FROM bulletin"""
+    q["exploit_rows"] = f"""SELECT external_id, kind, {source_name('source_key')} AS source, {kind_of.format('source_key')} AS source_type, CAST(tier AS BIGINT) AS source_tier,
+        CASE WHEN source_key = 'github' THEN 'Code from the community that nobody has reviewed; keep it inside an isolated lab.' END AS warning FROM ex"""
+    q["attack_rows"] = """SELECT stix_id, external_id, obj_type AS type, name, CASE WHEN obj_type = 'technique' THEN 'About ' || name END AS description, mentions
+        FROM attack LEFT JOIN mentions USING (stix_id)"""
+    q["indicator_rows"] = "SELECT source_key, kind, host, family, attack_stix_id, status FROM ind"
+    q["rule_rows"] = "SELECT external_id, title, level, status, CASE WHEN owing THEN cve_id ELSE '' END AS cves, 'sigma' AS source_key FROM rule"
     words = r"""(SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ') || ' ' AS body FROM documents)"""
     # with blanks doubled, neighbouring places of a phrase don't share one
     many = lambda p: f"len(regexp_extract_all(replace(body, ' ', '  '), ' {p.replace(' ', '  ')} '))"

@@ -36,6 +36,11 @@ def non_empty(col: Column) -> Column:
     return let(col, lambda v: F.when(v != "", v))
 
 
+def trimmed(col: Column) -> Column:
+    """Trim, and turn an empty result into null. What rows meet by is never cut."""
+    return non_empty(strip(col))
+
+
 def clip(col: Column, n: int) -> Column:
     """Trim, cut at ``n`` characters, and turn an empty result into null."""
     return non_empty(F.substring(strip(col), 1, n))

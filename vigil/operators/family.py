@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.observable import family_keys
-from vigil.functions.text import clip
+from vigil.functions.text import trimmed
 
 
 def software_names(objects: DataFrame) -> DataFrame:
@@ -40,5 +40,5 @@ def resolve_families(indicators: DataFrame, objects: DataFrame, keys: list[str])
     chosen = rows.join(known, "candidate").groupBy(*keys).agg(best.alias("_best"))
     joined = indicators.join(chosen, keys, "left")
     return joined.withColumns({
-        "family": F.coalesce(clip(F.col("_best.candidate"), 200), F.col("family")),
+        "family": F.coalesce(trimmed(F.col("_best.candidate")), F.col("family")),
         "attack_stix_id": F.col("_best.stix_id")}).drop("_best", "candidates")

@@ -145,8 +145,8 @@ def apply_nvd(vulns: DataFrame, nvd: DataFrame, as_of: datetime, track_after: da
     names only fill gaps (U2). Unknown records are taken up when published late enough (U3)."""
     text, strings = T.StringType(), T.ArrayType(T.StringType())
     batch = nvd.select(
-        "cve_id", *NVD_OWN, "description", "cwes", F.substring("primary_vendor", 1, 200).alias("vendor"),
-        F.substring("primary_product", 1, 300).alias("product"), F.substring("description", 1, 140).alias("title"),
+        "cve_id", *NVD_OWN, "description", "cwes", F.col("primary_vendor").alias("vendor"),
+        F.col("primary_product").alias("product"), F.substring("description", 1, 140).alias("title"),
         F.lit(False).alias("in_kev"))
     rules: dict[str, Rule] = {c: overwrite for c in NVD_OWN}
     rules |= {"description": prefer_new(text), "cwes": prefer_new(strings), "in_kev": keep_old}

@@ -467,6 +467,38 @@ def unwanted_search(s):
     return textindex.search(s["posting"], "-the", keys).select(F.col("key").alias("doc_id"), "hits")
 
 
+# ------------------------------------------------------------------------------------ row shapes
+@query
+def document_rows(s):
+    """Documents with the name, type and tier of their source."""
+    return marts.document_rows(s["document"]).select("url", "title", "summary", "doc_type", n("tier"), "source", "source_type", n("source_tier"))
+
+
+@query
+def exploit_rows(s):
+    """Exploits with their source, community code with a warning."""
+    return marts.exploit_rows(s["exploit"]).select("external_id", "kind", "source", "source_type", n("source_tier"), "warning")
+
+
+@query
+def attack_rows(s):
+    """Knowledge objects with the number of reports that name them."""
+    counts = marts.mention_counts(s["edge"])
+    return marts.attack_rows(s["attack_object"], counts).select("stix_id", "external_id", F.col("type"), "name", "description", n("mentions"))
+
+
+@query
+def indicator_rows(s):
+    """Indicators as they are shown."""
+    return marts.indicator_rows(s["indicator"]).select("source_key", "kind", "host", "family", "attack_stix_id", "status")
+
+
+@query
+def rule_rows(s):
+    """Rules as they are shown."""
+    return marts.rule_rows(s["rule"]).select("external_id", "title", "level", "status", joined("cve_ids").alias("cves"), "source_key")
+
+
 # ------------------------------------------------------------------------------------ streams over the events
 def events(s: Stage) -> DataFrame:
     kept = corpus.load(s.spark, s.d, "events").schema

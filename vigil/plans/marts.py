@@ -249,15 +249,19 @@ def tactic_matrix(objects: DataFrame, edge: DataFrame) -> DataFrame:
         "mentions", F.coalesce("mentions", F.lit(0))).withColumn("position", F.row_number().over(w))
 
 
-def related_objects(objects: DataFrame, relationships: DataFrame) -> DataFrame:
-    """Both directions of every relationship, labelled from the object's point of view."""
+def _first_chars(text: str, chars: int | None) -> Column:
+    return F.col(text) if chars is None else F.substring(text, 1, chars)
+
+
+def related_objects(objects: DataFrame, relationships: DataFrame, chars: int | None = None) -> DataFrame:
+    """Both directions of every relationship, labelled from the object's point of view (A20); ``chars`` cuts descriptions."""
     outgoing = relationships.select(
         F.col("source_ref").alias("stix_id"), F.col("target_ref").alias("other"), "relationship_type",
-        F.col("relationship_type").alias("label"), F.substring("description", 1, 300).alias("how"))
+        F.col("relationship_type").alias("label"), _first_chars("description", chars).alias("how"))
     incoming = relationships.filter(F.col("source_ref") != F.col("target_ref")).select(
         F.col("target_ref").alias("stix_id"), F.col("source_ref").alias("other"), "relationship_type",
         F.when(F.col("relationship_type") == "uses", "used_by").otherwise(F.col("relationship_type")).alias("label"),
-        F.substring("description", 1, 300).alias("how"))
+        _first_chars("description", chars).alias("how"))
     known = objects.filter(~F.col("revoked")).select(
         F.col("stix_id").alias("other"), F.col("obj_type").alias("other_type"), F.col("name").alias("other_name"),
         F.col("external_id").alias("other_external_id"))
@@ -282,12 +286,12 @@ def entity_vulnerabilities(edge: DataFrame, objects: DataFrame, vulns: DataFrame
     return rows if limit is None else rows.filter(F.col("position") <= limit)
 
 
-def technique_mitigations(objects: DataFrame, relationships: DataFrame) -> DataFrame:
+def technique_mitigations(objects: DataFrame, relationships: DataFrame, chars: int | None = None) -> DataFrame:
     live = objects.filter((F.col("obj_type") == "mitigation") & ~F.col("deprecated")).select(
         F.col("stix_id").alias("source_ref"), "external_id", "name", "url")
     return relationships.filter(F.col("relationship_type") == "mitigates").join(live, "source_ref").select(
         F.col("target_ref").alias("technique"), F.col("source_ref").alias("mitigation"), "external_id", "name", "url",
-        F.substring("description", 1, 400).alias("how"))
+        _first_chars("description", chars).alias("how"))
 
 
 def technique_detections(objects: DataFrame, relationships: DataFrame, analytics: int | None = None,
@@ -351,14 +355,14 @@ def document_rows(docs: DataFrame, entities: DataFrame | None = None) -> DataFra
 
 
 def exploit_rows(exploits: DataFrame) -> DataFrame:
-    warning = "Unverified community code. Never run PoCs outside an isolated lab."
+    warning = "Code from the community that nobody has reviewed; keep it inside an isolated lab."
     return with_source(exploits).withColumn("warning", F.when(F.col("source_key") == "github", warning))
 
 
-def attack_rows(objects: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+def attack_rows(objects: DataFrame, counts: DataFrame | None = None, chars: int | None = None) -> DataFrame:
     rows = objects.select(
         "stix_id", "external_id", F.col("obj_type").alias("type"), "name", "aliases", "platforms", "tactics", "url",
-        "is_subtechnique", F.substring("description", 1, 400).alias("description"), "modified", "created")
+        "is_subtechnique", _first_chars("description", chars).alias("description"), "modified", "created")
     return rows if counts is None else rows.join(counts, "stix_id", "left")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil import vocab
-from vigil.functions.text import clip, parse_dt
+from vigil.functions.text import parse_dt, trimmed
 from vigil.sources.common import require, split_rejects
 
 # What an object may carry, by kind; each is read on its own, so a field of an odd type costs that field alone.
@@ -88,13 +88,13 @@ def parse_attack(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("obj_type").isNotNull() & (F.col("id") != "") & (F.col("name") != "")).join(
         order, F.col("id") == F.col("tactic_ref"), "left")
     parsed = typed.select(
-        F.col("id").alias("stix_id"), "obj_type", clip(ref["external_id"], 32).alias("external_id"),
-        clip(F.col("name"), 300).alias("name"), clean_description(F.col("description")).alias("description"),
+        F.col("id").alias("stix_id"), "obj_type", trimmed(ref["external_id"]).alias("external_id"),
+        trimmed(F.col("name")).alias("name"), clean_description(F.col("description")).alias("description"),
         F.filter(aliases, lambda a: a != F.col("name")).alias("aliases"),
         F.coalesce("x_mitre_platforms", _strings()).alias("platforms"),
         F.coalesce(F.transform(F.filter("kill_chain_phases", lambda p: p["kill_chain_name"] == "mitre-attack"),
                                lambda p: p["phase_name"]), _strings()).alias("tactics"),
-        clip(F.col("x_mitre_shortname"), 64).alias("shortname"), is_sub.alias("is_subtechnique"),
+        trimmed(F.col("x_mitre_shortname")).alias("shortname"), is_sub.alias("is_subtechnique"),
         F.when(is_sub, F.substring_index(ref["external_id"], ".", 1)).alias("parent_external_id"),
         ref["url"].alias("url"), F.coalesce("x_mitre_deprecated", F.lit(False)).alias("deprecated"),
         F.coalesce("revoked", F.lit(False)).alias("revoked"), parse_dt(F.col("created")).alias("created"),

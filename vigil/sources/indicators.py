@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions.observable import classify, clean, fold, host_of, split_tags
-from vigil.functions.text import clip, parse_dt, strip
+from vigil.functions.text import clip, parse_dt, strip, trimmed
 from vigil.sources.common import Parsed, WrongShape, split_rejects, with_position
 
 SAMPLE_COLUMNS = {"sha256_hash", "first_seen_utc"}
@@ -75,7 +75,7 @@ def parse_samples(rows: DataFrame) -> Parsed:
     good = parsed.good.select(
         F.lit("malwarebazaar").alias("source_key"), F.lit(2).alias("tier"), F.lit("sha256").alias("kind"),
         F.col("_hash").alias("value"), F.col("_hash").alias("value_norm"), F.lit(None).cast("string").alias("host"),
-        clip(family, 200).alias("family"), F.array_compact(F.array(family)).alias("candidates"),
+        trimmed(family).alias("family"), F.array_compact(F.array(family)).alias("candidates"),
         F.lit("payload").alias("threat"), F.lit(None).cast("string").alias("status"),
         clip(clean(F.col("file_type_guess")), 64).alias("file_type"),
         clip(clean(F.col("mime_type")), 120).alias("mime_type"), related.alias("related"),
@@ -99,7 +99,7 @@ def parse_urls(rows: DataFrame) -> Parsed:
     good = parsed.good.select(
         F.lit("urlhaus").alias("source_key"), F.lit(2).alias("tier"), F.lit("url").alias("kind"),
         F.col("_url").alias("value"), fold(F.col("_url")).alias("value_norm"),
-        clip(host_of(F.col("_url")), 300).alias("host"), F.lit(None).cast("string").alias("family"),
+        trimmed(host_of(F.col("_url"))).alias("host"), F.lit(None).cast("string").alias("family"),
         tags.alias("candidates"), clip(clean(F.col("threat")), 64).alias("threat"),
         clip(F.coalesce(clean(F.col("url_status")), F.lit("unknown")), 32).alias("status"),
         F.lit(None).cast("string").alias("file_type"), F.lit(None).cast("string").alias("mime_type"),

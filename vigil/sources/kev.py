@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil import vocab
-from vigil.functions.text import clip, html_to_text, non_empty, parse_date, safe_url
+from vigil.functions.text import clip, html_to_text, non_empty, parse_date, safe_url, trimmed
 from vigil.sources.common import Parsed, require, split_rejects, valid_cve_id
 
 ENTRY = (
@@ -30,8 +30,8 @@ def parse_kev(entries: DataFrame) -> Parsed:
     urls = F.transform(links, lambda u: safe_url(F.regexp_replace(u, r"[.,)]+$", "")))
     good = parsed.good.select(
         F.col("_id").alias("cve_id"),
-        clip(html_to_text(F.col("vendorProject")), 200).alias("vendor"),
-        clip(html_to_text(F.col("product")), 300).alias("product"),
+        trimmed(html_to_text(F.col("vendorProject"))).alias("vendor"),
+        trimmed(html_to_text(F.col("product"))).alias("product"),
         non_empty(html_to_text(F.col("vulnerabilityName"), 500)).alias("kev_name"),
         parse_date(F.col("dateAdded")).alias("kev_date_added"),
         parse_date(F.col("dueDate")).alias("kev_due_date"),

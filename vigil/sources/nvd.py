@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.functions.text import clip, html_to_text, parse_dt, safe_url
+from vigil.functions.text import clip, html_to_text, parse_dt, safe_url, trimmed
 from vigil.sources.common import Parsed, require, split_rejects, valid_cve_id
 
 _TEXT = "struct<lang:string,value:string>"
@@ -108,9 +108,9 @@ def products_of(configurations: Column, affected: Column) -> Column:
     matches = F.filter(matches, lambda m: m["vulnerable"] & m["criteria"].isNotNull())
     by_cpe = F.transform(F.coalesce(matches, _no_rows(f"array<{_MATCH}>")), lambda m, i: F.struct(
         i.alias("pos"), F.lit(0).alias("branch"),
-        F.substring(cpe_part(m["criteria"], 3), 1, 200).alias("vendor"),
-        F.substring(cpe_part(m["criteria"], 4), 1, 300).alias("product"),
-        F.substring(m["criteria"], 1, 400).alias("cpe"), range_label(m).alias("versions")))
+        cpe_part(m["criteria"], 3).alias("vendor"),
+        cpe_part(m["criteria"], 4).alias("product"),
+        m["criteria"].alias("cpe"), range_label(m).alias("versions")))
     item = "struct<vendor:string,product:string,versions:array<struct<version:string,status:string>>>"
     items = F.flatten(F.transform(affected, lambda a: F.coalesce(a["affectedData"], _no_rows(f"array<{item}>"))))
 
@@ -121,8 +121,8 @@ def products_of(configurations: Column, affected: Column) -> Column:
 
     by_publisher = F.transform(F.coalesce(items, _no_rows(f"array<{item}>")), lambda x, i: F.struct(
         i.alias("pos"), F.lit(1).alias("branch"),
-        F.coalesce(clip(html_to_text(x["vendor"]), 200), F.lit("")).alias("vendor"),
-        F.coalesce(clip(html_to_text(x["product"]), 300), F.lit("")).alias("product"),
+        F.coalesce(trimmed(html_to_text(x["vendor"])), F.lit("")).alias("vendor"),
+        F.coalesce(trimmed(html_to_text(x["product"])), F.lit("")).alias("product"),
         F.lit("").alias("cpe"), listed(x).alias("versions")))
     by_publisher = F.filter(by_publisher, lambda p: (p["vendor"] != "") | (p["product"] != ""))
     return F.concat(by_cpe.cast(_PRODUCT), by_publisher.cast(_PRODUCT))
