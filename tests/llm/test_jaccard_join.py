@@ -81,3 +81,69 @@ def test_components(rows, ws):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)]
     got = {r.node: r.root for r in jaccard_join.components(rows(chain, "a long, b long"), ws, "c").collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+# --------------------------------------------------------------------------------- the forest
+def _classes(edges, nodes):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    groups = {}
+    for n in nodes:
+        groups.setdefault(find(n), set()).add(n)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_neighbours_are_the_tries(spark, rows, ws):
+    """At every depth the neighbours connect what shares a prefix in some tree, also across ranges and among equal signatures."""
+    import random
+
+    import numpy as np
+
+    rng, trees, depth = random.Random(9), 3, 4
+    signatures = {n: np.array([[rng.randrange(2 if n % 3 else 3) for _ in range(depth)] for _ in range(trees)], ">u2") for n in range(150)}
+    for n in range(120, 150):
+        signatures[n] = signatures[7]
+    reps = spark.createDataFrame([(n, bytearray(s.tobytes())) for n, s in signatures.items()], "node long, signature binary").repartition(6)
+    edges = [(r.a, r.b, r.depth) for r in jaccard_join.forest(reps, ws, trees, depth, 1).collect()]
+    shared = lambda x, y: max(int(k) for k in jaccard_join.shared_values(signatures[x], signatures[y]))
+    assert all(a < b and 1 <= k <= shared(a, b) for a, b, k in edges) and len(edges) <= trees * 150
+    for level in range(1, depth + 1):
+        plain = [(a, b) for a in signatures for b in signatures if a < b and shared(a, b) >= level]
+        assert _classes([(a, b) for a, b, k in edges if k >= level], signatures) == _classes(plain, signatures), level
+
+
+def _level(spark, ws, texts):
+    import numpy as np
+
+    factors = jaccard_join.seeds(jaccard_join.TREES * jaccard_join.DEPTH)
+    made = [(n, bytearray(jaccard_join.signature(jaccard_join.ngram_set(t), factors))) for n, t in enumerate(texts)]
+    reps = spark.createDataFrame(made, "node long, signature binary")
+    edges, level = jaccard_join.matched_edges(reps, ws, 0.8, jaccard_join.TREES, jaccard_join.DEPTH, jaccard_join.TARGET_RECALL)
+    assert np.all([r.a < r.b for r in edges.collect()])
+    return level
+
+
+def test_prefixes_are_shortened_only_as_far_as_the_data_need(spark, ws):
+    """Close copies are met by whole signatures; pairs just above the threshold need shorter prefixes."""
+    import random
+
+    from vigil.llm.shared import Workspace
+
+    rng = random.Random(12)
+    prose = lambda n: [f"w{rng.randrange(100_000)}" for _ in range(n)]
+    close, far = [], []
+    for _ in range(150):
+        words = prose(400)
+        close += [" ".join(words), " ".join([*words[:-1], "end"]), " ".join(["start", *words[1:]])]
+        far += [" ".join(words), " ".join([*words[:-45], *prose(45)])]
+    assert _level(spark, ws, close) == jaccard_join.DEPTH
+    other = Workspace(spark, "far")
+    assert _level(spark, other, far) < jaccard_join.DEPTH
+    other.drop()

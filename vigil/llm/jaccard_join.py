@@ -1,14 +1,18 @@
 """N-gram Jaccard self-join with a MinHash LSH forest.
 
 Texts are sets of word 5-grams (hashed to 64 bits; a text of one to four words is one n-gram). Texts with the same set
-are one representative. The forest has ``TREES`` tries of signatures, each a sequence of MinHash values; two sets meet
-at a trie's node when they share that prefix. Starting from whole signatures, the matched prefix is shortened until a
-pair at the threshold is found with the target recall, 1 - (1 - t^k)^trees; the nodes of a shorter prefix contain those
-of the longer ones, so only the last level is kept, as one hash per tree. At the defaults prefixes of six values
-miss a pair of similarity 0.8 with a probability of 5e-6, and closer pairs with far less.
-
-Members of nodes with two or more sets are linked to the node's least member, and connected components of those links
-are the groups in which links are looked for. Texts of a group come together once. A group above ``CHUNK_CHARS`` or
+are one representative. The forest has ``TREES`` tries of signatures, each of ``DEPTH`` MinHash values. A trie is its
+signatures in sorted order, in range partitions: two neighbours share as long a prefix as any two sets on their sides
+do, so the lengths shared by neighbours are the trie, and sets meet at a node of depth k where all neighbours between
+them share k values.
+
+Matching starts with whole signatures. A pair of similarity s shares k values in a tree with s^k, so it meets with
+1 - (1 - s^k)^trees; the pairs met so far, a hashed sample of them with their similarity estimated from signatures, stand
+for their own number over that probability. While the recall that this gives for pairs above the threshold is below the
+target, the matched prefix is shortened by one value. Six values reach the target for any such pair at the defaults
+(5e-6 missed at a similarity of 0.8, far less above), so no more than that is given up.
+
+Connected components of the neighbours that share the matched prefix are the groups in which links are looked for. Texts of a group come together once. A group above ``CHUNK_CHARS`` or
 ``CHUNK_ROWS`` is dealt to chunks, and each pair of chunks is a task of its own, of bounded size. A task intersects its
 sets through an inverted index, verifies every pair by exact Jaccard, and returns for each set how many documents it
 links to and one edge of a spanning forest: rows grow with the documents, never with pairs, and no link is left out.
@@ -28,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.shared import Workspace, marked, row_key
@@ -36,8 +40,9 @@ from vigil.llm.shared import Workspace, marked, row_key
 NGRAM = 5
 THRESHOLD = 0.8
 TREES = 40
-DEPTH = 7
+DEPTH = 8
 TARGET_RECALL = 0.99999
+SAMPLED = 16  # one pair in so many estimates the recall of a level
 CHUNK_ROWS = 500
 CHUNK_CHARS = 3_000_000
 _SLAB = 2048  # n-grams whose MinHash values are computed at once
@@ -49,7 +54,7 @@ _M1, _M2, _M3 = (np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9,
 
 
 def matched_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:
-    """Shorten the matched prefix until a pair at the threshold is found with the target recall."""
+    """The length to which prefixes may have to be shortened: a pair at the threshold is found there with the target recall."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
         depth -= 1
     return depth
@@ -79,23 +84,19 @@ def seeds(count: int) -> np.ndarray:
     return _mixed(np.arange(1, count + 1, dtype=np.uint64) * _M1) | np.uint64(1)
 
 
-def prefixes(grams: np.ndarray, factors: np.ndarray, depth: int) -> np.ndarray:
-    """For each tree the hash of the signature's prefix; ``factors`` has trees x depth hash functions."""
+def signature(grams: np.ndarray, factors: np.ndarray) -> bytes:
+    """The MinHash values by each of ``factors`` (trees x depth), 16 bits each, so that bytes sort as values do."""
     least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(grams), _SLAB):
         np.minimum(least, (factors[:, None] * grams[None, at:at + _SLAB]).min(axis=1), out=least)
-    rows = least.reshape(-1, depth)
-    key = np.arange(1, len(rows) + 1, dtype=np.uint64) * _M2
-    for k in range(depth):
-        key = _mixed(key * _M1 + rows[:, k])
-    return key.view(np.int64)
+    return (_mixed(least) >> np.uint64(48)).astype(">u2").tobytes()
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("set_id", pa.binary()), ("n_chars", pa.int64()), ("prefixes", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("set_id", pa.binary()), ("n_chars", pa.int64()), ("signature", pa.binary())])
 
 
 def signed(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
-    """doc_id, key, set_id (128 bits of the n-gram set, null if empty), n_chars, prefixes."""
+    """doc_id, key, set_id (128 bits of the n-gram set, null if empty), n_chars, signature."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = seeds(trees * depth)
         for batch in batches:
@@ -103,13 +104,106 @@ def signed(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 grams = ngram_set(text, n)
                 ids.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
-                made.append(prefixes(grams, factors, depth) if len(grams) else None)
+                made.append(signature(grams, factors) if len(grams) else None)
                 sizes.append(len(text or ""))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(ids, pa.binary()),
-                                              pa.array(sizes, pa.int64()), pa.array(made, pa.list_(pa.int64()))], schema=_SIGNED)
+                                              pa.array(sizes, pa.int64()), pa.array(made, pa.binary())], schema=_SIGNED)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(task, "doc_id long, key long, set_id binary, n_chars long, prefixes array<long>")
+    return rows.mapInArrow(task, "doc_id long, key long, set_id binary, n_chars long, signature binary")
+
+
+# ------------------------------------------------------------------------------------ the forest
+def shared_values(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many first values two rows of signatures share."""
+    return np.cumprod(one == other, axis=1).sum(axis=1)
+
+
+_NEIGHBOURS = "a long, b long, depth int, part int, tree int, values binary"
+
+
+def _walk(depth: int, least: int):
+    """Neighbours of a sorted range that share ``least`` values or more; its ends as rows of depth -1 (first) and -2 (last)."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, last = TaskContext.get().partitionId(), None
+
+        def out(a, b, shared, tree, values):
+            n = len(a)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(shared, pa.int32()), pa.array([part] * n, pa.int32()),
+                                               pa.array(tree, pa.int32()), pa.array(values, pa.binary())], names=["a", "b", "depth", "part", "tree", "values"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, node = batch.column("tree").to_numpy(), batch.column("node").to_numpy()
+            raw = batch.column("values").to_pylist()
+            values = np.frombuffer(b"".join(raw), ">u2").reshape(-1, depth)
+            if last is None:
+                yield out([node[0]], [None], [-1], [tree[0]], [raw[0]])
+            else:
+                tree, node, values = (np.concatenate((x, y)) for x, y in zip(last, (tree, node, values)))
+            shared = np.where(tree[1:] == tree[:-1], shared_values(values[1:], values[:-1]), -1)
+            met = np.flatnonzero(shared >= least)
+            if len(met):
+                yield out(node[met + 1], node[met], shared[met], tree[met], [None] * len(met))
+            last = (tree[-1:], node[-1:], values[-1:])
+        if last is not None:
+            yield out(last[1], [None], [-2], last[0], [last[2][0].tobytes()])
+
+    return task
+
+
+def forest(reps: DataFrame, ws: Workspace, trees: int, depth: int, least: int) -> DataFrame:
+    """Stored edges (a, b, depth): sets that are neighbours in a trie and the most values that they share there, ``least`` or more."""
+    width = 2 * depth
+    placed = reps.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select(
+        "tree", F.substring(F.col("signature"), F.col("tree") * width + 1, F.lit(width)).alias("values"), "node")
+    order = ["tree", "values", "node"]
+    walked = ws.store(placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_walk(depth, least), _NEIGHBOURS), "walked")
+    # the last row of a range and the first of the next one are neighbours too: two rows for each range
+    ends = walked.where("depth < 0")
+    line = Window.orderBy("part", F.desc("depth"))
+    beside = ends.select("depth", "tree", "values", "a", *[F.lag(c).over(line).alias(f"last_{c}") for c in ("depth", "tree", "values", "a")])
+    across = beside.where("depth = -1 AND last_depth = -2 AND tree = last_tree").select("a", F.col("last_a").alias("b"), _shared("values", "last_values", depth).alias("depth"))
+    edges = walked.where("depth >= 0").select("a", "b", "depth").unionByName(across.where(F.col("depth") >= least))
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    return ws.store(edges.select(low, high, "depth").groupBy("a", "b").agg(F.max("depth").alias("depth")), "edges")
+
+
+def _shared(one: str, other: str, depth: int) -> Column:
+    """How many first values two byte strings share."""
+    return sum(((F.substring(F.col(one), F.lit(1), F.lit(2 * k)) == F.substring(F.col(other), F.lit(1), F.lit(2 * k))).cast("int") for k in range(1, depth + 1)), F.lit(0))
+
+
+def recall(edges: DataFrame, reps: DataFrame, level: int, threshold: float, trees: int) -> float | None:
+    """The estimated share of pairs above ``threshold`` that meet at ``level`` values; None where the sample has none of them."""
+    chance = lambda s: 1 - (1 - s ** level) ** trees
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            near = np.array([np.mean(np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)) for x, y in zip(batch["one"], batch["other"])])
+            near = near[near >= threshold]
+            yield pd.DataFrame({"met": [float(len(near))], "all": [float((1 / chance(near)).sum())]})
+
+    sampled = edges.where((F.col("depth") >= level) & (F.pmod(F.xxhash64("a", "b"), F.lit(SAMPLED)) == 0)).select("a", "b")
+    side = lambda name: reps.select(F.col("node").alias(f"__{name}"), F.col("signature").alias(name))
+    pairs = sampled.join(side("one"), F.col("a") == F.col("__one")).join(side("other"), F.col("b") == F.col("__other")).select("one", "other")
+    sums = pairs.mapInPandas(weigh, "met double, all double").agg(F.sum("met"), F.sum("all")).head()
+    return sums[0] / sums[1] if sums[0] else None
+
+
+def matched_edges(reps: DataFrame, ws: Workspace, threshold: float, trees: int, depth: int, target: float) -> tuple[DataFrame, int]:
+    """Edges at the longest prefix that reaches the target recall, and its length."""
+    least = matched_depth(threshold, trees, depth, target)
+    edges, level = forest(reps, ws, trees, depth, least), depth
+    while level > least:
+        found = recall(edges, reps, level, threshold, trees)
+        if found is not None and found >= target:
+            break
+        level -= 1
+    return edges.where(F.col("depth") >= level).select("a", "b"), level
 
 
 def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
@@ -197,21 +291,18 @@ def similar(docs: DataFrame, ws: Workspace, n: int = NGRAM, threshold: float = T
             target_recall: float = TARGET_RECALL, chunk_rows: int = CHUNK_ROWS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """One row per document: doc_id, key, class_id, class_key (of the row that stands for the class), class_size, n_links."""
     exact = Fraction(threshold).limit_denominator(1000)
-    rows = ws.store(signed(docs, n, trees, matched_depth(threshold, trees, depth, target_recall)), "signed")
+    rows = ws.store(signed(docs, n, trees, depth), "signed")
     with_set = rows.where("set_id IS NOT NULL")
     sets = with_set.groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("r"), F.count(F.lit(1)).alias("copies"))
     sets = ws.store(sets.select("set_id", F.col("r.doc_id").alias("rep_id"), F.col("r.key").alias("rep_key"), "copies",
                                 F.monotonically_increasing_id().alias("node")), "sets")
 
-    # nodes of the last level with two sets or more; one row per set and tree
-    reps = with_set.dropDuplicates(["set_id"]).select("set_id", "n_chars", "prefixes").join(sets.select("set_id", "node", "rep_key", "copies"), "set_id")
-    reps = ws.store(reps.select("node", "rep_key", "copies", "n_chars", "prefixes"), "reps")
-    places = reps.select("node", F.explode("prefixes").alias("place"))
-    least = places.groupBy("place").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    edges = places.join(least, "place").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    reps = with_set.dropDuplicates(["set_id"]).select("set_id", "n_chars", "signature").join(sets.select("set_id", "node", "rep_key", "copies"), "set_id")
+    reps = ws.store(reps.select("node", "rep_key", "copies", "n_chars", "signature"), "reps")
+    edges, _ = matched_edges(reps, ws, threshold, trees, depth, target_recall)
     groups = ws.store(components(edges, ws, "group"), "groups")
 
-    members = groups.join(reps.drop("prefixes"), "node")
+    members = groups.join(reps.drop("signature"), "node")
     totals = members.groupBy("root").agg(F.sum("n_chars").alias("chars"), F.count(F.lit(1)).alias("sets"))
     chunks = F.greatest(F.ceil(F.col("sets") / chunk_rows), F.ceil(F.col("chars") / chunk_chars)).cast("int")
     members = members.join(totals.select("root", chunks.alias("chunks")), "root").select(
