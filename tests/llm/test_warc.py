@@ -88,3 +88,31 @@ def test_dates_and_identifiers():
     assert warc.iso_date("19970102030405") == "1997-01-02T03:04:05Z"
     assert warc.iso_date("19970102") == "1997-01-02T00:00:00Z" and warc.iso_date("1997") == "1997-01-01T00:00:00Z"
     assert warc.record_id("a", 1) == warc.record_id("a", 1) != warc.record_id("a", 2)
+
+
+def _arc(records, fields=1):
+    """Members of a version block and of raw (header line, block) records."""
+    text = b"1 0 Other\n" + " ".join(warc.ARC_FIELDS[fields]).encode() + b"\n\n"
+    return [b"filedesc://x.arc 0.0.0.0 19970101 text/plain %d\n" % len(text) + text] + [h + b"\n" + b + b"\n" for h, b in records]
+
+
+def test_broken_records_are_rejects_and_the_others_are_converted(spark, ws):
+    from pathlib import Path
+
+    page = b"HTTP/1.1 200 OK\r\nX-Page-Id: %d\r\n\r\nbody %d"
+    good = lambda n, url=b"http://h/": (url + b" 1.2.3.4 19970102 text/html %d" % len(page % (n, n)), page % (n, n))
+    records = [good(1), (b"http://h/none 1.2.3.4 19970102 text/html many", b"x"), good(2, b"http://h/a b  c"), (b"http://h/cut 1.2.3.4 19970102 text/html 999", b"short"),
+               (b"http://h/date 1.2.3.4 notadate text/html 1", b"x"), (b"only two", b"x"), good(3)]
+    folder = Path(ws.path("arc").removeprefix("file:"))
+    folder.mkdir(parents=True)
+    (folder / "a.arc.gz").write_bytes(b"".join(map(_gz, _arc(records))))
+    (folder / "plain.arc").write_bytes(b"".join(_arc([good(4), good(5, b"dns: h")])))
+    (folder / "damaged.arc.gz").write_bytes(b"".join(map(_gz, _arc([good(6)]))) + b"\x1f\x8b\x08rubbish that is no member")
+    (folder / "bare.arc").write_bytes(b"http://h/ 1.2.3.4 19970102 text/html 1\nx\n")
+    assert warc.convert(ws, ws.path("arc"), ws.path("warc"))
+    got = {r.page_id: (r.url, r.intact) for r in warc.read_warc(ws, ws.path("warc")).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6} and all(ok for _, ok in got.values()) and got[2][0] == "http://h/a b  c" and got[5][0] == "dns: h"
+    rejects = sorted((r.name, r.reason.split(": ", 1)[-1]) for r in warc.arc_rejects(ws, ws.path("arc")).collect())
+    assert [n for n, _ in rejects] == ["a.arc.gz"] * 4 + ["bare.arc", "damaged.arc.gz"]
+    assert sum("declares no length" in r for _, r in rejects) == 2 and any("has 5" in r or "has 6" in r for _, r in rejects)
+    assert warc.arc_rejects(ws, ws.path("nothing")).count() == 0

@@ -12,7 +12,9 @@ place when complete, so a task that runs again leaves no second copy of its reco
 
 Defined cases: null html is an empty payload; a null or odd URL is percent-encoded, a missing one is
 ``about:blank``; a null page_id is kept (no id line) and is the smallest; of records that repeat both payload and
-page_id one is the response; an empty table gives no archive and no rows.
+page_id one is the response; an empty table gives no archive and no rows. Of foreign archives, also uncompressed ones,
+records that can't be read (no length, a cut block, other fields than declared, an odd date) are left out, ``arc_rejects``
+lists them, and the other members of the file are converted; URLs may hold blanks.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from vigil.llm.shared import Workspace
 FILE_BYTES = 16 << 20
 CRAWLED = "20240601000000"  # pages carry no fetch time
 ID_LINE = "X-Page-Id"
+_ARCS = "*.{arc,arc.gz}"
 # Fixed values of the ARC format: the URL-record definition of each version.
 ARC_FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -113,17 +116,33 @@ _FEED = 1 << 14  # bytes unpacked at once; what lies behind a member is copied,
 
 
 def _members(content: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset, record) of each gzip member."""
+    """(offset, record) of each gzip member; a file that isn't gzip is one piece."""
+    if content[:2] != b"\x1f\x8b":
+        yield 0, content
+        return
     at, view = 0, memoryview(content)
     while at < len(content):
         unpack, parts, fed = zlib.decompressobj(31), [], at
-        while not unpack.eof and fed < len(content):
-            parts.append(unpack.decompress(view[fed:fed + _FEED]))
-            fed += _FEED
+        try:
+            while not unpack.eof and fed < len(content):
+                parts.append(unpack.decompress(view[fed:fed + _FEED]))
+                fed += _FEED
+        except zlib.error as exc:
+            raise Damaged(at, "not a whole gzip member") from exc
+        if not unpack.eof:
+            raise Damaged(at, "not a whole gzip member")
         yield at, b"".join(parts)
         at = min(fed, len(content)) - len(unpack.unused_data)
 
 
+class Damaged(ValueError):
+    """What can't be read, and from which offset on."""
+
+    def __init__(self, offset: int, reason: str):
+        super().__init__(reason)
+        self.offset, self.reason = offset, reason
+
+
 def _write(rows: DataFrame, folder: str, suffix: str, opening: Callable[[str], bytes], record: Callable[[dict], bytes],
            file_bytes: int) -> None:
     """Run a job that writes each row as a record."""
@@ -141,14 +160,14 @@ def _write(rows: DataFrame, folder: str, suffix: str, opening: Callable[[str], b
     rows.mapInArrow(task, "records long").agg(F.sum("records")).collect()
 
 
-def _read(ws: Workspace, folder: str, suffix: str) -> DataFrame | None:
+def _read(ws: Workspace, folder: str, names: str) -> DataFrame | None:
     """Archives of a folder as (name, content) rows, None if it holds none."""
     fs, root = _file_system(folder)
     from pyarrow.fs import FileType
 
     if fs.get_file_info(root).type == FileType.NotFound:
         return None
-    files = ws.spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(folder)
+    files = ws.spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", "true").load(folder)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
 
@@ -182,29 +201,66 @@ def write_arc(pages: DataFrame, folder: str, version: int = 1, file_bytes: int =
     _write(rows, folder, ".arc.gz", arc_opening(version), arc_record(version), file_bytes)
 
 
-def parse_arc(name: str, content: bytes) -> Iterator[dict]:
-    """Records of one ARC file, by the fields its version block declares and by declared lengths."""
+def parse_arc(name: str, content: bytes, rejects: list[tuple[int, str]] | None = None) -> Iterator[dict]:
+    """Records of one ARC file, by the fields its version block declares and by declared lengths.
+
+    Header lines are cut from the right, as a URL may hold blanks. With ``rejects``, what can't be read is noted there as
+    (offset, reason) and reading goes on with the next gzip member; without, it is an error.
+    """
     fields: list[str] = []
-    for offset, member in _members(content):
-        at = 0
-        while at < len(member):
-            if member[at:at + 1] in (b"\n", b"\r"):  # the separator before a header
-                at += 1
-                continue
-            end = member.index(b"\n", at)
-            line = member[at:end].decode("utf-8", "replace").rstrip("\r")
-            parts = line.split(" ")
-            length = int(parts[-1])
-            block = member[end + 1:end + 1 + length]
-            if len(block) < length:
-                raise ValueError(f"{name}: a record at {offset} declares {length} bytes and has {len(block)}")
-            if parts[0].startswith("filedesc://"):
-                fields = block.split(b"\n", 2)[1].decode().split(" ")
-            else:
-                head = dict(zip(fields, parts, strict=True))
-                yield {"name": name, "offset": offset + at, "url": head["URL"], "ip": head["IP-address"], "date": head["Archive-date"],
-                       "mime": head["Content-type"], "block": block}
-            at = end + 1 + length
+    members = _members(content)
+    while True:
+        offset = at = 0
+        try:
+            offset, member = next(members)
+            while at < len(member):
+                if member[at:at + 1] in (b"\n", b"\r"):  # the separator before a header
+                    at += 1
+                    continue
+                head, block, behind = _arc_record_at(name, offset, member, at, fields)
+                if head is None:
+                    fields = block
+                else:
+                    yield {"name": name, "offset": offset + at, "url": head["URL"], "ip": head["IP-address"], "date": head["Archive-date"],
+                           "mime": head["Content-type"], "block": block}
+                at = behind
+        except StopIteration:
+            return
+        except ValueError as exc:
+            if rejects is None:
+                raise
+            rejects.append((exc.offset, exc.reason) if isinstance(exc, Damaged) else (offset + at, str(exc)))
+            if isinstance(exc, Damaged):  # where the next member starts is not known
+                return
+
+
+def _arc_record_at(name: str, offset: int, member: bytes, at: int, fields: list[str]):
+    """(header fields, block, where the record ends); of a version block (None, the fields it declares, its end)."""
+    end = member.find(b"\n", at)
+    if end < 0:
+        raise ValueError(f"{name}: a header at {offset} has no end")
+    line = member[at:end].decode("utf-8", "replace").rstrip("\r")
+    described = line.startswith("filedesc://")
+    if not described and not fields:
+        raise ValueError(f"{name}: a record at {offset} before any version block")
+    parts = line.split(" ") if described else line.rsplit(" ", len(fields) - 1)
+    if not parts[-1].isascii() or not parts[-1].isdigit():
+        raise ValueError(f"{name}: a record at {offset} declares no length")
+    length = int(parts[-1])
+    block = member[end + 1:end + 1 + length]
+    if len(block) < length:
+        raise ValueError(f"{name}: a record at {offset} declares {length} bytes and has {len(block)}")
+    if described:
+        lines = block.split(b"\n", 2)
+        declared = lines[1].decode("utf-8", "replace").split(" ") if len(lines) > 1 else []
+        if not {"URL", "IP-address", "Archive-date", "Content-type"} <= set(declared):
+            raise ValueError(f"{name}: a version block at {offset} declares no record fields")
+        return None, declared, end + 1 + length
+    if len(parts) != len(fields):
+        raise ValueError(f"{name}: a record at {offset} has {len(parts)} of {len(fields)} fields")
+    head = dict(zip(fields, parts))
+    iso_date(head["Archive-date"])
+    return head, block, end + 1 + length
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -243,7 +299,7 @@ def _arc_rows(with_payload: bool):
         for batch in batches:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
                 rows, size = [], 0
-                for r in parse_arc(name, content):
+                for r in parse_arc(name, content, rejects=[]):
                     head, payload = split_http(r["block"])
                     page = http_field(head, ID_LINE)
                     rows.append({"name": name, "offset": r["offset"], "record_id": record_id(name, r["offset"]), "url": r["url"], "ip": r["ip"],
@@ -261,6 +317,23 @@ def _arc_rows(with_payload: bool):
     return task
 
 
+def arc_rejects(ws: Workspace, folder: str) -> DataFrame:
+    """(name, offset, reason) of what conversion leaves out of the ARC files of a folder."""
+    schema = "name string, offset long, reason string"
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                rejects: list[tuple[int, str]] = []
+                for _ in parse_arc(name, content, rejects):
+                    pass
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rejects), pa.string()), pa.array([r[0] for r in rejects], pa.int64()),
+                                                  pa.array([r[1] for r in rejects], pa.string())], names=["name", "offset", "reason"])
+
+    arcs = _read(ws, folder, _ARCS)
+    return arcs.mapInArrow(task, schema) if arcs is not None else ws.spark.createDataFrame([], schema)
+
+
 def _warc_head(fields: list[tuple[str, str]]) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n"
 
@@ -286,7 +359,7 @@ def warc_record(row: dict) -> bytes:
 
 def convert(ws: Workspace, arc_folder: str, warc_folder: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> bool:
     """Convert all ARC files of a folder. Payloads of fewer than ``least_bytes`` are never revisits. False if there are none."""
-    arcs = _read(ws, arc_folder, ".arc.gz")
+    arcs = _read(ws, arc_folder, _ARCS)
     if arcs is None:
         return False
     kinds = arcs.mapInArrow(_arc_rows(False), _RECORDS).select("record_id", "page_id", "payload_sha256", "payload_bytes")
@@ -345,7 +418,7 @@ _READ = """record_id string, record_type string, url string, page_id long, paylo
 
 def read_warc(ws: Workspace, folder: str) -> DataFrame:
     """Records of all WARC files of a folder, with the page_id that a revisit refers to."""
-    files = _read(ws, folder, ".warc.gz")
+    files = _read(ws, folder, "*.warc.gz")
     if files is None:
         return ws.spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in (f.split(" ") for f in re.split(r",\s*", _READ.strip()))],
                                         F.lit(None).cast("long").alias("refers_to"))
