@@ -66,6 +66,19 @@ def test_stages_pass_awkward_and_empty_tables(spark, awkward, no_docs):
             assert out.count() <= 3 * docs.count() and set(columns) <= set(out.columns)
 
 
+def test_columns_with_the_names_of_helpers_pass(spark, rows):
+    """Whatever a table calls its columns, their values come through, and the copy's number finds a free name."""
+    texts = ["alpha beta gamma delta epsilon zeta eta theta " * 20, "another text of quite other words that goes on for a while " * 15]
+    docs = rows([(i, texts[i], "en", "s", len(texts[i]), i + 5, 10 + i, 20 + i, 30 + i, 40 + i) for i in range(2)],
+                "doc_id long, text string, lang string, source string, n_chars long, copy int, __key int, __first int, __score int, __n int")
+    space = corpus_pipeline.Workspace(spark, "names")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        docs = space.store(stage(spark, docs, SF), name)
+    got = docs.collect()
+    space.drop()
+    assert got and all(r["copy"] == r.doc_id + 5 and r["__key"] == r.doc_id + 10 and r["__first"] == r.doc_id + 20 and r["__n"] == r.doc_id + 40 and r["copy_"] >= 1 for r in got)
+
+
 def test_registered():
     import __spark_entry__ as entry
 

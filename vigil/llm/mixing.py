@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.ordering import ordered, part_offsets
-from vigil.llm.shared import Workspace, body, row_key
+from vigil.llm.shared import Workspace, body, free_name, row_key
 
 TOKEN = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -71,10 +71,12 @@ def emit(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """The mix itself: the columns of ``docs`` and ``copy`` (1, 2, ...), a row per copy.
 
     Rows that repeat one another share a key; they take its copy counts one by one, in the partitioning of the join.
+    Where ``docs`` has a column ``copy``, the new one has underscores behind its name.
     """
     columns = docs.columns
-    counts = plan.groupBy(F.col("key").alias("__key")).agg(F.array_sort(F.collect_list("copies")).alias("__copies"))
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
-    rows = docs.withColumn("__key", row_key()).join(counts, "__key").withColumn("__n", nth)
-    taken = rows.withColumn("__take", F.element_at("__copies", F.col("__n"))).where("__take > 0")
-    return taken.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__take").cast("int"))).alias("copy"))
+    key, copies, place, take = (free_name(docs, n) for n in ("__key", "__copies", "__n", "__take"))
+    counts = plan.groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_list("copies")).alias(copies))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))
+    rows = docs.withColumn(key, row_key()).join(counts, key).withColumn(place, nth)
+    taken = rows.withColumn(take, F.element_at(F.col(copies), F.col(place))).where(F.col(take) > 0)
+    return taken.select(*columns, F.explode(F.sequence(F.lit(1), F.col(take).cast("int"))).alias(free_name(docs, "copy")))

@@ -46,6 +46,11 @@ class Workspace:
         df.write.options(**options).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def drop_one(self, name: str) -> None:
+        """Remove a stored table that nothing reads any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -100,6 +105,14 @@ def marked(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
             .where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*columns))
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores behind it while ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def keep_rows(docs: DataFrame, chosen: DataFrame, order: list[str]) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, text) key is in ``chosen``, one row of each key.
 
@@ -107,7 +120,7 @@ def keep_rows(docs: DataFrame, chosen: DataFrame, order: list[str]) -> DataFrame
     """
     from pyspark.sql import Window
 
-    columns = docs.columns
-    keyed = docs.withColumn("__key", row_key()).join(chosen.select(F.col("key").alias("__key")), "__key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("__key").orderBy(*[F.col(c) for c in order if c in columns], F.lit(0)))
-    return keyed.withColumn("__first", first).where("__first = 1").select(*columns)
+    columns, key, nth = docs.columns, free_name(docs, "__key"), free_name(docs, "__first")
+    keyed = docs.withColumn(key, row_key()).join(chosen.select(F.col("key").alias(key)), key, "left_semi")
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c) for c in order if c in columns], F.lit(0)))
+    return keyed.withColumn(nth, first).where(F.col(nth) == 1).select(*columns)
