@@ -7,7 +7,7 @@ do, so the lengths shared by neighbours are the trie, and sets meet at a node of
 them share k values.
 
 Matching starts with whole signatures. A pair of similarity s shares k values in a tree with s^k, so it meets with
-1 - (1 - s^k)^trees; the pairs met so far, a hashed sample of them with their similarity estimated from signatures, stand
+1 - (1 - s^k)^trees; the pairs met so far, all of them, with their similarity estimated from signatures, stand
 for their own number over that probability. While the recall that this gives for pairs above the threshold is below the
 target, the matched prefix is shortened by one value. Six values reach the target for any such pair at the defaults
 (5e-6 missed at a similarity of 0.8, far less above), so no more than that is given up.
@@ -42,7 +42,6 @@ THRESHOLD = 0.8
 TREES = 40
 DEPTH = 8
 TARGET_RECALL = 0.99999
-SAMPLED = 16  # one pair in so many estimates the recall of a level
 CHUNK_ROWS = 500
 CHUNK_CHARS = 3_000_000
 _SLAB = 2048  # n-grams whose MinHash values are computed at once
@@ -177,31 +176,37 @@ def _shared(one: str, other: str, depth: int) -> Column:
     return sum(((F.substring(F.col(one), F.lit(1), F.lit(2 * k)) == F.substring(F.col(other), F.lit(1), F.lit(2 * k))).cast("int") for k in range(1, depth + 1)), F.lit(0))
 
 
-def recall(edges: DataFrame, reps: DataFrame, level: int, threshold: float, trees: int) -> float | None:
-    """The estimated share of pairs above ``threshold`` that meet at ``level`` values; None where the sample has none of them."""
-    chance = lambda s: 1 - (1 - s ** level) ** trees
+def recall(edges: DataFrame, reps: DataFrame, levels: list[int], threshold: float, trees: int) -> dict[int, float | None]:
+    """By level, the estimated share of pairs above ``threshold`` that meet at so many values; None where no such pair meets.
 
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Every pair counts. Its signatures are fetched once for all levels.
+    """
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, every = np.zeros(len(levels)), np.zeros(len(levels))
         for batch in batches:
-            near = np.array([np.mean(np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)) for x, y in zip(batch["one"], batch["other"])])
-            near = near[near >= threshold]
-            yield pd.DataFrame({"met": [float(len(near))], "all": [float((1 / chance(near)).sum())]})
+            if not batch.num_rows:
+                continue
+            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("one", "other"))
+            near, depth = (one == other).mean(axis=1), batch.column("depth").to_numpy()
+            near, depth = near[near >= threshold], depth[near >= threshold]
+            for i, level in enumerate(levels):
+                met[i] += (depth >= level).sum()
+                every[i] += (1 / (1 - (1 - near[depth >= level] ** level) ** trees)).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(levels, pa.int32()), pa.array(met), pa.array(every)], names=["level", "met", "every"])
 
-    sampled = edges.where((F.col("depth") >= level) & (F.pmod(F.xxhash64("a", "b"), F.lit(SAMPLED)) == 0)).select("a", "b")
     side = lambda name: reps.select(F.col("node").alias(f"__{name}"), F.col("signature").alias(name))
-    pairs = sampled.join(side("one"), F.col("a") == F.col("__one")).join(side("other"), F.col("b") == F.col("__other")).select("one", "other")
-    sums = pairs.mapInPandas(weigh, "met double, all double").agg(F.sum("met"), F.sum("all")).head()
-    return sums[0] / sums[1] if sums[0] else None
+    pairs = edges.where(F.col("depth") >= min(levels)).join(side("one"), F.col("a") == F.col("__one")).join(side("other"), F.col("b") == F.col("__other"))
+    sums = pairs.select("depth", "one", "other").mapInArrow(weigh, "level int, met double, every double").groupBy("level").agg(F.sum("met"), F.sum("every"))
+    found = {level: met / every if met else None for level, met, every in sums.collect()}
+    return {level: found.get(level) for level in levels}
 
 
 def matched_edges(reps: DataFrame, ws: Workspace, threshold: float, trees: int, depth: int, target: float) -> tuple[DataFrame, int]:
     """Edges at the longest prefix that reaches the target recall, and its length."""
     least = matched_depth(threshold, trees, depth, target)
     edges, level = forest(reps, ws, trees, depth, least), depth
-    while level > least:
-        found = recall(edges, reps, level, threshold, trees)
-        if found is not None and found >= target:
-            break
+    found = recall(edges, reps, list(range(least + 1, depth + 1)), threshold, trees) if level > least else {}
+    while level > least and (found[level] is None or found[level] < target):
         level -= 1
     return edges.where(F.col("depth") >= level).select("a", "b"), level
 
